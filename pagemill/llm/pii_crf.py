@@ -2,9 +2,9 @@
 
 The field runs over space-separated words with word-shape features.  It is
 trained on the driver from a small labelled table and decoded by Viterbi in
-numpy batches.  Words without a digit, an "@" or a bracketed "at" are outside
-by definition, so a chain breaks at them and only the runs in between are
-decoded: the same result as over the whole text.
+numpy batches.  Words without a digit or an "@", and not beside a bracketed
+"at", are outside by definition, so a chain breaks at them and only the runs in
+between are decoded: the same result as over the whole text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|AT|dot|DOT)[\])]")
+TRIGGER = re.compile("[0-9@]")
+AT_SIGNS = ("[at]", "(at)", "[AT]", "(AT)")
+WRITTEN_OUT = re.compile(r"\S+[ \t]+[\[(](?:at|AT)[\])][ \t]+\S+")
+WORD = re.compile(r"\S+")
 DIGIT = re.compile("[0-9]")
 PART = re.compile(r"[0-9]+|[^\W\d_]+|.")
 BATCH = 4096
@@ -84,9 +87,9 @@ def base_spans(text: str | None) -> list[Span]:
 # Words and features.
 
 
-def runs_of(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Maximal runs of neighbouring words that hold a trigger, as (start, end) of each word."""
-    run: list[tuple[int, int]] = []
+def words_with_triggers(text: str) -> list[tuple[int, int]]:
+    """Words with a digit or an @, and the three of an address with a bracketed "at", in order."""
+    out = []
     m = TRIGGER.search(text)
     while m:
         start, end = m.start(), m.end()
@@ -94,11 +97,22 @@ def runs_of(text: str) -> Iterator[list[tuple[int, int]]]:
             start -= 1
         while end < len(text) and not text[end].isspace():
             end += 1
+        out.append((start, end))
+        m = TRIGGER.search(text, end)
+    if any(x in text for x in AT_SIGNS):
+        more = {(m.start() + w.start(), m.start() + w.end()) for m in WRITTEN_OUT.finditer(text) for w in WORD.finditer(m.group())}
+        out = sorted(more.union(out))
+    return out
+
+
+def runs_of(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Maximal runs of neighbouring words with triggers, as (start, end) of each word."""
+    run: list[tuple[int, int]] = []
+    for start, end in words_with_triggers(text):
         if run and not text[run[-1][1] : start].isspace():
             yield run
             run = []
         run.append((start, end))
-        m = TRIGGER.search(text, end)
     if run:
         yield run
 
@@ -328,7 +342,7 @@ def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], l
     base = [base_spans(t) for t in texts]
     work, chains = [], []
     for k, t in enumerate(texts):
-        for run in runs_of(t) if t and TRIGGER.search(t) else ():
+        for run in runs_of(t) if t else ():
             cuts = [trimmed(t, a, b) for a, b in run]
             words = [t[a:b] for a, b in cuts]
             before, after = t[max(0, run[0][0] - 40) : run[0][0]].split(), t[run[-1][1] : run[-1][1] + 40].split()

@@ -183,7 +183,8 @@ def near_report(docs: DataFrame) -> DataFrame:
 
 WIDE = 4
 WIDE_BYTES = WIDE * BYTES
-WIDE_GROUPS = 64
+WIDE_GROUPS = 96
+SLACK = 6
 
 
 def wide_majority(h: np.ndarray) -> bytes:
@@ -212,15 +213,17 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     """One row per row of docs: row_id, doc_id, component (long), kept: one row of each component of near copies, the one of the smallest id (nulls last, then the first row).
 
     Texts are near copies where their wide fingerprints differ in no more bits
-    than shingle sets of this similarity do on average; chains of near copies
-    are one group.  No number of bytes is sure to match at this distance, so
-    pairs are looked for that share three positional bytes of one of
-    WIDE_GROUPS groups: about 0.7 of pairs at 0.8, 0.9 at 0.85 and 0.99 at 0.9.
+    than shingle sets of this similarity do on average, and SLACK, a standard
+    deviation, beside; chains of near copies are one group.  No number of bytes
+    is sure to match at this distance, so pairs are looked for that share three
+    positional bytes of one of WIDE_GROUPS groups: by calculation 0.85 of pairs
+    at 0.8, 0.97 at 0.85 and over 0.99 at 0.9, of which 0.84, 0.98 and 0.99
+    pass the bits.
     Word-less and null texts are copies of one another.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    most = bits_at(similarity)
+    most = bits_at(similarity) + SLACK
     own = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "row_id")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

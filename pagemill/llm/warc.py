@@ -71,7 +71,10 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, int]:
     split = raw.find(b"\r\n\r\n", at)
     if split < 0:
         raise Damaged("no end of header")
-    fields = dict(x.split(": ", 1) for x in raw[at:split].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+    lines = [x.split(": ", 1) for x in raw[at:split].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x]
+    fields = dict(lines)
+    if len(fields) < len(lines) or VERSION.search(raw, at + 8, split):
+        raise Damaged("another record begins within the header")
     size = fields.get("Content-Length", "")
     if not size.isdigit():
         raise Damaged("no length")

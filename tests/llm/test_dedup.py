@@ -137,7 +137,7 @@ def test_near_copies(spark, tmp_path, empty, odd):
         w = [vocab[i] for i in rng.integers(0, 5000, 300)]
         rows.append((2 * k, " ".join(w)))
         if k % 4 == 0:
-            for _ in range(4):
+            for _ in range(2):
                 w[int(rng.integers(300))] = "new"
             rows.append((2 * k + 1, " ".join(w)))
     path = str(tmp_path / "d")

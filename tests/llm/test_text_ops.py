@@ -173,15 +173,15 @@ def test_language_id(spark, sf, empty, odd):
 
 def brute_lattice(word, pieces):
     w = "▁" + word
-    a = [1.0] + [0.0] * len(w)
+    a = [0.0] + [-math.inf] * len(w)
     for j in range(1, len(w) + 1):
-        for i in range(j):
+        for i in range(max(0, j - pieces.longest), j):
             k = pieces.index.get(w[i:j])
             if k is not None:
-                a[j] += a[i] * math.exp(pieces.log[k])
+                a[j] = np.logaddexp(a[j], a[i] + pieces.log[k])
             elif j == i + 1:
-                a[j] += a[i] * (math.exp(pieces.log[pieces.byte]) / 256) ** len(w[i:j].encode())
-    return math.log10(a[-1])
+                a[j] = np.logaddexp(a[j], a[i] + len(w[i:j].encode()) * (pieces.log[pieces.byte] - math.log(256)))
+    return a[-1] / math.log(10)
 
 
 def test_lattice(docs, texts, empty, odd):

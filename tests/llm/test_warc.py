@@ -55,7 +55,8 @@ def test_salvage():
             hurt[starts[k] + len(raw[k]) // 2] ^= 0x55
             check(bytes(hurt), {k}, [(starts[k], starts[k + 1])])
             check(b"".join(raw[:k] + [raw[k][:200]] + raw[k + 1 :]), {k}, [(starts[k], starts[k] + 200)])
-        check(b"".join([*raw[:4], b"junk \x1f\x8b\x08 WARC/1.1\r\n junk", *raw[4:]]), set(), [(starts[4], starts[4] + 25)])
+        junk = b"junk \x1f\x8b\x08 WARC/1.1\r\n junk"
+        check(b"".join([*raw[:4], junk, *raw[4:]]), set(), [(starts[4], starts[4] + len(junk))])
         check(b"".join(raw[:11]) + raw[11][: len(raw[11]) // 2], {11}, [(starts[11], starts[11] + len(raw[11]) // 2)])
     mixed = records(6) + records(12, False)[6:]
     check(b"".join(mixed), set(), [])
