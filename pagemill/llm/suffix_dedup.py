@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from pagemill.llm._common import arrow_batches, bit_words, drop_path, may_hold,
 
 LENGTH = 200
 HEAD = 32
-BATCHES = 4
+BATCHES = 3
 CHUNK = 1 << 20
 PLACES = 1 << 24
 FILTER_WORDS = 1 << 18
@@ -174,11 +175,12 @@ class SuffixFamily:
     def add(self, records: DataFrame) -> None:
         """records: (key, ctx, n), one row per distinct suffix of the batch."""
         new, path = written(records.sortWithinPartitions("key", "ctx"), "suffixes")
-        found = new.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+        scan = new.select("key", "n", F.lit(True).alias("fresh"))
         for level in self.levels:
             if level:
-                found = found.union(new.select("key").join(self._read(level).select("key"), "key", "left_semi"))
-        self.heads.append(written(found.distinct(), "heads")[1])
+                scan = scan.union(self._read(level).select("key", "n", F.lit(False)))
+        found = scan.groupBy("key").agg(F.sum("n").alias("n"), F.bool_or("fresh").alias("fresh")).where("fresh and n > 1").select("key")
+        self.heads.append(written(found, "heads")[1])
         k = 0
         while k < len(self.levels) and self.levels[k]:
             both = self._read(path).union(self._read(self.levels[k]))
@@ -247,24 +249,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     sets = spark.sparkContext.broadcast((_bits(suffixes, "key"), _bits(mixed, "key"), _bits(suffixes.where("n = 1"), "ctx")))
 
     def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Marks that may be matched, and buckets of the strings of those whose head may have lone surroundings: of these, one of each kind a chunk."""
-        known, split, single = sets.value
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("ctx", pa.int64()), ("row_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("data", pa.binary())])
+        """Marks that may be matched."""
+        known = sets.value[0]
         for rows, offsets, text in _chunks(parts, length):
             m = Marks(text, length)
             maybe = np.nonzero(_in_bits(known, m.key))[0]
-            if not maybe.size:
-                continue
+            base = (text.starts[:-1] - offsets)[m.doc[maybe]]
+            yield pa.RecordBatch.from_arrays([_long(m.key[maybe]), _long(m.ctx[maybe]), pa.array(rows[m.doc[maybe]]), pa.array(m.lo[maybe] - base), pa.array(m.hi[maybe] - base)], names=["key", "ctx", "row_id", "lo", "hi"])
+
+    def look_closer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings of the marks whose head may have lone surroundings, dealt into buckets; runs of starts, where a chunk settles them itself."""
+        _, split, single = sets.value
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        schema = pa.schema([("bucket", pa.int32()), ("row_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("data", pa.binary())])
+        told = np.zeros(0, np.uint64)
+        for rows, offsets, text in _chunks(parts, length):
+            m = Marks(text, length)
             origin = text.starts[:-1] - offsets
-            base = origin[m.doc[maybe]]
-            k = maybe.size
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1, np.int32)), _long(m.key[maybe]), _long(m.ctx[maybe]), pa.array(rows[m.doc[maybe]]), pa.array(m.lo[maybe] - base), pa.array(m.hi[maybe] - base), pa.nulls(k, pa.binary())], schema=schema)
-            fine = maybe[_in_bits(split, m.key[maybe])]
-            _, kind, count = np.unique(m.ctx[fine] ^ m.key[fine] * np.uint64(3), return_index=True, return_counts=True)
+            fine = np.nonzero(_in_bits(split, m.key))[0]
+            kinds, kind, count = np.unique(m.ctx[fine] ^ m.key[fine] * np.uint64(3), return_index=True, return_counts=True)
             fine = fine[kind]
-            # Surroundings that more than one place has are known as a whole: their strings only witness those of others.
+            # Surroundings that more than one place has are known as a whole: their strings only witness those of others, once a task.
             twice = (count > 1) | ~_in_bits(single, m.ctx[fine])
+            fresh = ~twice | ~np.isin(kinds, told)
+            told = np.union1d(told, kinds[twice])
+            fine, twice = fine[fresh], twice[fresh]
             start, mark, prints = m.strings(fine, length)
             witness = np.repeat(twice, m.hi[fine] - m.lo[fine] + 1)
             # A string that two marks of the chunk have is settled here; one row of it, as a witness, goes on.
@@ -274,21 +283,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
             pair = np.zeros(p.size, bool)
             pair[1:] |= same
             pair[:-1] |= same
-            for b in _rows_of(np.nonzero(pair & ~witness)[0], rows[doc], start - origin[doc]):
-                n = b.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -2, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *b.columns, pa.nulls(n, pa.binary())], schema=schema)
             keep = np.concatenate([[True], ~same]) if p.size else pair
-            p, start, doc, sure = p[keep], start[keep] - origin[doc[keep]], rows[doc[keep]], (witness | pair)[keep]
             bucket = ((p >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            for b in _rows_of(np.nonzero(pair & ~witness)[0], rows[doc], start - origin[doc]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, int(rows[0]) % buckets, np.int32)), *b.columns, pa.nulls(b.num_rows, pa.binary())], schema=schema)
+            p, bucket, start, doc, sure = p[keep], bucket[keep], start[keep] - origin[doc[keep]], rows[doc[keep]], (witness | pair)[keep]
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for i in range(buckets):
                 o = order[cuts[i] : cuts[i + 1]]
                 if o.size:
                     blob = squeeze(p[o].tobytes() + doc[o].tobytes() + start[o].astype(np.uint32).tobytes() + sure[o].astype(np.uint8).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(5)), pa.array([blob], pa.binary())], schema=schema)
-
-    seen, seen_path = written(docs.select("row_id", "data").mapInArrow(look, "bucket int, key long, ctx long, row_id long, lo long, hi long, data binary"), "looked")
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([blob], pa.binary())], schema=schema)
 
     def settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsqueeze = zstandard.ZstdDecompressor().decompress
@@ -313,7 +319,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
             yield from _rows_of(order[pair & (sure[order] == 0)], row, start.astype(np.int64))
 
         for b in parts:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            settled = b.filter(pc.is_null(b.column(4)))
+            if settled.num_rows:
+                yield settled.select([1, 2, 3])
+            b = b.filter(pc.is_valid(b.column(4)))
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(4), strict=True):
                 if bucket != current and held:
                     yield from close()
                     held = []
@@ -322,11 +332,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
         if held:
             yield from close()
 
-    fine = seen.where("bucket >= 0").select("bucket", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS)
-    whole = seen.where("bucket = -1").select("key", "ctx", "row_id", "lo", "hi").join(suffixes.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("row_id", "lo", "hi")
-    spans = whole.union(seen.where("bucket = -2").select("row_id", "lo", "hi")).union(fine)
-    out, _ = written(spans, "spans")
-    drop_path(spark, suffixes_path, mixed_path, seen_path)
+    texts = docs.select("row_id", "data")
+    closer = texts.mapInArrow(look_closer, "bucket int, row_id long, lo long, hi long, data binary")
+    fine = closer.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS)
+    marks = texts.mapInArrow(look, "key long, ctx long, row_id long, lo long, hi long")
+    whole = marks.join(suffixes.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("row_id", "lo", "hi")
+    out, _ = written(whole.union(fine), "spans")
+    drop_path(spark, suffixes_path, mixed_path)
     return out
 
 
