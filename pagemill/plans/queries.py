@@ -152,7 +152,7 @@ NORM = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]', '', 'g')"
 SIGNS = "list_distinct(string_split({0}, ''))"
 BLACK = ", ".join(f"'{w}'" for w in linking.BLACKLIST)
 CANDIDATES = f"""
-WITH RECURSIVE {TITLES}, {GRAMS.format(id="doc_id", t="documents")},
+WITH RECURSIVE {TITLES}, {GRAMS.format(id="conv_id * 1000 + turn", t="conversations")},
 g AS (SELECT DISTINCT text, lower(text) AS low, {NORM.format("text")} AS norm FROM grams WHERE lower(text) NOT IN ({BLACK})),
 t AS (SELECT title AS target, lower(title) AS t_low, {NORM.format("title")} AS t_norm FROM titles),
 m AS (SELECT text, target, CASE WHEN low = t_low THEN 1.0::DOUBLE WHEN norm = t_norm THEN 0.9::DOUBLE
@@ -161,7 +161,7 @@ m AS (SELECT text, target, CASE WHEN low = t_low THEN 1.0::DOUBLE WHEN norm = t_
       FROM g, t WHERE low = t_low OR (length(norm) * 4 >= length(t_norm) * 3 AND length(t_norm) * 4 >= length(norm) * 3 AND length(norm) > 0 AND length(t_norm) > 0 AND (contains(norm, t_norm) OR contains(t_norm, norm)))),
 c AS (SELECT doc_id, n, pos, text, target, confidence, match_type FROM grams JOIN m USING (text) WHERE confidence >= 0.6),
 top AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, target ORDER BY confidence DESC, n, pos) = 1),
-x AS (SELECT top.*, lower(d.text) AS ctx FROM top JOIN documents d USING (doc_id)),
+x AS (SELECT top.*, lower(d.text) AS ctx FROM top JOIN conversations d ON top.doc_id = d.conv_id * 1000 + d.turn),
 y AS (SELECT *, CASE WHEN match_type = 'exact' THEN least(confidence + 0.1, 1.0) ELSE confidence END AS c1, (length(ctx) - length(replace(ctx, lower(text), ''))) // length(text) AS times FROM x),
 z AS (SELECT doc_id, n, pos, text, target, confidence, match_type, (CASE WHEN times > 1 THEN least(c1 + 0.05 * (times - 1), 1.0) ELSE c1 END) * (CASE WHEN length(text) < 3 THEN 0.8 ELSE 1.0 END) AS adjusted FROM y)
 """
@@ -169,7 +169,11 @@ z AS (SELECT doc_id, n, pos, text, target, confidence, match_type, (CASE WHEN ti
 
 @query(CANDIDATES + "SELECT * FROM c")
 def link_candidates(spark, sf):
-    return linking.link_candidates(table(spark, sf, "documents"), title_table(spark, sf))
+    return linking.link_candidates(turns(spark, sf), title_table(spark, sf))
+
+
+def turns(spark, sf):
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
 
 
 def _top(spark, sf):
@@ -177,7 +181,7 @@ def _top(spark, sf):
 
 
 def _scored(spark, sf):
-    return linking.score(_top(spark, sf), table(spark, sf, "documents"))
+    return linking.score(_top(spark, sf), turns(spark, sf))
 
 
 @query(CANDIDATES + "SELECT * FROM top")
