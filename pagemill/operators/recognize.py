@@ -145,6 +145,38 @@ def rebuild_pages(crops: DataFrame, transcribe: Callable[[], Callable[[bytes], s
     return stitch_regions(parts).where("text <> ''").join(whole, F.col("doc_id") == F.col("page_id")).select("page_id", F.col("text").alias("markdown"), "n_regions")
 
 
+def enhance_regions(crops: DataFrame, backend: Callable[[], Backend], tier: str, enabled: bool = False, base_max: float = 0.55, margin: float = 0.30, least: float = 0.90) -> DataFrame:
+    """(page_id, item_id, html, region, engine, backend, score_enhanced, score_base, verdict) of poor regions' crops (page_id, region_id, content, bbox, quality, n_cols, blocks, x0, y0).
+
+    Regions for which the backend finds no table, or fails, are left out; for
+    the slow table model, drop those that geometry.applicability() refuses before.
+    """
+    from pagemill.operators import gates
+    from pagemill.operators.render import html_cell_rows
+
+    if tier == "manual":
+        crops = crops.where(F.lit(False))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = None
+        for b in batches:
+            read = read or backend()
+            out = []
+            for r in b.itertuples():
+                try:
+                    out.append(read(r.content, {"bbox": list(r.bbox), "quality": r.quality, "n_cols": r.n_cols}, r.blocks, (r.x0, r.y0)))
+                except Exception:  # noqa: BLE001
+                    out.append(None)
+            yield pd.DataFrame({"page_id": b["page_id"], "region_id": b["region_id"], "html": pd.Series(out, dtype=object, index=b.index)})
+
+    found = crops.select("page_id", "region_id", "content", "bbox", "quality", "n_cols", "blocks", "x0", "y0").mapInPandas(run, "page_id long, region_id int, html string").where("html <> ''")
+    scored = found.withColumn("__rows", html_cell_rows(F.col("html"))).withColumn("score_enhanced", gates.table_structure(F.col("__rows")))
+    region = F.struct("bbox", "quality", "n_cols")
+    j = scored.join(crops.select("page_id", "region_id", region.alias("region"), F.col("quality").alias("score_base")), ["page_id", "region_id"])
+    verdict = gates.adopt_verdict(F.col("score_base"), F.col("score_enhanced"), enabled, base_max, margin, least)
+    return j.select("page_id", F.col("region_id").alias("item_id"), "html", "region", F.lit(tier).alias("engine"), F.lit(tier).alias("backend"), F.round("score_enhanced", 3).alias("score_enhanced"), F.round("score_base", 3).alias("score_base"), verdict.alias("verdict"))
+
+
 def engines_of(config: dict) -> dict[str, str]:
     e = (config.get("ocr") or {}).get("engines") or {}
     text = e.get("text_default", DEFAULT_ENGINE)

@@ -190,3 +190,26 @@ def test_tasks(spark):
 def test_stitch(spark):
     parts = spark.createDataFrame([(1, 0, "one line\nshared line"), (1, 1, "shared line\nlast"), (1, 2, None)], "doc_id long, part int, text string")
     assert render.stitch_regions(parts).first()["text"] == "one line\nshared line\n\nlast"
+
+
+def test_enhancement(spark):
+    def backend():
+        def read(crop, region, blocks, offset):
+            if bytes(crop) == b"bad":
+                raise RuntimeError("no")
+            return "<table>" + "<tr><td>a</td><td>b</td><td>c</td></tr>" * 4 + "</table>" if bytes(crop) == b"t" else None
+
+        return read
+
+    rows = [(1, k, bytearray(c), [0, 0, 9, 9], 0.4, 3, "[]", 0, 0) for k, c in enumerate([b"t", b"bad", b"none"])]
+    crops = spark.createDataFrame(rows, "page_id long, region_id int, content binary, bbox array<int>, quality double, n_cols int, blocks string, x0 int, y0 int")
+    got = recognize.enhance_regions(crops, backend, "ppstructurev3", enabled=True).collect()
+    assert [(r["item_id"], r["score_enhanced"], r["verdict"]) for r in got] == [(0, 1.0, "adopt")]
+    assert recognize.enhance_regions(crops, backend, "vision").first()["verdict"] == "compare"
+    assert recognize.enhance_regions(crops, backend, "manual").count() == 0
+
+
+def test_rebuild(spark):
+    crops = spark.createDataFrame([(1, 0, bytearray(b"# head")), (1, 1, bytearray(b"line two")), (2, 0, bytearray(b"x")), (2, 1, bytearray(b"fail"))], "page_id long, region_id int, content binary")
+    got = recognize.rebuild_pages(crops, lambda: lambda c: None if bytes(c) == b"fail" else bytes(c).decode()).collect()
+    assert [tuple(r) for r in got] == [(1, "# head\n\nline two", 2)]
