@@ -1,11 +1,12 @@
 """Document probabilities under a subword unigram model, summed over all segmentations.
 
 The pieces are those of an existing vocabulary.  Their first weights come from
-its own scores; two rounds of expectation maximisation over the counted words
+its own scores; two rounds of expectation maximisation over the distinct words
 of all training documents fit them to the corpus.  A document's probability is
 the product of its words' (no piece runs over white space) and its end's; a
 word's is the sum over every way to cut it into pieces, by a forward recursion
-in log space.
+in log space.  A word that training documents hold is one more edge, over its
+whole length; such edges share all but the Good-Turing mass of new words.
 """
 
 from __future__ import annotations
@@ -177,9 +178,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close()
 
 
-def train_pieces(counts: DataFrame, n_docs: int, model: str, rounds: int = ROUNDS) -> Pieces:
-    """counts: (word binary, c), each word once.  Every counted word of the corpus takes part in each round; the driver gets a sum per piece."""
-    spark = counts.sparkSession
+def with_word_edge(log_pieces: np.ndarray, c: np.ndarray, n: int, known: float) -> np.ndarray:
+    """Natural-log probabilities from those over pieces and the counts c of n tokens; known: the share of whole-word edges."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log1p(-known) + log_pieces, np.log(known * c / max(n, 1)))
+
+
+def train_pieces(words: DataFrame, model: str, rounds: int = ROUNDS) -> Pieces:
+    """words: (word binary), every distinct word of the training documents once: pieces stand for words without a count.  The driver gets a sum per piece."""
+    spark = words.sparkSession
     pieces = Pieces(model)
 
     for _ in range(rounds):
@@ -188,18 +195,17 @@ def train_pieces(counts: DataFrame, n_docs: int, model: str, rounds: int = ROUND
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             total = None
             for b in batches:
-                words = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
-                got = expected_counts(words, b.column(1).to_numpy().astype(float), sent.value)
+                got = expected_counts([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], np.ones(b.num_rows), sent.value)
                 total = got if total is None else total + got
             if total is not None:
                 at = np.nonzero(total)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-        sums = counts.select("word", "c").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sums = words.select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         fitted = np.zeros(pieces.byte + 1)
         for r in sums:
             fitted[r["piece"]] = r["n"]
-        fitted[pieces.end] = n_docs
+        fitted[pieces.end] = 1
         pieces.fit(fitted)
         sent.unpersist()
     return pieces
@@ -225,20 +231,22 @@ def score_documents(docs: DataFrame, model: str, folds: int = 7, held: int = 2,
     words = passed.where("kind = 'words'").select("block", "word", "local", "c")
     counts, counts_path = written(words.groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n_docs = passed.where("kind = 'docs'").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    seen = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    seen = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     n, v = seen[0] + n_docs, seen[1] + (n_docs > 0)
-    pieces = train_pieces(counts.where("c > 0"), n_docs, model, rounds if seen[1] else 0)
+    known = 1 - max(1, seen[2]) / n if n else 0.0
+    pieces = train_pieces(counts.where("c > 0"), model, rounds if seen[1] else 0)
     sent = spark.sparkContext.broadcast(pieces)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lp = log10_words([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], sent.value)
+            lp = log10_words([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], sent.value) * np.log(10)
+            lp = with_word_edge(lp, b.column(1).to_numpy().astype(float), n, known) / np.log(10)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lp)], names=["word", "c", "lp"])
 
     weighed, weighed_path = written(counts.mapInArrow(weigh, "word binary, c long, lp double"), "weighed")
     looked = words.drop("c").join(weighed, "word").groupBy("block").agg(F.collect_list(F.struct("local", "c", "lp")).alias("found"))
     blocks = passed.where("kind = 'docs'").select("block", "docs").join(looked, "block", "left").select("docs", "found")
-    end_count, end_lp = n_docs, float(pieces.log[pieces.end] / np.log(10))
+    end_count, end_lp = n_docs, float(with_word_edge(pieces.log[pieces.end], np.float64(n_docs), n, known) / np.log(10))
     below = n + v + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
