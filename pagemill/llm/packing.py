@@ -10,8 +10,12 @@ one bin a task stays part-full.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ from pagemill.llm._common import arrow_batches
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 LOOK_AHEAD = 256
 SEGMENTS = 1024
-CACHE = 400_000
+CACHE = 800_000
 
 
 class VectorPacker:
@@ -115,28 +119,51 @@ class VectorPacker:
 class WordTokens:
     """Token ids, packed as little-endian 32-bit words, of whole texts.
 
-    The tokenizer drops white space and never joins what it parts, so the ids
-    of a text are those of its space-separated words in a row; words are
-    remembered, of a bounded number.
+    The tokenizer drops white space and joins nothing across the words, digits
+    and runs of marks that it cuts a text into, so the ids of a text are those
+    of its parts in a row.  Texts of ASCII and Latin letters are cut here by
+    the tokenizer's own rule, others at spaces only; parts are remembered, of a
+    bounded number.
     """
 
+    UNSAFE = re.compile(r"[^\n -~À-ÖØ-öø-ÿ]|<\|")
+    PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # Kept in the worker process from task to task.
+        kept = sys.modules.setdefault("_pagemill_parts", ModuleType("_pagemill_parts"))
+        self.known: dict[str, bytes] = kept.__dict__.setdefault(path, {})
+        # The model reads bytes as letters: those that print as they are, the others from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = dict(zip([*shown, *(b for b in range(256) if b not in shown)], [*shown, *range(256, 324)], strict=True))
+
+    def ids(self, part: str) -> bytes:
+        """Of a part that PART has cut."""
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        new = list({w for words in split for w in words}.difference(known))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = []
+        for t in texts:
+            if self.UNSAFE.search(t):
+                words = t.replace("\n", " ").split(" ")
+                new = [w for w in dict.fromkeys(words) if "\0" + w not in known]
+                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                    known["\0" + w] = array("I", e.ids).tobytes()
+                out.append(b"".join([known["\0" + w] for w in words]))
+            else:
+                parts = self.PART.findall(t.lower())
+                for p in set(parts).difference(known):
+                    known[p] = self.ids(p)
+                out.append(b"".join(map(known.__getitem__, parts)))
+        return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, tokens: int = 2048, segments: int = SEGMENTS, loss: int | None = None, look_ahead: int = LOOK_AHEAD) -> DataFrame:
