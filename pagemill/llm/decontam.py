@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pagemill.llm._common import arrow_batches, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SEGMENT_WORDS = 1_500_000
+SEGMENT_WORDS = 2_500_000
 BLOCK_CHARS = 8 << 20
 SEGMENT = "rows binary, starts binary, ids binary, terms binary, sizes binary, postings binary"
 MATCH = "row_id long, doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>"
@@ -43,7 +44,8 @@ class _Segment:
     """Gathers documents; pack() turns them into one row of the index."""
 
     def __init__(self) -> None:
-        self.vocab: dict[str, int] = {}
+        self.vocab: defaultdict[str, int] = defaultdict()
+        self.vocab.default_factory = self.vocab.__len__  # a new word gets the next number
         self.rows: list[int] = []
         self.ids: list[int | None] = []
         self.lengths: list[int] = []
@@ -52,10 +54,7 @@ class _Segment:
 
     def add(self, row: int, doc: int | None, text: str | None) -> None:
         found = WORD.findall(_lower(text)) if text else []
-        vocab = self.vocab
-        for w in set(found).difference(vocab):
-            vocab[w] = len(vocab)
-        self.parts.append(np.fromiter(map(vocab.__getitem__, found), np.uint32, len(found)))
+        self.parts.append(np.fromiter(map(self.vocab.__getitem__, found), np.uint32, len(found)))
         self.rows.append(row)
         self.ids.append(doc)
         self.lengths.append(len(found))
@@ -68,13 +67,14 @@ class _Segment:
         starts = np.zeros(len(self.rows) + 1, np.int64)
         np.cumsum(np.array(self.lengths, np.int64) + 1, out=starts[1:])
         at = np.arange(flat.size, dtype=np.int64) + np.repeat(np.arange(len(self.rows)), self.lengths)
-        order = np.argsort(flat, kind="stable")
         sizes = np.bincount(flat, minlength=len(self.vocab)).astype(np.uint32)
-        at = at[order].astype(np.int64)
+        both = flat.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64)
+        both.sort()  # by term, then place
+        at = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         delta = np.diff(at, prepend=0)
         firsts = np.zeros(len(self.vocab), np.int64)
         np.cumsum(sizes[:-1], out=firsts[1:])
-        delta[firsts[sizes > 0]] = at[firsts[sizes > 0]]
+        delta[firsts] = at[firsts]
         ids = pa.array(self.ids, pa.int64())
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as out:
@@ -126,6 +126,8 @@ class _Block:
                     self.owners.append([])
                 if k not in self.owners[seen[w]]:
                     self.owners[seen[w]].append(k)
+        # All windows as one table, short ones filled with their first word.
+        self.table = np.array([np.concatenate([w, np.repeat(w[:1], window - w.size)]) for w in self.windows]).reshape(-1, window)
 
 
 def _has(sorted_at: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -157,10 +159,11 @@ def _match_segment(row: dict, blocks, slop: int | None) -> dict:
     for handle in blocks:
         block: _Block = handle.value
         local = np.fromiter((place.get(w, -1) for w in block.vocab), np.int64, len(block.vocab))
-        for window, owners in zip(block.windows, block.owners, strict=True):
+        if not local.size:
+            continue
+        for n in np.nonzero((local[block.table] >= 0).all(axis=1))[0].tolist():
+            window, owners = block.windows[n], block.owners[n]
             mine = local[window]
-            if mine.min() < 0:
-                continue
             rarest = np.argsort(sizes[mine], kind="stable")
             at = postings(mine[rarest[0]]) - rarest[0]
             for k in rarest[1:]:
@@ -176,6 +179,14 @@ def _match_segment(row: dict, blocks, slop: int | None) -> dict:
                 reach = window.size + slop
                 distinct = list(dict.fromkeys(mine[rarest].tolist()))
                 at = postings(distinct[0])
+                for t in distinct[1:]:  # first, any occurrence within reach
+                    other = postings(t)
+                    k = np.searchsorted(other, at - (reach - 1))
+                    at = at[(k < other.size) & (other[np.minimum(k, other.size - 1)] < at + reach)]
+                    if not at.size:
+                        break
+                if not at.size:
+                    continue
                 low = high = at
                 of = np.searchsorted(starts, at, side="right") - 1
                 first, last = starts[of], starts[of + 1]
