@@ -45,7 +45,7 @@ class MergeIndex:
 
     def _run(self, records: DataFrame) -> str:
         merged = records.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.sum("n").alias("n"))
-        _, path = written(merged.sortWithinPartitions("digest"), "run", **{"parquet.bloom.filter.enabled#digest": "true"})
+        _, path = written(merged.sortWithinPartitions("digest"), "run", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 18)})
         return path
 
     def flush(self, records: DataFrame) -> None:
