@@ -97,8 +97,11 @@ def _forest(cols: np.ndarray, distance: int, least: int) -> tuple[list[int], lis
             f = queue.pop()
         else:
             f, rest = int(rest[0]), rest[1:]
-        tally = (cols[rest] == cols[f]).sum(axis=1) if rest.size < 64 else sum((cols[rest, p] == cols[f, p]).astype(np.uint8) for p in range(cols.shape[1]))
-        near = np.nonzero(tally >= least)[0]
+        if least:
+            tally = (cols[rest] == cols[f]).sum(axis=1) if rest.size < 64 else sum((cols[rest, p] == cols[f, p]).astype(np.uint8) for p in range(cols.shape[1]))
+            near = np.nonzero(tally >= least)[0]
+        else:
+            near = np.arange(rest.size)
         near = near[np.bitwise_count(cols[rest[near]] ^ cols[f]).sum(axis=1) <= distance]
         if near.size:
             found = rest[near].tolist()
@@ -179,12 +182,12 @@ def near_report(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
-# Near copies by a share of shingles: wider fingerprints, as 64 bits are too few to tell 0.8 from 0.7.
+# Near copies by a share of shingles: wider fingerprints choose what is worth comparing, the shingle sets themselves decide.
 
 WIDE = 4
 WIDE_BYTES = WIDE * BYTES
 WIDE_GROUPS = 96
-SLACK = 6
+SPREADS = 6
 
 
 def wide_majority(h: np.ndarray) -> bytes:
@@ -199,8 +202,9 @@ def wide_majority(h: np.ndarray) -> bytes:
 
 
 def bits_at(similarity: float) -> int:
-    """Differing bits of wide fingerprints to expect at a Jaccard similarity of shingle sets of like size."""
-    return int(np.floor(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    """Differing bits of wide fingerprints that pairs of this Jaccard similarity keep below: the mean for sets of like size, and SPREADS standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * WIDE * share + SPREADS * np.sqrt(64 * WIDE * share * (1 - share)))
 
 
 def wide_groups() -> np.ndarray:
@@ -209,30 +213,89 @@ def wide_groups() -> np.ndarray:
     return np.array([rng.permutation(WIDE_BYTES)[:3] for _ in range(WIDE_GROUPS)])
 
 
+def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest, as index pairs, of the pairs of non-empty sets whose Jaccard similarity is at least this.  Breadth first, as _forest()."""
+    sizes = np.array([x.size for x in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    rest = np.arange(sizes.size)
+    us: list[int] = []
+    vs: list[int] = []
+    queue: list[tuple[int, np.ndarray]] = []
+    while rest.size:
+        if queue:
+            f, own = queue.pop()
+        else:
+            f, own = int(rest[0]), flat[: sizes[0]]
+            rest, flat, sizes = rest[1:], flat[sizes[0] :], sizes[1:]
+            if not rest.size:
+                break
+        held = np.zeros(values.size, bool)
+        held[own] = True
+        starts = np.cumsum(sizes) - sizes
+        both = np.add.reduceat(held[flat], starts, dtype=np.int64)
+        near = both / (sizes + own.size - both) >= similarity
+        if near.any():
+            for k in np.nonzero(near)[0].tolist():
+                us.append(f)
+                vs.append(int(rest[k]))
+                queue.append((vs[-1], flat[starts[k] : starts[k] + sizes[k]]))
+            flat = flat[np.repeat(~near, sizes)]
+            rest, sizes = rest[~near], sizes[~near]
+    return us, vs
+
+
+def _verified(own: DataFrame, maybe: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): links of kinds whose shingle sets have the similarity.  maybe: (row_id, kind, group), a row of each kind; only kinds of one group are compared.
+
+    A group is held by one task: 8 bytes a shingle of its kinds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kinds, sets = None, [], []
+
+        def links_of() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                u, v = similar_forest(sets, similarity)
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array([kinds[k] for k in u], pa.int64()), pa.array([kinds[k] for k in v], pa.int64())], schema=_LINKS)
+
+        for b in batches:
+            for g, kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if g != group:
+                    yield from links_of()
+                    group, kinds, sets = g, [], []
+                kinds.append(kind)
+                sets.append(np.unique(shingle_hashes(text.as_py(), words)))
+        yield from links_of()
+
+    texts = own.select("row_id", "text").join(maybe, "row_id").select("group", "kind", "text")
+    return texts.repartition("group").sortWithinPartitions("group").mapInArrow(run, LINKS)
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: row_id, doc_id, component (long), kept: one row of each component of near copies, the one of the smallest id (nulls last, then the first row).
 
-    Texts are near copies where their wide fingerprints differ in no more bits
-    than shingle sets of this similarity do on average, and SLACK, a standard
-    deviation, beside; chains of near copies are one group.  No number of bytes
-    is sure to match at this distance, so pairs are looked for that share three
-    positional bytes of one of WIDE_GROUPS groups: by calculation 0.85 of pairs
-    at 0.8, 0.97 at 0.85 and over 0.99 at 0.9, of which 0.84, 0.98 and 0.99
-    pass the bits.
+    Texts are near copies where the sets of their shingles have at least this
+    Jaccard similarity; chains of near copies are one group.  Pairs are looked
+    for that share three positional bytes of one of WIDE_GROUPS groups of wide
+    fingerprints of the distinct shingles: by calculation 0.85 of pairs at 0.8,
+    0.97 at 0.85 and over 0.99 at 0.9.  Those within bits_at() are compared by
+    the sets themselves.
     Word-less and null texts are copies of one another.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    most = bits_at(similarity) + SLACK
+    most = bits_at(similarity)
     own = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "row_id")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = [wide_majority(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.binary()), pa.array(np.array([xxhash.xxh64_intdigest(m) for m in marks], np.uint64).view(np.int64))], names=["row_id", "doc_id", "mark", "kind"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
+            kinds = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds), pa.array([wide_majority(x) if x.size else None for x in sets], pa.binary())], names=["row_id", "doc_id", "kind", "mark"])
 
-    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(mark, "row_id long, doc_id long, mark binary, kind long"), "marks")
-    kinds = marked.groupBy("kind").agg(F.first("mark").alias("mark"))
+    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(mark, "row_id long, doc_id long, kind long, mark binary"), "marks")
+    kinds = marked.where("mark is not null").groupBy("kind").agg(F.min("row_id").alias("row_id"), F.first("mark").alias("mark"))
     groups = wide_groups()
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +306,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), len(groups)))], names=["key", "kind"])
 
     kinds, kinds_path = written(kinds, "kinds")
-    lists = kinds.mapInArrow(post, "key int, kind long").groupBy("key").agg(F.collect_list("kind").alias("kinds")).where("size(kinds) > 1")
+    lists = kinds.select("kind", "mark").mapInArrow(post, "key int, kind long").groupBy("key").agg(F.collect_list("kind").alias("kinds")).where("size(kinds) > 1")
     lists, lists_path = written(lists, "lists")
-    listed = lists.select(F.xxhash64("key").alias("list"), F.explode("kinds").alias("kind")).join(kinds, "kind").groupBy("list").agg(F.collect_list(F.struct("kind", "mark")).alias("members"))
+    listed = lists.select(F.col("key").alias("list"), F.explode("kinds").alias("kind")).join(kinds, "kind").groupBy("list").agg(F.collect_list(F.struct("kind", "mark")).alias("members"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,17 +316,19 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
                 members = row.values
                 ids = members.field("kind").to_numpy(zero_copy_only=False)
                 cols = np.frombuffer(b"".join(members.field("mark").to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
-                u, v = _forest(cols, most, 3)
+                u, v = _forest(cols, most, 0)
                 if u:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], schema=_LINKS)
 
-    found = components(listed.select("members").mapInArrow(link, LINKS).distinct())
+    maybe = components(listed.select("members").mapInArrow(link, LINKS).distinct())
+    maybe, maybe_path = written(maybe.join(kinds, F.col("node") == F.col("kind")).select("row_id", "kind", F.col("component").alias("group")), "maybe")
+    found = components(_verified(own, maybe, words, similarity))
     of_kind, of_path = written(found, "of-kind")
     rows, rows_path = written(marked.select("row_id", "doc_id", "kind").join(of_kind, marked["kind"] == of_kind["node"], "left").select("row_id", "doc_id", F.coalesce("component", "kind").alias("component")), "rows")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("f")).select("component", F.col("f.row_id").alias("first"))
     out = rows.join(first, "component").select("row_id", "doc_id", "component", (F.col("row_id") == F.col("first")).alias("kept"))
     out, _ = written(out, "near")
-    drop_path(spark, path, kinds_path, lists_path, of_path, rows_path)
+    drop_path(spark, path, kinds_path, lists_path, maybe_path, of_path, rows_path)
     return out
 
 

@@ -146,3 +146,31 @@ def test_near_copies(spark, tmp_path, empty, odd):
     assert kept == {2 * k for k in range(80)}
     assert simhash.near_copies(empty).count() == 0 and simhash.near_report(empty).count() == 0
     assert sum(r["kept"] for r in simhash.near_copies(odd).collect()) == 3
+
+
+def near_rows(texts, spark, path):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    return {r["doc_id"]: r for r in simhash.near_copies(spark.read.parquet(path)).collect()}
+
+
+def shingle_set(t):
+    w = t.split()
+    return set(zip(*(w[i:] for i in range(5)), strict=False))
+
+
+def test_near_copies_spare_what_is_not_similar(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    new = lambda n: [f"w{i}" for i in rng.integers(0, 50000, n)]
+    line, texts = new(25), []
+    for _ in range(12):  # different texts with one repeated line
+        texts.append(" ".join(new(200) + line * 20))
+    for _ in range(30):  # pairs a little under the similarity
+        w = new(300)
+        texts.append(" ".join(w))
+        for at in range(20, 200, 20):
+            w[at] = "changed"
+        texts.append(" ".join(w))
+    a, b = shingle_set(texts[12]), shingle_set(texts[13])
+    assert 0.7 < len(a & b) / len(a | b) < 0.8
+    got = near_rows(texts, spark, str(tmp_path / "d"))
+    assert all(r["kept"] for r in got.values())
