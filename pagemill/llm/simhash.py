@@ -186,8 +186,8 @@ def near_report(docs: DataFrame) -> DataFrame:
 
 WIDE = 4
 WIDE_BYTES = WIDE * BYTES
-WIDE_GROUPS = 96
 SPREADS = 6
+HOT_ROUNDS = 4
 
 
 def wide_majority(h: np.ndarray) -> bytes:
@@ -207,10 +207,12 @@ def bits_at(similarity: float) -> int:
     return int(64 * WIDE * share + SPREADS * np.sqrt(64 * WIDE * share * (1 - share)))
 
 
-def wide_groups() -> np.ndarray:
-    """WIDE_GROUPS groups of three byte positions, from a fixed seed."""
-    rng = np.random.default_rng(SEED)
-    return np.array([rng.permutation(WIDE_BYTES)[:3] for _ in range(WIDE_GROUPS)])
+def prefix(hashes: np.ndarray, similarity: float, hot: np.ndarray | None = None) -> np.ndarray:
+    """The first of sorted distinct hashes, so many that two sets of this similarity share one of them; those in hot (sorted) come last in the order."""
+    if hot is not None and hot.size and hashes.size:
+        held = hot[np.minimum(np.searchsorted(hot, hashes), hot.size - 1)] == hashes
+        hashes = np.concatenate([hashes[~held], hashes[held]])
+    return hashes[: hashes.size - int(np.ceil(similarity * hashes.size - 1e-9)) + 1]
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -272,15 +274,48 @@ def _verified(own: DataFrame, maybe: DataFrame, words: int, similarity: float) -
     return texts.repartition("group").sortWithinPartitions("group").mapInArrow(run, LINKS)
 
 
+def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -> tuple[DataFrame, list[str]]:
+    """(kind, prefix): by an order of the shingles that has the frequent ones last; and the paths to drop.
+
+    Shingles that LONG_LIST kinds or more hold in their prefixes are put last,
+    and the prefixes that hold one of them made anew, until no other is found (or
+    HOT_ROUNDS): any one order of all shingles gives complete lists.
+    """
+    spark = own.sparkSession
+    prefixes, paths = kinds.select("row_id", "kind", "prefix"), []
+    hot: set[int] = set()
+    for _ in range(HOT_ROUNDS):
+        sizes = prefixes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= LONG_LIST)
+        found = {r["key"] for r in sizes.select("key").collect()}  # a LONG_LIST-th of the postings at most
+        if found <= hot:
+            break
+        hot |= found
+        handle = spark.sparkContext.broadcast(np.sort(np.array(list(hot), np.int64).view(np.uint64)))
+        keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], "key long"))
+        old = prefixes.select("row_id", "kind", F.explode("prefix").alias("key")).join(keys, "key", "left_semi").select("row_id", "kind").distinct()
+        old, old_path = written(old, "hot")
+
+        def anew(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [prefix(np.unique(shingle_hashes(t.as_py(), words)), similarity, handle.value).view(np.int64) for t in b.column(2)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], names=["row_id", "kind", "prefix"])
+
+        new = own.join(old, "row_id").select("row_id", "kind", "text").mapInArrow(anew, "row_id long, kind long, prefix array<long>")
+        prefixes, new_path = written(prefixes.join(old.select("kind"), "kind", "left_anti").select("row_id", "kind", "prefix").union(new), "prefixes")
+        drop_path(spark, old_path, *paths)
+        paths = [new_path]
+    return prefixes.select("kind", "prefix"), paths
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: row_id, doc_id, component (long), kept: one row of each component of near copies, the one of the smallest id (nulls last, then the first row).
 
     Texts are near copies where the sets of their shingles have at least this
     Jaccard similarity; chains of near copies are one group.  Pairs are looked
-    for that share three positional bytes of one of WIDE_GROUPS groups of wide
-    fingerprints of the distinct shingles: by calculation 0.85 of pairs at 0.8,
-    0.97 at 0.85 and over 0.99 at 0.9.  Those within bits_at() are compared by
-    the sets themselves.
+    for that share a shingle of their prefixes, as all of this similarity do.
+    Of those, pairs within bits_at() of each other, by wide fingerprints of the
+    distinct shingles, are compared by the sets themselves: that is all but a
+    chance of SPREADS standard deviations.
     Word-less and null texts are copies of one another.
     """
     spark = docs.sparkSession
@@ -292,23 +327,16 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
             kinds = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds), pa.array([wide_majority(x) if x.size else None for x in sets], pa.binary())], names=["row_id", "doc_id", "kind", "mark"])
-
-    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(mark, "row_id long, doc_id long, kind long, mark binary"), "marks")
-    kinds = marked.where("mark is not null").groupBy("kind").agg(F.min("row_id").alias("row_id"), F.first("mark").alias("mark"))
-    groups = wide_groups()
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            cols = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(n, WIDE_BYTES).astype(np.int64)
-            keys = (cols[:, groups[:, 0]] << 16 | cols[:, groups[:, 1]] << 8 | cols[:, groups[:, 2]]) | np.arange(len(groups)) << 24
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), len(groups)))], names=["key", "kind"])
+            firsts = pa.array([prefix(x, similarity).view(np.int64) if x.size else None for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds), pa.array([wide_majority(x) if x.size else None for x in sets], pa.binary()), firsts], names=["row_id", "doc_id", "kind", "mark", "prefix"])
 
-    kinds, kinds_path = written(kinds, "kinds")
-    lists = kinds.select("kind", "mark").mapInArrow(post, "key int, kind long").groupBy("key").agg(F.collect_list("kind").alias("kinds")).where("size(kinds) > 1")
-    lists, lists_path = written(lists, "lists")
-    listed = lists.select(F.col("key").alias("list"), F.explode("kinds").alias("kind")).join(kinds, "kind").groupBy("list").agg(F.collect_list(F.struct("kind", "mark")).alias("members"))
+    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(mark, "row_id long, doc_id long, kind long, mark binary, prefix array<long>"), "marks")
+    first = marked.where("mark is not null").groupBy("kind").agg(F.min("row_id").alias("row_id"))
+    kinds, kinds_path = written(marked.join(first.select("row_id"), "row_id", "left_semi").select("row_id", "kind", "mark", "prefix"), "kinds")
+    prefixes, prefix_paths = _prefixes(own, kinds, words, similarity)
+    lists = prefixes.select("kind", F.explode("prefix").alias("key")).groupBy("key").agg(F.collect_list("kind").alias("kinds")).where("size(kinds) > 1")
+    lists, lists_path = written(lists.groupBy(F.array_sort("kinds").alias("kinds")).agg(F.min("key").alias("key")), "lists")
+    listed = lists.select(F.col("key").alias("list"), F.explode("kinds").alias("kind")).join(kinds.select("kind", "mark"), "kind").groupBy("list").agg(F.collect_list(F.struct("kind", "mark")).alias("members"))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,7 +356,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("f")).select("component", F.col("f.row_id").alias("first"))
     out = rows.join(first, "component").select("row_id", "doc_id", "component", (F.col("row_id") == F.col("first")).alias("kept"))
     out, _ = written(out, "near")
-    drop_path(spark, path, kinds_path, lists_path, maybe_path, of_path, rows_path)
+    drop_path(spark, path, kinds_path, *prefix_paths, lists_path, maybe_path, of_path, rows_path)
     return out
 
 

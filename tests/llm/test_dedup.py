@@ -174,3 +174,36 @@ def test_near_copies_spare_what_is_not_similar(spark, tmp_path):
     assert 0.7 < len(a & b) / len(a | b) < 0.8
     got = near_rows(texts, spark, str(tmp_path / "d"))
     assert all(r["kept"] for r in got.values())
+
+
+@pytest.mark.parametrize("long_list", [simhash.LONG_LIST, 8])
+def test_near_copies_just_over_the_similarity(spark, tmp_path, monkeypatch, long_list):
+    monkeypatch.setattr(simhash, "LONG_LIST", long_list)
+    rng = np.random.default_rng(4)
+    head, texts = [f"h{k}" for k in range(30)], []
+    for k in range(120):  # pairs of two, no chains; all texts share their head
+        n = int(rng.integers(60, 400))
+        w = head + [f"w{i}" for i in rng.integers(0, 50000, n)]
+        other, at = list(w), n
+        while True:
+            changed = [*other[:at], "changed", *other[at + 1 :]]
+            a, b = shingle_set(" ".join(w)), shingle_set(" ".join(changed))
+            if len(a & b) / len(a | b) < 0.8 or at < 40:
+                break
+            other, at = changed, at - 7
+        texts += [" ".join(w), " ".join(other)]
+    got = near_rows(texts, spark, str(tmp_path / "d"))
+    assert {k for k, r in got.items() if r["kept"]} == set(range(0, 240, 2))
+
+
+def test_prefixes_meet():
+    rng = np.random.default_rng(5)
+    for n in (1, 4, 5, 10, 15, 37, 300):
+        for _ in range(50):
+            a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            b = np.concatenate([a[n // 10 :], rng.integers(0, 1 << 62, n // 10).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            if np.intersect1d(a, b).size / np.union1d(a, b).size >= 0.8:
+                hot = np.unique(rng.choice(a, n // 2))
+                assert np.intersect1d(simhash.prefix(a, 0.8, hot), simhash.prefix(b, 0.8, hot)).size
+                assert np.intersect1d(simhash.prefix(a, 0.8), simhash.prefix(b, 0.8)).size
