@@ -27,6 +27,7 @@ from pagemill.llm._common import arrow_batches, written
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SEGMENT_WORDS = 2_500_000
 BLOCK_CHARS = 8 << 20
+NEAR_BLOCK = 1 << 14
 SEGMENT = "rows binary, starts binary, ids binary, terms binary, sizes binary, postings binary"
 MATCH = "row_id long, doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>"
 
@@ -136,6 +137,30 @@ def _has(sorted_at: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_at[k] == values
 
 
+def _within(at: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, reach: int) -> np.ndarray:
+    """Where windows of `reach` words of one document begin that hold a place of every list, at places of the first list.
+
+    A window can be moved right until it begins with one of its places, so only
+    the places of all lists around those of the first are tried as beginnings.
+    """
+    found = []
+    for k in range(0, at.size, NEAR_BLOCK):
+        part = at[k : k + NEAR_BLOCK]
+        begin = []
+        for x in lists:
+            a, b = np.searchsorted(x, part - (reach - 1)), np.searchsorted(x, part, side="right")
+            n = b - a
+            begin.append(x[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        begin = np.unique(np.concatenate(begin))
+        end = np.minimum(begin + reach, starts[np.searchsorted(starts, begin, side="right")])
+        for x in lists:
+            m = np.searchsorted(x, begin)
+            keep = (m < x.size) & (x[np.minimum(m, x.size - 1)] < end)
+            begin, end = begin[keep], end[keep]
+        found.append(begin)
+    return np.concatenate(found)
+
+
 def _match_segment(row: dict, blocks, slop: int | None) -> dict:
     unsqueeze = zstandard.ZstdDecompressor().decompress
     terms = unsqueeze(row["terms"]).decode().split("\x00")
@@ -187,24 +212,9 @@ def _match_segment(row: dict, blocks, slop: int | None) -> dict:
                         break
                 if not at.size:
                     continue
-                low = high = at
-                of = np.searchsorted(starts, at, side="right") - 1
-                first, last = starts[of], starts[of + 1]
-                for t in distinct[1:]:  # nearest occurrence of each term to the rarest one, left or right, within reach
-                    other = postings(t)
-                    k = np.searchsorted(other, at)
-                    left, right = other[np.maximum(k - 1, 0)], other[np.minimum(k, other.size - 1)]
-                    left_gap, right_gap = np.where((k > 0) & (left >= first), at - left, reach), np.where((k < other.size) & (right < last), right - at, reach)
-                    pick = np.where(right_gap < left_gap, right, left)
-                    keep = np.minimum(left_gap, right_gap) < reach
-                    low, high = np.minimum(low, pick), np.maximum(high, pick)
-                    keep &= high - low < reach
-                    at, low, high, first, last = (x[keep] for x in (at, low, high, first, last))
-                    if not at.size:
-                        break
-                if at.size:
-                    for d in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
-                        near.setdefault(d, set()).update(block.names[o] for o in owners)
+                at = _within(at, [postings(t) for t in distinct], starts, reach)
+                for d in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
+                    near.setdefault(d, set()).update(block.names[o] for o in owners)
     hit = np.cumsum(cover[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(hit)])
     rows = np.frombuffer(row["rows"], np.int64)
@@ -225,8 +235,8 @@ def match_index(index: DataFrame, items: DataFrame, item_id: str = "item_id", it
     items is a stated query set: it is read block by block (BLOCK_CHARS of text
     each) and each block sent once to every executor.  Null or word-less items
     match nothing; repeated items are matched once.  Proximity is looked for
-    only where slop is given: around the rarest term, by its nearest
-    neighbours, so each reported place is a true one.
+    only where slop is given: in every window around the rarest term, so the
+    places reported are all there are.
     """
     if window < 1 or (slop is not None and slop < 0):
         raise ValueError("window must be at least 1 and slop at least 0")

@@ -218,3 +218,18 @@ def test_lattice(docs, texts, empty, odd):
         assert r["score"] == pytest.approx(sum(map(log10_p, every)))
     assert lattice_lm.score_documents(empty, model).count() == 0
     assert lattice_lm.score_documents(odd, model).count() == 6
+
+
+def test_proximity_is_whole(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    terms = [f"t{k}" for k in range(5)]
+    texts = ["fill t0 " + "fill " * 5 + "t1 fill t2 t1 fill t3 t4"]
+    for _ in range(150):
+        p = [0.02, *rng.uniform(0.02, 0.2, 4)]
+        texts.append(" ".join(rng.choice([*terms, "fill"], 60, p=[*p, 1 - sum(p)])))
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    bench = spark.createDataFrame([(1, " ".join(terms))], "item_id long, text string")
+    got = {r["doc_id"]: r["n_near_items"] for r in decontam.contamination_report(spark.read.parquet(path), bench, slop=7).collect()}
+    want = {k: int(any(set(terms) <= set(w[i : i + 12]) for i in range(len(w)))) for k, w in enumerate(t.split() for t in texts)}
+    assert got == want and 20 < sum(want.values()) < 130
