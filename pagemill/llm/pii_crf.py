@@ -2,8 +2,8 @@
 
 The field runs over space-separated words with word-shape features.  It is
 trained on the driver from a small labelled table and decoded by Viterbi in
-numpy batches.  Words without a digit or an "@", and not beside a bracketed
-"at", are outside by definition, so a chain breaks at them and only the runs in
+numpy batches.  Words without a digit or an "@", and not of an address with
+"at" or "dot" written out, are outside by definition, so a chain breaks at them and only the runs in
 between are decoded: the same result as over the whole text.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import arrow_batches
+from pagemill.llm._common import arrow_batches, releasing
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -30,8 +30,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile("[0-9@]")
-AT_SIGNS = ("[at]", "(at)", "[AT]", "(AT)")
-WRITTEN_OUT = re.compile(r"\S+[ \t]+[\[(](?:at|AT)[\])][ \t]+\S+")
+AT_WORD = re.compile(r"(?<!\S)[\[({<]?(?:at|AT)[\])}>]?(?!\S)")
+DOT_WORD = re.compile(r"[\[({<]?(?:dot|DOT)[\])}>]?(?!\S)")
+BRACKETS = "[({<"
 WORD = re.compile(r"\S+")
 DIGIT = re.compile("[0-9]")
 PART = re.compile(r"[0-9]+|[^\W\d_]+|.")
@@ -87,8 +88,37 @@ def base_spans(text: str | None) -> list[Span]:
 # Words and features.
 
 
+def _written_out(text: str) -> Iterator[tuple[int, int]]:
+    """Words of addresses with a written "at" and "dot": the one before "at", the one after, and a "dot" and a word as often as they follow.
+
+    A bare "at" counts where a "dot" follows, one in brackets always.
+    """
+    for m in AT_WORD.finditer(text):
+        end = m.start()
+        while end > 0 and text[end - 1] in " \t":
+            end -= 1
+        start = end
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        after = WORD.match(text, _gap(text, m.end()))
+        if start == end or after is None:
+            continue
+        words, dots = [(start, end), m.span(), after.span()], 0
+        while (dot := DOT_WORD.match(text, at := _gap(text, words[-1][1]))) and at > words[-1][1] and (last := WORD.match(text, _gap(text, dot.end()))):
+            words += [dot.span(), last.span()]
+            dots += 1
+        if dots or m.group()[0] in BRACKETS:
+            yield from words
+
+
+def _gap(text: str, at: int) -> int:
+    while at < len(text) and text[at] in " \t":
+        at += 1
+    return at
+
+
 def words_with_triggers(text: str) -> list[tuple[int, int]]:
-    """Words with a digit or an @, and the three of an address with a bracketed "at", in order."""
+    """Words with a digit or an @, and those of written-out addresses, in order."""
     out = []
     m = TRIGGER.search(text)
     while m:
@@ -99,10 +129,8 @@ def words_with_triggers(text: str) -> list[tuple[int, int]]:
             end += 1
         out.append((start, end))
         m = TRIGGER.search(text, end)
-    if any(x in text for x in AT_SIGNS):
-        more = {(m.start() + w.start(), m.start() + w.end()) for m in WRITTEN_OUT.finditer(text) for w in WORD.finditer(m.group())}
-        out = sorted(more.union(out))
-    return out
+    more = set(_written_out(text))
+    return sorted(more.union(out)) if more else out
 
 
 def runs_of(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -129,24 +157,27 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def shape(word: str) -> str:
-    """Runs of digits as their length, of lower or upper letters as one a or A, other marks as they are; 24 signs at most."""
-    out = []
-    for run in PART.findall(word[:200]):
-        out.append(str(min(len(run), 20)) if DIGIT.match(run) else "A" if run[0].isupper() else "a" if run[0].isalpha() else run)
-    return " ".join(out)[:24]
+    """Runs of digits as their length, of lower or upper letters as one a or A, other marks as they are; each of a row of like things once, but digits."""
+    out: list[str] = []
+    for run in PART.findall(word):
+        mark = str(min(len(run), 20)) if DIGIT.match(run) else "A" if run[0].isupper() else "a" if run[0].isalpha() else run
+        if mark.isdigit() or out[-1:] != [mark]:
+            out.append(mark)
+    return " ".join(out)
 
 
+ENDINGS = frozenset("com org net edu gov io de fr es uk info".split())
 HINTS = frozenset("phone tel telephone call fax mobile cell email mail e-mail contact ip host address server card visa mastercard credit number no order invoice version ref id token page".split())
 
 
 def features(words: list[str], before: str, after: str) -> list[list[str]]:
     """Of each word of a run; before and after are the plain words beside it."""
-    joined = digits_of(" ".join(words))[:40]
+    joined = digits_of(" ".join(words))
     whole = f"run {min(len(joined), 20)} {len(joined) >= 13 and luhn(joined)}"
     shapes = [shape(w) for w in words]
     out = []
     for k, w in enumerate(words):
-        d = digits_of(w[:64])
+        d = digits_of(w)
         prev, nxt = (words[k - 1] if k else before).lower().strip(EDGE), (words[k + 1] if k + 1 < len(words) else after).lower().strip(EDGE)
         f = ["bias", "s=" + shapes[k], f"n={min(len(d), 20)}", whole, f"at {'@' in w}", f"dots {min(w.count('.'), 4)}", f"sep {w.count('-') + w.count('.') > 0}", f"head {w[:1] if not w[:1].isalnum() else 'd' if w[:1].isdigit() else 'a'}", f"luhn {len(d) >= 13 and luhn(d)}"]
         f.append("p=" + (shapes[k - 1] if k else "-"))
@@ -156,10 +187,12 @@ def features(words: list[str], before: str, after: str) -> list[list[str]]:
         f.append(f"quad {len(parts) == 4 and all(p.isdigit() and octet(p) for p in parts)}")
         if prev in HINTS:
             f.append("h=" + prev)
-        if nxt in ("[at]", "(at)", "[dot]", "(dot)"):
-            f.append("next at")
-        if prev in ("[at]", "(at)", "[dot]", "(dot)"):
-            f.append("prev at")
+        own = w.lower().strip("[](){}<>")
+        f += [f"{side} {x}" for side, x in (("is", own), ("next", nxt.strip("[](){}<>")), ("prev", prev.strip("[](){}<>"))) if x in ("at", "dot")]
+        if w[:1] in BRACKETS and own in ("at", "dot"):
+            f.append("bracketed")
+        if own in ENDINGS:
+            f.append("ending")
         out.append(f)
     return out
 
@@ -168,11 +201,11 @@ def features(words: list[str], before: str, after: str) -> list[list[str]]:
 
 
 @lru_cache(maxsize=1)
-def labelled_table() -> tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]:
-    """(words, labels) of runs, first and last word being the plain neighbours: made by rule from a fixed seed."""
-    rng = random.Random(7)
+def labelled_table(seed: int = 7, syllables: tuple[str, ...] = ("th", "er", "on", "an", "in", "ed", "ly", "ou", "re"), each: int = 12) -> tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]:
+    """(words, labels) of runs, first and last word being the plain neighbours: made by rule from a seed."""
+    rng = random.Random(seed)
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "in", "ed", "ly", "ou", "re"]) for _ in range(rng.randint(1, 4)))
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
 
     def card() -> str:
         d = rng.choice("3456") + num(14)
@@ -191,6 +224,9 @@ def labelled_table() -> tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]:
         lambda: ("email", [f"{word()}.{num(2)}@{host()}"]),
         lambda: ("email", [f"{word()}@{host()}"]),
         lambda: ("email", [f"{word()}.{num(2)}", rng.choice(["[at]", "(at)"]), host()]),
+        lambda: ("email", [word(), rng.choice(["at", "AT", "[at]", "(at)", "<at>"]), word(), rng.choice(["dot", "DOT", "[dot]", "(dot)"]), rng.choice(["com", "org", "net", "de"])]),
+        lambda: ("email", [f"{word()}.{word()}", "at", word(), "dot", word(), "dot", rng.choice(["com", "org", "io"])]),
+        lambda: ("", [word(), "at", rng.choice(["the", "a", word()]), "dot", rng.choice(["on", "and", word()])]),
         lambda: ("ip", [quad()]),
         lambda: ("ip", [f"{quad()}:{num(4)}"]),
         lambda: ("card", [card()]),
@@ -224,7 +260,7 @@ def labelled_table() -> tuple[tuple[tuple[str, ...], tuple[str, ...]], ...]:
     ]
     hint = {"email": ["email", "mail", "contact"], "ip": ["ip", "host", "server"], "card": ["card", "visa"], "phone": ["phone", "call", "tel"], "": ["order", "version", "page", "ref", "token"]}
     out = []
-    for _ in range(12):
+    for _ in range(each):
         for make in makers:
             kind, words = make()
             before = rng.choice(hint[kind]) if rng.random() < 0.3 else word()
@@ -334,7 +370,20 @@ def _valid(kind: str, text: str) -> bool:
     if kind == "ip":
         m = re.match(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text)
         return bool(m) and all(map(octet, m.group().split(".")))
-    return "." in text and any(c.isalpha() for c in text) and bool(re.search(r"@|[\[(](?:at|AT)[\])]", text))
+    words = text.split()
+    return any(c.isalpha() for c in text) and ("." in text or any(map(DOT_WORD.fullmatch, words))) and ("@" in text or any(map(AT_WORD.fullmatch, words)))
+
+
+def _neighbours(text: str, start: int, end: int) -> tuple[str, str]:
+    """The words before and after text[start:end], or "" at the text's ends."""
+    z = start
+    while z > 0 and text[z - 1].isspace():
+        z -= 1
+    a = z
+    while a > 0 and not text[a - 1].isspace():
+        a -= 1
+    after = WORD.search(text, end)
+    return text[a:z], after.group() if after else ""
 
 
 def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
@@ -345,9 +394,8 @@ def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], l
         for run in runs_of(t) if t else ():
             cuts = [trimmed(t, a, b) for a, b in run]
             words = [t[a:b] for a, b in cuts]
-            before, after = t[max(0, run[0][0] - 40) : run[0][0]].split(), t[run[-1][1] : run[-1][1] + 40].split()
             work.append((k, cuts))
-            chains.append(field.scores(features(words, before[-1] if before else "", after[0] if after else "")))
+            chains.append(field.scores(features(words, *_neighbours(t, run[0][0], run[-1][1]))))
     added: list[list[Span]] = [[] for _ in texts]
     for at in range(0, len(chains), BATCH):
         for (k, cuts), labels in zip(work[at : at + BATCH], field.decode(chains[at : at + BATCH]), strict=True):
@@ -374,21 +422,24 @@ def joined(spans: list[Span]) -> str:
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, n_added.
 
-    Null and empty texts have no spans; texts of any length are read whole.
+    Null and empty texts have no spans; texts and words of any length are read
+    whole.  Of equal best label paths the one of the first labels is taken.
     Repeated rows stay rows.  Only the two named columns are read.  An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    sent = spark.sparkContext.broadcast(train())  # a few thousand weights
+    weights = train()
+    sent = spark.sparkContext.broadcast((weights.index, weights.emit, weights.step))  # a few thousand weights, plain: workers need not have this package
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Field(*sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                got = all_spans(part.column(1).to_pylist(), sent.value)
+                got = all_spans(part.column(1).to_pylist(), field)
                 counts = [pa.array([sum(s[0] == kind for s in base) for base, _ in got], pa.int64()) for kind in KINDS]
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got]), pa.array([joined(every) for _, every in got], pa.string()), pa.array([len(every) - len(base) for base, every in got], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return own.mapInArrow(releasing(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
