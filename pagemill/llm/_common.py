@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+LEAST_WORDS, MOST_WORDS = 1 << 10, 1 << 20
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -79,13 +83,74 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def bucket_of(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets))
+def spare_name(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose number, as numbered() gives it, is in gone (row_id), in its own columns.
+
+    Texts that stay for sure don't move: only rows that a bounded bit set lets
+    through are joined.
+    """
+    no = spare_name(docs, "row_no")
+    gone, _ = written(gone.select("row_id"), "gone")
+    words = filter_words(gone.count())
+    bits, _ = written(bit_words(gone, "row_id", words), "filter")
+    flag = spare_name(docs, "row_flag")
+    marked = may_hold(numbered(docs, no), no, bits, words, flag)
+    suspects = marked.where(F.col(flag)).join(gone.select(F.col("row_id").alias(spare_name(docs, "row_gone"))), F.col(no) == F.col(spare_name(docs, "row_gone")), "left_anti")
+    return marked.where(~F.col(flag)).union(suspects).drop(no, flag)
+
+
+def joined_rows(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df joined to ids by their long column key, ids holding each once; rows of df that have no match for sure don't move."""
+    ids, _ = written(ids, "ids")
+    words = filter_words(ids.count())
+    bits, _ = written(bit_words(ids, key, words), "filter")
+    flag = spare_name(df, "row_flag")
+    return may_hold(df, key, bits, words, flag).where(F.col(flag)).drop(flag).join(ids, key)
+
+
+# Memory of Python workers, which live on from task to task.
+
+
+def release() -> None:
+    """Gives what a task has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """run (batches -> batches), after which the worker's memory is given back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 # A set of 64-bit keys as words of bits: of bounded size whatever the number of keys, with false positives only.
 
 
+def filter_words(keys: int) -> int:
+    """Words for so many keys: 16 bits a key, a power of two between LEAST_WORDS and MOST_WORDS (16 MB; fuller sets let more through)."""
+    words = LEAST_WORDS
+    while words < MOST_WORDS and words * 4 < keys:
+        words *= 2
+    return words
+
+
 def bit_words(keys: DataFrame, key: str, words: int) -> DataFrame:
     """(word long, bits long): at most `words` rows; the bit of each key is set.  words is a power of two."""
     slot = F.xxhash64(F.col(key), F.lit(7))
@@ -94,10 +159,11 @@ def bit_words(keys: DataFrame, key: str, words: int) -> DataFrame:
 
 def may_hold(df: DataFrame, key: str, bits: DataFrame, words: int, flag: str) -> DataFrame:
     """Adds flag: whether the key may be in the set behind bit_words().  The broadcast is bounded by `words` rows of 16 bytes."""
-    small = F.broadcast(bits.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))
+    word, held = spare_name(df, "bits_word"), spare_name(df, "bits_held")
+    small = F.broadcast(bits.select(F.col("word").alias(word), F.col("bits").alias(held)))
     slot = F.xxhash64(F.col(key), F.lit(7))
-    hit = F.coalesce(F.expr(f"getbit(__bits, cast(pmod(xxhash64({key}, 7), 64) as int)) = 1"), F.lit(False))
-    return df.withColumn("__word", F.pmod(F.shiftright(slot, 6), F.lit(words))).join(small, "__word", "left").withColumn(flag, hit).drop("__word", "__bits")
+    hit = F.coalesce(F.getbit(F.col(held), F.pmod(slot, F.lit(64)).cast("int")) == 1, F.lit(False))
+    return df.withColumn(word, F.pmod(F.shiftright(slot, 6), F.lit(words))).join(small, word, "left").withColumn(flag, hit).drop(word, held)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -130,6 +196,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     stars = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
-
-
-SCHEMA_DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])

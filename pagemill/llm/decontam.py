@@ -11,10 +11,10 @@ other, and each segment is matched by one task of bounded memory.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import arrow_batches, written
+from pagemill.llm._common import arrow_batches, releasing, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SEGMENT_WORDS = 2_500_000
+SEGMENT_WORDS = 1_000_000
 BLOCK_CHARS = 8 << 20
+BLOCKS = 4
 NEAR_BLOCK = 1 << 14
 SEGMENT = "rows binary, starts binary, ids binary, terms binary, sizes binary, postings binary"
-MATCH = "row_id long, doc_id long, n_words long, n_hit long, items array<string>, near_items array<string>"
+MATCH = "row_id long, doc_id long, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>, near_items array<string>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -104,31 +105,31 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     arrow_batches(docs.sparkSession)
     own = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return written(own.mapInArrow(_segments, SEGMENT), "postings")
-
-
-class _Block:
-    """Query items as windows of words.  Items of fewer words than a window are one window; items of none have none."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        self.vocab: dict[str, int] = {}
-        self.names: list[str] = []
-        seen: dict[tuple[str, ...], int] = {}
-        self.windows: list[np.ndarray] = []
-        self.owners: list[list[int]] = []
-        for k, (name, text) in enumerate(items):
-            self.names.append(name)
-            found = words_of(text)
-            for i in range(max(1, len(found) - window + 1) if found else 0):
-                w = tuple(found[i : i + window])
-                if w not in seen:
-                    seen[w] = len(self.windows)
-                    self.windows.append(np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64))
-                    self.owners.append([])
-                if k not in self.owners[seen[w]]:
-                    self.owners[seen[w]].append(k)
-        # All windows as one table, short ones filled with their first word.
-        self.table = np.array([np.concatenate([w, np.repeat(w[:1], window - w.size)]) for w in self.windows]).reshape(-1, window)
+    return written(own.mapInArrow(releasing(_segments), SEGMENT), "postings")
+
+
+def query_block(items: list[tuple[str | None, str | None]], window: int) -> dict:
+    """Query items as windows of words, in plain lists and arrays.
+
+    vocab: the words; table: a row of word numbers a window, short windows
+    filled with their first word; sizes: words of each; names: item ids;
+    owners[cuts[n]:cuts[n + 1]]: the items of window n.  Items of fewer words
+    than a window are one window; items of none have none.
+    """
+    vocab: dict[str, int] = {}
+    seen: dict[tuple[int, ...], dict[int, None]] = {}
+    for k, (_, text) in enumerate(items):
+        found = [vocab.setdefault(w, len(vocab)) for w in words_of(text)]
+        for i in range(max(1, len(found) - window + 1) if found else 0):
+            seen.setdefault(tuple(found[i : i + window]), {})[k] = None
+    return {
+        "vocab": list(vocab),
+        "table": np.array([[*w, *[w[0]] * (window - len(w))] for w in seen], np.int64).reshape(-1, window),
+        "sizes": np.fromiter(map(len, seen), np.int64, len(seen)),
+        "names": [name for name, _ in items],
+        "owners": [k for ks in seen.values() for k in ks],
+        "cuts": np.concatenate([[0], np.cumsum(np.fromiter(map(len, seen.values()), np.int64, len(seen)))]),
+    }
 
 
 def _has(sorted_at: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -161,7 +162,7 @@ def _within(at: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, reach:
     return np.concatenate(found)
 
 
-def _match_segment(row: dict, blocks, slop: int | None) -> dict:
+def _match_segment(row: dict, blocks: list[dict], slop: int | None) -> dict:
     unsqueeze = zstandard.ZstdDecompressor().decompress
     terms = unsqueeze(row["terms"]).decode().split("\x00")
     sizes = np.frombuffer(unsqueeze(row["sizes"]), np.uint32).astype(np.int64)
@@ -181,14 +182,15 @@ def _match_segment(row: dict, blocks, slop: int | None) -> dict:
             got = lists[term] = np.cumsum(deltas[ends[term] - sizes[term] : ends[term]], dtype=np.int64)
         return got
 
-    for handle in blocks:
-        block: _Block = handle.value
-        local = np.fromiter((place.get(w, -1) for w in block.vocab), np.int64, len(block.vocab))
+    for block in blocks:
+        local = np.fromiter((place.get(w, -1) for w in block["vocab"]), np.int64, len(block["vocab"]))
         if not local.size:
             continue
-        for n in np.nonzero((local[block.table] >= 0).all(axis=1))[0].tolist():
-            window, owners = block.windows[n], block.owners[n]
-            mine = local[window]
+        names, owners, cuts = block["names"], block["owners"], block["cuts"]
+        for n in np.nonzero((local[block["table"]] >= 0).all(axis=1))[0].tolist():
+            size = int(block["sizes"][n])
+            mine = local[block["table"][n, :size]]
+            held = {name for k in owners[cuts[n] : cuts[n + 1]] if (name := names[k]) is not None}
             rarest = np.argsort(sizes[mine], kind="stable")
             at = postings(mine[rarest[0]]) - rarest[0]
             for k in rarest[1:]:
@@ -197,11 +199,11 @@ def _match_segment(row: dict, blocks, slop: int | None) -> dict:
                 at = at[_has(postings(mine[k]), at + k)]
             if at.size:
                 np.add.at(cover, at, 1)
-                np.add.at(cover, at + window.size, -1)
+                np.add.at(cover, at + size, -1)
                 for d in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
-                    items.setdefault(d, set()).update(block.names[o] for o in owners)
+                    items.setdefault(d, set()).update(held)
             if slop is not None:
-                reach = window.size + slop
+                reach = size + slop
                 distinct = list(dict.fromkeys(mine[rarest].tolist()))
                 at = postings(distinct[0])
                 for t in distinct[1:]:  # first, any occurrence within reach
@@ -214,51 +216,78 @@ def _match_segment(row: dict, blocks, slop: int | None) -> dict:
                     continue
                 at = _within(at, [postings(t) for t in distinct], starts, reach)
                 for d in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
-                    near.setdefault(d, set()).update(block.names[o] for o in owners)
-    hit = np.cumsum(cover[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(hit)])
-    rows = np.frombuffer(row["rows"], np.int64)
-    ids = pa.ipc.open_stream(row["ids"]).read_all().column("id").to_pylist()
+                    near.setdefault(d, set()).update(held)
+    edge = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0, append=0)
+    lo, hi = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    of = np.searchsorted(starts, lo, side="right") - 1
+    spans: dict[int, list[dict]] = {}
+    for d, x, y in zip(of.tolist(), (lo - starts[of]).tolist(), (hi - starts[of]).tolist(), strict=True):
+        spans.setdefault(d, []).append({"lo": x, "hi": y})
     return {
-        "row_id": rows.tolist(),
-        "doc_id": ids,
+        "row_id": np.frombuffer(row["rows"], np.int64).tolist(),
+        "doc_id": pa.ipc.open_stream(row["ids"]).read_all().column("id").to_pylist(),
         "n_words": (np.diff(starts) - 1).tolist(),
-        "n_hit": (total[starts[1:]] - total[starts[:-1]]).tolist() if n_docs else [],
+        "spans": [spans.get(d, []) for d in range(n_docs)],
         "items": [sorted(items.get(d, ())) for d in range(n_docs)],
         "near_items": [sorted(near.get(d, ())) for d in range(n_docs)],
     }
 
 
-def match_index(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = 10, slop: int | None = None) -> DataFrame:
-    """One row per indexed document: row_id, doc_id, n_words, n_hit, items (exact phrases), near_items (all terms within window + slop words, any order).
+def _blocks_of(items: DataFrame, window: int) -> Iterator[dict]:
+    held, size = [], 0
+    for r in items.toLocalIterator():
+        held.append((r[0], r[1]))
+        size += len(r[1] or "") + 1
+        if size >= BLOCK_CHARS:
+            yield query_block(held, window)
+            held, size = [], 0
+    if held:
+        yield query_block(held, window)
+
 
-    items is a stated query set: it is read block by block (BLOCK_CHARS of text
-    each) and each block sent once to every executor.  Null or word-less items
-    match nothing; repeated items are matched once.  Proximity is looked for
-    only where slop is given: in every window around the rarest term, so the
-    places reported are all there are.
+def match_index(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = 10, slop: int | None = None) -> DataFrame:
+    """One row per indexed document: row_id, doc_id, n_words, n_hit, items (exact phrases), near_items (all terms within window + slop words, any order), spans (the hit runs of words).
+
+    items is a stated query set, read block by block (BLOCK_CHARS of text
+    each); at most BLOCKS of them are sent to the executors at once, and the
+    index is read once for so many.  Null or word-less items match nothing;
+    the words of an item of null id are hit, but it is in no list; repeated
+    items are matched once.  Proximity is looked for only where slop is given:
+    in every window around the rarest term, so the places reported are all
+    there are.
     """
     if window < 1 or (slop is not None and slop < 0):
         raise ValueError("window must be at least 1 and slop at least 0")
     spark = index.sparkSession
     arrow_batches(spark)
-    handles, held, size = [], [], 0
-    for r in items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size >= BLOCK_CHARS:
-            handles.append(spark.sparkContext.broadcast(_Block(held, window)))
-            held, size = [], 0
-    if held:
-        handles.append(spark.sparkContext.broadcast(_Block(held, window)))
-    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
+    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_pydict(_match_segment(batch.slice(k, 1).to_pylist()[0], handles, slop), schema=schema)
+    def one_pass(blocks: list[dict]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(blocks)  # bounded: BLOCKS blocks of BLOCK_CHARS
 
-    return index.mapInArrow(match, MATCH)
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    yield pa.RecordBatch.from_pydict(_match_segment(batch.slice(k, 1).to_pylist()[0], sent.value, slop), schema=schema)
+
+        return index.mapInArrow(releasing(match), MATCH)
+
+    passes = [one_pass([])] if items.isEmpty() else []
+    held: list[dict] = []
+    for block in _blocks_of(items.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")), window):
+        held.append(block)
+        if len(held) == BLOCKS:
+            passes.append(written(one_pass(held), "pass")[0])
+            held = []
+    if held:
+        passes.append(one_pass(held) if not passes else written(one_pass(held), "pass")[0])
+    out = passes[0]
+    if len(passes) > 1:
+        every = reduce(DataFrame.union, passes).groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near_items")))
+        out = every.select("row_id", "doc_id", "n_words", F.array_sort("spans").alias("spans"), *(F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near_items")))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    hit = F.aggregate("spans", zero, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(s["end"], x["lo"]))).alias("n"), F.greatest(s["end"], x["hi"]).alias("end")))["n"]
+    return out.select("row_id", "doc_id", "n_words", hit.cast("long").alias("n_hit"), "items", "near_items", "spans")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,10 +297,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None) -> DataFrame:
-    """decontaminate() in the columns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items."""
+    """decontaminate() in the columns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
+
+    A row per row of docs, repeated ones too.  Null and empty texts have no
+    words; texts of any length are matched whole; null ids stay null.  Ties do
+    not arise: every window that occurs counts.  An empty table of documents
+    gives an empty result, an empty benchmark no hits.  Other columns, of
+    whatever name, are not read.
+    """
     m = decontaminate(docs, items, window, slop)
     return m.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
 
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm._common import bit_words, drop_path, may_hold, numbered, written
+from pagemill.llm._common import bit_words, drop_path, filter_words, may_hold, numbered, without_rows, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-FILTER_WORDS = 1 << 17
 KEEPER = T.StructType([T.StructField("no_id", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("row", T.LongType())])
 RUN = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keeper", KEEPER), T.StructField("n", T.LongType())])
 
@@ -97,14 +96,15 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
     for k in range(memtables):
         batch = log.where(F.pmod(F.shiftright("row_id", 33) + F.col("row_id"), F.lit(memtables)) == k)
         index.flush(batch.select("digest", _keeper(F.col("doc_id"), F.col("row_id")).alias("keeper"), F.lit(1).cast("long").alias("n")))
-    hits = index.records().where("n > 1")
+    hits, hits_path = written(index.records().where("n > 1").select("digest"), "hits")
+    words = filter_words(hits.count())
     # Verification: the bytes of every text whose digest may be a hit, equal ones combined in each map task first.
-    bits, bits_path = written(bit_words(hits, "digest", FILTER_WORDS), "filter")
-    suspects = may_hold(own.select("row_id", "doc_id", digest(F.col("text")).alias("digest"), "text"), "digest", bits, FILTER_WORDS, "hit").where("hit")
+    bits, bits_path = written(bit_words(hits, "digest", words), "filter")
+    suspects = may_hold(own.select("row_id", "doc_id", digest(F.col("text")).alias("digest"), "text"), "digest", bits, words, "hit").where("hit")
     texts = suspects.groupBy("digest", "text").agg(F.min(_keeper(F.col("doc_id"), F.col("row_id"))).alias("keeper"), F.count("*").alias("n"))
     proof, _ = written(texts.select("digest", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.xxhash64("text").alias("mark"), "keeper", "n"), "verified")
     index.drop()
-    drop_path(spark, bits_path)
+    drop_path(spark, bits_path, hits_path)
     groups = proof.where("n > 1").select(F.col("text_sha256").alias("__sha"), F.col("digest").alias("__digest"), "keeper", "n")
     out = log.join(groups, (F.col("digest") == F.col("__digest")) & (F.col("text_sha256") == F.col("__sha")), "left")
     return out.select(
@@ -123,5 +123,4 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without its exact copies, in its own columns.  docs must be a file source, whose rows are numbered alike at each reading."""
-    gone = exact_groups(docs, doc_id, text).where("not kept").select(F.col("row_id").alias("__row"))
-    return numbered(docs, "__no").join(gone, F.col("__no") == F.col("__row"), "left_anti").select([docs[c] for c in docs.columns])
+    return without_rows(docs, exact_groups(docs, doc_id, text).where("not kept"))

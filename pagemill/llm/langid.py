@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm._common import arrow_batches
+from pagemill.llm._common import arrow_batches, releasing
 
 UNKNOWN = "und"
 DICTIONARY_BYTES = 192 << 10
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             flags = [m >= min_margin and n != UNKNOWN for n, m in zip(names, margins, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(flags, pa.bool_())], names=[*b.schema.names, *ADDED.names])
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, *ADDED.fields]))
+    return own.mapInArrow(releasing(run), T.StructType([*own.schema.fields, *ADDED.fields]))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -20,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import arrow_batches, drop_path, written
+from pagemill.llm._common import arrow_batches, drop_path, releasing, written
 from pagemill.llm.langid import fold
 
 BLOCK_WORDS = 3_000_000
+WORDS_A_TASK = 400_000
 ROUNDS = 2
 BATCH = 4096
 SMOOTHING = 0.05
@@ -32,9 +33,15 @@ LOW = -1e30
 
 
 class Pieces:
-    """Pieces by text; the last two ids are the end of a document and a byte of a character that no piece holds."""
+    """Pieces by text; the last two ids are the end of a document and a byte of a character that no piece holds.
 
-    def __init__(self, model: str) -> None:
+    state() and of() turn them into plain data and back: what is broadcast must
+    not need this package in the worker.
+    """
+
+    def __init__(self, model: str | None = None) -> None:
+        if model is None:
+            return
         from sentencepiece import SentencePieceProcessor
 
         p = SentencePieceProcessor(model_file=model)
@@ -47,6 +54,15 @@ class Pieces:
         weight = np.concatenate([1 / (ranks + 50), [1e-3, 1e-5]])
         self.log = np.log(weight / weight.sum())
 
+    def state(self) -> tuple:
+        return self.index, self.end, self.byte, self.longest, self.log
+
+    @classmethod
+    def of(cls, state: tuple) -> Pieces:
+        out = cls()
+        out.index, out.end, out.byte, out.longest, out.log = state
+        return out
+
     def fit(self, counts: np.ndarray) -> None:
         smooth = counts + SMOOTHING
         self.log = np.log(smooth / smooth.sum())
@@ -190,18 +206,18 @@ def train_pieces(words: DataFrame, model: str, rounds: int = ROUNDS) -> Pieces:
     pieces = Pieces(model)
 
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(pieces)
+        sent = spark.sparkContext.broadcast(pieces.state())
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total = None
+            total, own = None, Pieces.of(sent.value)
             for b in batches:
-                got = expected_counts([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], np.ones(b.num_rows), sent.value)
+                got = expected_counts([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], np.ones(b.num_rows), own)
                 total = got if total is None else total + got
             if total is not None:
                 at = np.nonzero(total)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-        sums = words.select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sums = words.select("word").mapInArrow(releasing(expect), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         fitted = np.zeros(pieces.byte + 1)
         for r in sums:
             fitted[r["piece"]] = r["n"]
@@ -220,30 +236,32 @@ def score_documents(docs: DataFrame, model: str, folds: int = 7, held: int = 2,
     Learns from the rows whose fold isn't held out.  Tokens are lower-cased words
     and an end for each document; base_score is the add-one unigram score over
     them, score the lattice model's.  Null and empty texts are their end alone.
-    Repeated rows stay rows and count as often.  With nothing to learn from,
+    Texts of any length are scored whole.  Repeated rows stay rows and count as often.  With nothing to learn from,
     base_score is of uniform counts and score of the vocabulary's own weights.
     Only the two named columns are read.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(F.col(doc_id), folds) == held).alias("held_out"), F.col(text).cast("string").alias("text"))
-    passed, passed_path = written(own.mapInArrow(_blocks, PASS), "blocks", partition_by="kind")
+    passed, passed_path = written(own.mapInArrow(releasing(_blocks), PASS), "blocks", partition_by="kind")
     words = passed.where("kind = 'words'").select("block", "word", "local", "c")
-    counts, counts_path = written(words.groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    deal = max(3 * spark.sparkContext.defaultParallelism, -(-words.count() // WORDS_A_TASK))
+    counts, counts_path = written(words.repartition(deal, "word").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     n_docs = passed.where("kind = 'docs'").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     seen = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     n, v = seen[0] + n_docs, seen[1] + (n_docs > 0)
     known = 1 - max(1, seen[2]) / n if n else 0.0
     pieces = train_pieces(counts.where("c > 0"), model, rounds if seen[1] else 0)
-    sent = spark.sparkContext.broadcast(pieces)
+    sent = spark.sparkContext.broadcast(pieces.state())
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Pieces.of(sent.value)
         for b in batches:
-            lp = log10_words([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], sent.value) * np.log(10)
+            lp = log10_words([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], own) * np.log(10)
             lp = with_word_edge(lp, b.column(1).to_numpy().astype(float), n, known) / np.log(10)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lp)], names=["word", "c", "lp"])
 
-    weighed, weighed_path = written(counts.mapInArrow(weigh, "word binary, c long, lp double"), "weighed")
+    weighed, weighed_path = written(counts.mapInArrow(releasing(weigh), "word binary, c long, lp double"), "weighed")
     looked = words.drop("c").join(weighed, "word").groupBy("block").agg(F.collect_list(F.struct("local", "c", "lp")).alias("found"))
     blocks = passed.where("kind = 'docs'").select("block", "docs").join(looked, "block", "left").select("docs", "found")
     end_count, end_lp = n_docs, float(with_word_edge(pieces.log[pieces.end], np.float64(n_docs), n, known) / np.log(10))
@@ -279,6 +297,6 @@ def score_documents(docs: DataFrame, model: str, folds: int = 7, held: int = 2,
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    out, _ = written(blocks.mapInArrow(score, SCORED), "scores")
+    out, _ = written(blocks.mapInArrow(releasing(score), SCORED), "scores")
     drop_path(spark, passed_path, counts_path, weighed_path)
     return out

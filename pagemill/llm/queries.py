@@ -49,6 +49,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packer on instruction data, where all three limits bind."""
+    return packing.pack_conversations(_table(spark, sf_dir, "conversations"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_simhash, op4_license_scan, op5_pii, op6_warc, op7_exact_dedup, op8_packing, op9_language_id, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_simhash, op4_license_scan, op5_pii, op6_warc, op7_exact_dedup, op8_packing, op8_packing_conversations, op9_language_id, op10_lm_score)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -72,13 +77,13 @@ def _canonical_sql(column: str) -> str:
 
 
 def _license_sql() -> str:
-    known = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in license_scan.KNOWN)
+    quoted = lambda rows: ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in rows)
     return f"""
-WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(l) AS license_id FROM (VALUES {known}) k(l, kind, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(l) AS license_id FROM (SELECT sha256({_canonical_sql("t")}) AS digest, l FROM (VALUES {quoted(license_scan.known_texts())}) k(l, kind, t) UNION ALL SELECT digest, l FROM (VALUES {quoted(license_scan.LONG_TEXTS)}) x(l, kind, digest)) GROUP BY 1),
 docs AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
 hits AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses, count(*) AS n
-         FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM lines WHERE regexp_matches(line, '(?i)licen[sc]e|released under')) x JOIN known USING (digest) GROUP BY doc_id)
+         FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM lines) x JOIN known USING (digest) GROUP BY doc_id)
 SELECT d.doc_id, d.digest, k.license_id, coalesce(h.line_licenses, '') AS line_licenses, coalesce(h.n, 0) AS n_license_lines
 FROM docs d LEFT JOIN known k USING (digest) LEFT JOIN hits h USING (doc_id)"""
 

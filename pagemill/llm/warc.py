@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import arrow_batches, drop_path, new_path, written
+from pagemill.llm._common import arrow_batches, drop_path, new_path, releasing, written
 
 ARCHIVE_BYTES = 8 << 20
 REVISIT_BYTES = 1000
@@ -188,7 +188,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([n], pa.int64())], names=["archives", "records"])
 
     own = records.select("page_id", "url", "payload", "record_type", "refers_to", "payload_digest")
-    own.mapInArrow(write, "archives long, records long").agg(F.sum("records")).collect()
+    own.mapInArrow(releasing(write), "archives long, records long").agg(F.sum("records")).collect()
 
 
 READ = "archive string, start long, end long, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, gap string"
@@ -220,7 +220,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
-    return files.mapInArrow(read, READ)
+    return files.mapInArrow(releasing(read), READ)
 
 
 def assign_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
