@@ -10,8 +10,9 @@ cost a byte that a corpus can pay.
 
 New batches are merge-scanned against the existing levels: a head that two of
 them hold is a possible long match.  Two levels of equal size merge into the
-next.  Matched suffixes whose surroundings are equal as a whole are matches in
-full; for the rest the strings of `length` bytes are compared one by one.
+next.  Matched suffixes whose surroundings are equal as a whole (by two 64-bit
+fingerprints from independent tables) are matches in full; for the rest the
+suffixes' own bytes are brought together by head and compared.
 """
 
 from __future__ import annotations
@@ -22,22 +23,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import arrow_batches, bit_words, drop_path, may_hold, numbered, written
+from pagemill.llm._common import MOST_WORDS, arrow_batches, bit_words, drop_path, filter_words, may_hold, numbered, releasing, written
 
 LENGTH = 200
 HEAD = 32
 BATCHES = 3
 CHUNK = 1 << 20
 PLACES = 1 << 24
-FILTER_WORDS = 1 << 18
-ROW_FILTER_WORDS = 1 << 17
-BUCKET_WINDOWS = 2_000_000
+CROWD = 16_384
+SETTLE_BYTES = 4 << 20
+DEALT = 40_000
 STEP = 0x9E3779B97F4A7C15 | 1
 WRAP = (1 << 64) - 1
 
@@ -91,7 +90,7 @@ class Marks:
         self.text = text
         places = n - length + 1
         if places <= 0:
-            self.doc = self.lo = self.hi = np.zeros(0, np.int64)
+            self.doc = self.lo = self.hi = self.at = np.zeros(0, np.int64)
             self.key = self.ctx = np.zeros(0, np.uint64)
             return
         s = text.sums[0]
@@ -111,7 +110,8 @@ class Marks:
         first = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(inside) != 1)]) if inside.size else np.zeros(0, bool)
         firsts = np.nonzero(first)[0]
         lasts = np.concatenate([firsts[1:], [inside.size]]) - 1 if firsts.size else firsts
-        self.lo, self.hi, at = inside[firsts], inside[lasts], at[firsts]
+        self.lo, self.hi, self.at = inside[firsts], inside[lasts], at[firsts]
+        at = self.at
         self.doc = doc[self.lo]
         self.key = heads[at]
         shape = (at - self.lo).astype(np.uint64) << np.uint64(32) | (self.hi - self.lo).astype(np.uint64)
@@ -203,38 +203,79 @@ class SuffixFamily:
         self.levels, self.heads = [], []
 
 
-def _bits(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit set of the (well mixed) 64-bit values, of fixed size."""
-    words = keys.groupBy(F.shiftright(column, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits"))
+class _BitSet:
+    """A set of well mixed 64-bit values, with false positives: 16 bits a value up to MOST_WORDS words (16 MB)."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        word = (x >> np.uint64(6)) & np.uint64(self.words.size - 1)
+        return (self.words[word.astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _bits(keys: DataFrame, column: str, count: int) -> np.ndarray:
+    """The words of a _BitSet of the values, of which there are about `count`."""
+    size = min(filter_words(count) * 2, MOST_WORDS * 2)
+    words = keys.groupBy(F.shiftright(column, 6).bitwiseAND(F.lit(size - 1)).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits"))
     got = words.toPandas()
-    out = np.zeros(FILTER_WORDS, np.uint64)
+    out = np.zeros(size, np.uint64)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def _in_bits(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    word = (x >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)
-    return (bits[word.astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
-
+SPANS = "row_id long, lo long, hi long"
+PARTIAL = "key long, row_id long, lo long, head int, seeker boolean, data binary"
+STRINGS = "one long, two long, row_id long, at long, seeker boolean"
 
-def _rows_of(found: np.ndarray, rows: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    row, at = rows[found], start[found]
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order]
-    if row.size:
-        first = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(at) != 1)])
-        firsts = np.nonzero(first)[0]
-        lasts = np.concatenate([firsts[1:], [row.size]]) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(row[firsts]), pa.array(at[firsts]), pa.array(at[lasts])], names=["row_id", "lo", "hi"])
 
+def partial_matches(key: np.ndarray, head: np.ndarray, seeker: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mark, first, last): of each seeker of which a string of `length` bytes is in another mark too, the first and last such start within its data.
 
-SPANS = "row_id long, lo long, hi long"
+    Marks of one key are suffixes with equal heads; head is where in the data
+    the head begins.  Equal strings hold the head at the same place, so a mark's
+    matched strings overlap in its head and cover one run of bytes.  Strings are
+    found by fingerprint and compared byte by byte.
+    """
+    text = _Text(data)
+    wins = text.sizes - length + 1
+    mark = np.repeat(np.arange(key.size), wins)
+    start = np.arange(mark.size) - np.repeat(np.cumsum(wins) - wins, wins) + text.starts[:-1][mark]
+    away = (text.starts[:-1] + head)[mark] - start
+    prints = _mix(text.prints(1, start, start + length) ^ key[mark] * np.uint64(STEP) ^ away.astype(np.uint64))
+    order = np.argsort(prints, kind="stable")
+    p = prints[order]
+    same = p[1:] == p[:-1]
+    partner = np.full(order.size, -1, np.int64)
+    partner[order[1:][same]] = order[:-1][same]
+    partner[order[:-1][same]] = order[1:][same]
+    # Strings stand by mark and start: the first and the last with a partner are the ends of what a seeker has.
+    found = np.nonzero((partner >= 0) & seeker[mark])[0]
+    if not found.size:
+        return found, found, found
+    edge = np.diff(mark[found]) != 0
+    firsts, lasts = found[np.concatenate([[True], edge])], found[np.concatenate([edge, [True]])]
+    who = mark[firsts]
+    good = np.ones(who.size, bool)
+    for ends in (firsts, lasts):
+        for k in range(0, ends.size, 20_000):
+            part = ends[k : k + 20_000]
+            mine, other = (text.data[start[x][:, None] + np.arange(length)] for x in (part, partner[part]))
+            good[k : k + 20_000] &= (mine == other).all(axis=1)
+    low, high = start[firsts] - text.starts[who], start[lasts] - text.starts[who]
+    for k in np.nonzero(~good)[0].tolist():  # fingerprints that collide
+        m = int(who[k])
+        others = {data[o][i : i + length] for o in np.nonzero(key == key[m])[0].tolist() if o != m for i in range(len(data[o]) - length + 1)}
+        hits = [i for i in range(len(data[m]) - length + 1) if data[m][i : i + length] in others]
+        low[k], high[k] = (hits[0], hits[-1]) if hits else (-1, -1)
+    keep = low >= 0
+    return who[keep], low[keep], high[keep]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
-    """(row_id, lo, hi): runs of starts of strings of `length` bytes that start more than once.  docs: (row_id, data), a file source."""
+    """(row_id, lo, hi): runs of starts of strings of `length` bytes whose bytes start more than once.  docs: (row_id, data), a file source."""
     spark = docs.sparkSession
-    made = docs.select("row_id", "data").mapInArrow(_records(length, batches), "batch int, key long, ctx long")
+    made = docs.select("row_id", "data").mapInArrow(releasing(_records(length, batches)), "batch int, key long, ctx long")
     log, log_path = written(made.groupBy("batch", "key", "ctx").agg(F.count("*").alias("n")), "marks", partition_by="batch")
     family = SuffixFamily(spark)
     for k in range(batches):
@@ -242,102 +283,96 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     drop_path(spark, log_path)
     suffixes, suffixes_path = written(family.matched(), "matched")
     family.drop()
+    # Heads of suffixes of which one at least is alone in its surroundings.
     lone = suffixes.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1")
     mixed, mixed_path = written(lone.select("key", "kinds"), "mixed")
-    windows = mixed.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0] * (length - HEAD) // 2
-    buckets = max(8, -(-windows // BUCKET_WINDOWS))
-    sets = spark.sparkContext.broadcast((_bits(suffixes, "key"), _bits(mixed, "key"), _bits(suffixes.where("n = 1"), "ctx")))
+    n_suffixes = suffixes.agg(F.count_distinct("key"), F.count_if(F.col("n") == 1)).first()
+    n_mixed = mixed.agg(F.count("*"), F.count_if(F.col("kinds") > CROWD), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    crowds = mixed.where(F.col("kinds") > CROWD)
+    sets = spark.sparkContext.broadcast((_bits(suffixes, "key", n_suffixes[0]), _bits(mixed, "key", n_mixed[0]), _bits(suffixes.where("n = 1"), "ctx", n_suffixes[1]), _bits(crowds, "key", n_mixed[1])))
 
     def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Marks that may be matched."""
-        known = sets.value[0]
+        known = _BitSet(sets.value[0])
         for rows, offsets, text in _chunks(parts, length):
             m = Marks(text, length)
-            maybe = np.nonzero(_in_bits(known, m.key))[0]
+            maybe = np.nonzero(known.holds(m.key))[0]
             base = (text.starts[:-1] - offsets)[m.doc[maybe]]
             yield pa.RecordBatch.from_arrays([_long(m.key[maybe]), _long(m.ctx[maybe]), pa.array(rows[m.doc[maybe]]), pa.array(m.lo[maybe] - base), pa.array(m.hi[maybe] - base)], names=["key", "ctx", "row_id", "lo", "hi"])
 
+    def partial_marks(m: Marks, told: np.ndarray, crowded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marks whose head may have lone surroundings, whether they seek (or only witness), and what has been told now.
+
+        Surroundings that more than one place has are known as a whole: they only
+        witness the strings of others, once a task.
+        """
+        split, single, crowd = (_BitSet(x) for x in sets.value[1:])
+        fine = np.nonzero(split.holds(m.key))[0]
+        fine = fine[crowd.holds(m.key[fine]) == crowded]
+        kinds, kind, count = np.unique(m.ctx[fine] ^ m.key[fine] * np.uint64(3), return_index=True, return_counts=True)
+        fine = fine[kind]
+        seeker = (count == 1) & single.holds(m.ctx[fine])
+        fresh = seeker | ~np.isin(kinds, told)
+        return fine[fresh], seeker[fresh], np.union1d(told, kinds[~seeker])
+
     def look_closer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Strings of the marks whose head may have lone surroundings, dealt into buckets; runs of starts, where a chunk settles them itself."""
-        _, split, single = sets.value
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        schema = pa.schema([("bucket", pa.int32()), ("row_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("data", pa.binary())])
+        """Such marks with their bytes."""
+        told = np.zeros(0, np.uint64)
+        for rows, offsets, text in _chunks(parts, length):
+            m = Marks(text, length)
+            fine, seeker, told = partial_marks(m, told, False)
+            base = (text.starts[:-1] - offsets)[m.doc[fine]]
+            lo, end = m.lo[fine], m.hi[fine] + length
+            data = [text.data[a:z].tobytes() for a, z in zip(lo.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([_long(m.key[fine]), pa.array(rows[m.doc[fine]]), pa.array(lo - base), pa.array((m.at[fine] - lo).astype(np.int32)), pa.array(seeker), pa.array(data, pa.binary())], names=["key", "row_id", "lo", "head", "seeker", "data"])
+
+    def strings_of_crowds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every string of the marks whose head is in a crowd, as two fingerprints."""
         told = np.zeros(0, np.uint64)
         for rows, offsets, text in _chunks(parts, length):
             m = Marks(text, length)
-            origin = text.starts[:-1] - offsets
-            fine = np.nonzero(_in_bits(split, m.key))[0]
-            kinds, kind, count = np.unique(m.ctx[fine] ^ m.key[fine] * np.uint64(3), return_index=True, return_counts=True)
-            fine = fine[kind]
-            # Surroundings that more than one place has are known as a whole: their strings only witness those of others, once a task.
-            twice = (count > 1) | ~_in_bits(single, m.ctx[fine])
-            fresh = ~twice | ~np.isin(kinds, told)
-            told = np.union1d(told, kinds[twice])
-            fine, twice = fine[fresh], twice[fresh]
-            start, mark, prints = m.strings(fine, length)
-            witness = np.repeat(twice, m.hi[fine] - m.lo[fine] + 1)
-            # A string that two marks of the chunk have is settled here; one row of it, as a witness, goes on.
-            order = np.argsort(prints, kind="stable")
-            p, start, doc, witness = prints[order], start[order], m.doc[mark[order]], witness[order]
-            same = p[1:] == p[:-1]
-            pair = np.zeros(p.size, bool)
-            pair[1:] |= same
-            pair[:-1] |= same
-            keep = np.concatenate([[True], ~same]) if p.size else pair
-            bucket = ((p >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            for b in _rows_of(np.nonzero(pair & ~witness)[0], rows[doc], start - origin[doc]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, int(rows[0]) % buckets, np.int32)), *b.columns, pa.nulls(b.num_rows, pa.binary())], schema=schema)
-            p, bucket, start, doc, sure = p[keep], bucket[keep], start[keep] - origin[doc[keep]], rows[doc[keep]], (witness | pair)[keep]
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for i in range(buckets):
-                o = order[cuts[i] : cuts[i + 1]]
-                if o.size:
-                    blob = squeeze(p[o].tobytes() + doc[o].tobytes() + start[o].astype(np.uint32).tobytes() + sure[o].astype(np.uint8).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([blob], pa.binary())], schema=schema)
+            fine, seeker, told = partial_marks(m, told, True)
+            base = text.starts[:-1] - offsets
+            for k in range(0, fine.size, 2000):
+                start, mark, prints = m.strings(fine[k : k + 2000], length)
+                seeks = np.repeat(seeker[k : k + 2000], m.hi[fine[k : k + 2000]] - m.lo[fine[k : k + 2000]] + 1)
+                doc = m.doc[mark]
+                yield pa.RecordBatch.from_arrays([_long(prints), _long(text.prints(0, start, start + length)), pa.array(rows[doc]), pa.array(start - base[doc]), pa.array(seeks)], names=["one", "two", "row_id", "at", "seeker"])
 
     def settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unsqueeze = zstandard.ZstdDecompressor().decompress
-        held: list[bytes] = []
-        current = None
+        """Partial matches of the marks of each head; heads come one after the other, and are compared as soon as enough bytes are held."""
+        held: list[tuple[int, int, int, int, bool, bytes]] = []
+        size = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            p, row, start, sure = [], [], [], []
-            for raw in held:
-                n = len(raw) // 21
-                p.append(np.frombuffer(raw, np.uint64, n))
-                row.append(np.frombuffer(raw, np.int64, n, 8 * n))
-                start.append(np.frombuffer(raw, np.uint32, n, 16 * n))
-                sure.append(np.frombuffer(raw, np.uint8, n, 20 * n))
-            p, row, start, sure = (np.concatenate(x) for x in (p, row, start, sure))
-            order = np.argsort(p, kind="stable")
-            q = p[order]
-            same = q[1:] == q[:-1]
-            pair = np.zeros(q.size, bool)
-            pair[1:] |= same
-            pair[:-1] |= same
-            yield from _rows_of(order[pair & (sure[order] == 0)], row, start.astype(np.int64))
+            key, row, lo, head, seeker, data = (list(c) for c in zip(*held, strict=True))
+            who, first, last = partial_matches(np.array(key, np.int64).view(np.uint64), np.array(head, np.int64), np.array(seeker, bool), data, length)
+            row, lo = np.array(row, np.int64)[who], np.array(lo, np.int64)[who]
+            if who.size:
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(lo + first), pa.array(lo + last)], names=["row_id", "lo", "hi"])
 
         for b in parts:
-            settled = b.filter(pc.is_null(b.column(4)))
-            if settled.num_rows:
-                yield settled.select([1, 2, 3])
-            b = b.filter(pc.is_valid(b.column(4)))
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(4), strict=True):
-                if bucket != current and held:
+            for mark in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size >= SETTLE_BYTES and mark[0] != held[-1][0]:
                     yield from close()
-                    held = []
-                current = bucket
-                held.append(unsqueeze(blob.as_py()))
+                    held, size = [], 0
+                held.append(mark)
+                size += len(mark[-1])
         if held:
             yield from close()
 
     texts = docs.select("row_id", "data")
-    closer = texts.mapInArrow(look_closer, "bucket int, row_id long, lo long, hi long, data binary")
-    fine = closer.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, SPANS)
-    marks = texts.mapInArrow(look, "key long, ctx long, row_id long, lo long, hi long")
+    deal = max(spark.sparkContext.defaultParallelism, -(-n_mixed[2] // DEALT))
+    closer = texts.mapInArrow(releasing(look_closer), PARTIAL)
+    fine = closer.repartition(deal, "key").sortWithinPartitions("key").mapInArrow(releasing(settle), SPANS)
+    marks = texts.mapInArrow(releasing(look), "key long, ctx long, row_id long, lo long, hi long")
     whole = marks.join(suffixes.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi").select("row_id", "lo", "hi")
-    out, _ = written(whole.union(fine), "spans")
+    spans = whole.union(fine)
+    if n_mixed[1]:
+        strings = texts.mapInArrow(releasing(strings_of_crowds), STRINGS)
+        twice = strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+        spans = spans.union(strings.where("seeker").join(twice, ["one", "two"], "left_semi").select("row_id", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    out, _ = written(spans, "spans")
     drop_path(spark, suffixes_path, mixed_path)
     return out
 
@@ -379,10 +414,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     arrow_batches(spark)
     own = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data")), "row_id")
     spans = repeated_spans(own, length, batches)
-    ranges = spans.repartition(F.col("row_id")).sortWithinPartitions("row_id", "lo").mapInArrow(_joined(length), SPANS)
+    ranges = spans.repartition(F.col("row_id")).sortWithinPartitions("row_id", "lo").mapInArrow(releasing(_joined(length)), SPANS)
     by_row, _ = written(ranges.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")), "ranges")
-    bits, _ = written(bit_words(by_row, "row_id", ROW_FILTER_WORDS), "filter")
-    marked = may_hold(own, "row_id", bits, ROW_FILTER_WORDS, "touched")
+    words = filter_words(by_row.count())
+    bits, _ = written(bit_words(by_row, "row_id", words), "filter")
+    marked = may_hold(own, "row_id", bits, words, "touched")
     clean = marked.where("not touched").select("row_id", "doc_id", "data", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("ranges"))
     touched = marked.where("touched").drop("touched").join(by_row, "row_id", "left").select("row_id", "doc_id", "data", "ranges")
 
@@ -401,8 +437,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             types = [pa.int64()] * 5 + [pa.string()] + [pa.binary()] * texts
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=["row_id", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
 
-    return clean.union(touched).mapInArrow(cut, "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return clean.union(touched).mapInArrow(releasing(cut), "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
+    """remove_repeats() in the columns doc_id, n_bytes, n_removed, n_spans, kept_sha256; its rules for nulls, empty and long texts, ties, repeated rows, empty tables and other columns hold."""
     return remove_repeats(docs).drop("row_id")

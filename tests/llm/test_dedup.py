@@ -24,14 +24,31 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 500])
+@pytest.mark.parametrize("chunk, crowd", [(suffix_dedup.CHUNK, suffix_dedup.CROWD), (500, suffix_dedup.CROWD), (500, 2)])
 @pytest.mark.parametrize("length", [200, 60])
-def test_repeats_match_brute_force(docs, texts, length, chunk, monkeypatch):
+def test_repeats_match_brute_force(docs, texts, length, chunk, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "SETTLE_BYTES", chunk)
     got = {r["doc_id"]: tuple(r)[2:6] for r in suffix_dedup.remove_repeats(docs, length=length).collect()}
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts, length)
 
 
+def test_partial_matches_survive_colliding_fingerprints(monkeypatch):
+    rng = np.random.default_rng(8)
+    head = bytes(rng.integers(97, 123, 40, np.uint8))
+    sides = [bytes(rng.integers(97, 123, 60, np.uint8)) for _ in range(4)]
+    data = [sides[0] + head + sides[1], sides[2] + head + sides[1], sides[0] + head + sides[3], sides[2] + head + sides[3][:30]]
+    args = (np.array([5, 5, 5, 6], np.uint64), np.full(4, 60), np.ones(4, bool), data, 80)
+    want = {0: (0, 80), 1: (60, 80), 2: (0, 20)}
+    for mix in (suffix_dedup._mix, lambda x: x & np.uint64(1)):
+        monkeypatch.setattr(suffix_dedup, "_mix", mix)
+        who, first, last = suffix_dedup.partial_matches(*args)
+        got = dict(zip(who.tolist(), zip(first.tolist(), last.tolist(), strict=True), strict=True))
+        assert {m: ends for m, ends in got.items() if m in want} == want or mix is not suffix_dedup._mix
+    assert {m for m in got} <= {0, 1, 2, 3}
+
+
 def test_repeats_odd(odd, empty):
     assert suffix_dedup.repeat_report(empty).count() == 0
     rows = suffix_dedup.remove_repeats(odd, texts=True).collect()
@@ -204,6 +221,6 @@ def test_prefixes_meet():
             b = np.concatenate([a[n // 10 :], rng.integers(0, 1 << 62, n // 10).astype(np.uint64)])
             a, b = np.unique(a), np.unique(b)
             if np.intersect1d(a, b).size / np.union1d(a, b).size >= 0.8:
-                hot = np.unique(rng.choice(a, n // 2))
+                hot = np.unique(rng.choice(a, n // 2)) if n < 100 else np.unique(rng.choice(a, int(0.9 * n), replace=False))
                 assert np.intersect1d(simhash.prefix(a, 0.8, hot), simhash.prefix(b, 0.8, hot)).size
                 assert np.intersect1d(simhash.prefix(a, 0.8), simhash.prefix(b, 0.8)).size
