@@ -41,11 +41,20 @@ def test_decontamination(spark, docs, texts, empty, odd):
     assert decontam.decontaminate(odd, bench).count() == 6
 
 
+def test_decontamination_null_ids(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(1, "red blue green"), (1, "red blue green"), (None, "one two"), (3, None)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    bench = spark.createDataFrame([(None, "red blue"), (7, "blue green"), (8, "blue green"), (8, "red"), (None, "two")], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.contamination_report(spark.read.parquet(path), bench).collect()), key=str)
+    assert got == sorted([(1, 3, 3, 2), (1, 3, 3, 2), (None, 2, 1, 0), (3, 0, 0, 0)], key=str)
+
+
 def test_decontamination_segments_and_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(k, f"was heon reed {w}") for k, w in enumerate(["the", "on", "er", "tion"])] + [(9, "over the")], "item_id long, text string")
     want = sorted(decontam.contamination_report(docs, bench).collect())
     monkeypatch.setattr(decontam, "SEGMENT_WORDS", 300)
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(decontam, "BLOCKS", 2)
     assert sorted(decontam.contamination_report(docs, bench).collect()) == want
 
 
@@ -62,11 +71,35 @@ def test_licenses(spark, tmp_path, empty, odd):
     path = str(tmp_path / "d")
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
     got = {r["doc_id"]: (r["license_id"], r["line_licenses"], r["n_license_lines"]) for r in license_scan.license_report(spark.read.parquet(path)).collect()}
+    for i, _, t in license_scan.known_texts():
+        assert re.search(license_scan.HINT, t.replace("\n", " ")), t
     assert got == {1: ("MIT", "", 0), 2: (None, "GPL-3.0", 1), 3: (None, "", 0), 4: (None, "", 0), 5: ("MIT", "MIT", 1)}
     assert license_scan.license_report(empty).count() == 0 and license_scan.license_report(odd).count() == 6
     assert license_scan.scan_licenses(odd, known=[]).where("license_id is not null").count() == 0
 
 
+COMMON = "/usr/share/common-licenses"
+
+
+def test_whole_licenses(spark, tmp_path):
+    import os
+
+    texts = {r: t for r, k, t in license_scan.KNOWN if k == "text"}
+    rows = [(k, f"  {license_scan.HEADINGS[i][0].upper()}\n\nCopyright (c) 2001, 2020 Some One\n\n" + texts[i].replace("\n", "\n\n").replace(". ", ".\n")) for k, i in enumerate(sorted(license_scan.HEADINGS))]
+    want = dict(enumerate(sorted(license_scan.HEADINGS)))
+    for name, i in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{COMMON}/{name}"):
+            with open(f"{COMMON}/{name}", encoding="utf-8") as f:
+                rows.append((len(rows), f.read()))
+            want[len(rows) - 1] = i
+    rows.append((len(rows), "prose\n" + texts["ISC"].replace("\n", " ") + "\nprose"))
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = license_scan.license_report(spark.read.parquet(path)).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got if r["license_id"]} == want
+    assert {r["line_licenses"] for r in got if r["doc_id"] == len(rows) - 1} == {"ISC"}
+
+
 BASE = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(int(p) <= 255 for p in s.split("."))),
@@ -103,6 +136,30 @@ def test_personal_data(spark, tmp_path, empty, odd):
     assert pii_crf.find_personal_data(empty).count() == 0 and pii_crf.find_personal_data(odd).count() == 6
 
 
+@pytest.mark.parametrize("syllables", [("th", "er", "on", "an"), ("ka", "mo", "ri", "tu", "sel", "bro", "qui")])
+def test_field_adds_what_the_patterns_miss(syllables):
+    field, held = pii_crf.train(), pii_crf.labelled_table(12, syllables, 30)
+    missed = found = wrong = 0
+    for w, labels in held:
+        text = " ".join(w)
+        start = len(w[0]) + 1
+        want = {(labels[0][2:], start, start + len(" ".join(w[1:-1])))} if labels[0] != "O" else set()
+        ((base, every),) = pii_crf.all_spans([text], field)
+        added = set(every) - set(base)
+        open_ = {x for x in want if not any(a < x[2] and x[1] < b for _, a, b in base)}
+        missed += len(open_ - added)
+        found += len(open_ & added)
+        wrong += len(added - want)
+    assert found > 200 and missed <= 0.05 * found and wrong <= 0.02 * found
+
+
+def test_long_words_and_written_out_addresses():
+    field = pii_crf.train()
+    texts = ["a1" * 600_000, "[at] " * 50_000, "x " * 500_000 + "jo.th at mail dot example dot org", "at", "a at b"]
+    got = pii_crf.all_spans(texts, field)
+    assert [e for _, e in got] == [[], [], [("email", 1_000_000, 1_000_033)], [], []]
+
+
 def test_viterbi_is_the_best_path():
     field = pii_crf.train()
     rng = np.random.default_rng(0)
@@ -136,7 +193,7 @@ def test_packing_round_trip(docs, texts, empty, odd):
             for r in sorted(pieces, key=lambda r: r["offset"]):
                 assert r["offset"] == at
                 at += r["length"]
-            assert at <= limits.get("tokens", 2048) and len(pieces) <= limits.get("segments", 1024) and at <= limits.get("loss", 2048)
+            assert at <= limits.get("tokens", 2048) and len(pieces) <= limits.get("segments", packing.SEGMENTS) and at <= limits.get("loss", 2048)
     assert packing.pack_documents(empty, path).count() == 0
     assert packing.pack_documents(odd, path).where("doc_id is null").count() == 2
 
@@ -233,3 +290,63 @@ def test_proximity_is_whole(spark, tmp_path):
     got = {r["doc_id"]: r["n_near_items"] for r in decontam.contamination_report(spark.read.parquet(path), bench, slop=7).collect()}
     want = {k: int(any(set(terms) <= set(w[i : i + 12]) for i in range(len(w)))) for k, w in enumerate(t.split() for t in texts)}
     assert got == want and 20 < sum(want.values()) < 130
+
+
+def test_pack_conversations(spark, tmp_path):
+    path = tokenizer_path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    rng = np.random.default_rng(3)
+    rows = [(k, t, ["user", "assistant"][t % 2], " ".join(rng.choice(["red", "blue", "greenish", "42"], int(rng.integers(0, 60)))), "x") for k in range(40) for t in range(int(rng.integers(1, 9)))]
+    rows += [(None, 0, None, None, "x"), (3, None, "Assistant", "red " * 300, "x"), rows[0]]
+    p = str(tmp_path / "c")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tokens string").repartition(3).write.parquet(p)
+    got = packing.pack_conversations(spark.read.parquet(p), path, tokens=256, segments=4, loss=120).collect()
+    n = Counter()
+    loss = Counter()
+    for c, _, r, t, _ in rows:
+        size = len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+        n[c] += size
+        loss[c] += size if r in ("assistant", "Assistant") else 0
+    have, bears, seqs = Counter(), Counter(), {}
+    for r in got:
+        have[r["conv_id"]] += r["tokens"]
+        bears[r["conv_id"]] += r["loss"]
+        seqs.setdefault(r["sequence_id"], []).append(r)
+    assert have == n and +bears == +loss
+    for s in seqs.values():
+        assert sum(r["tokens"] for r in s) <= 256 and len(s) <= 4 and sum(r["loss"] for r in s) <= 120
+        assert sorted(r["offset"] for r in s) == [int(x) for x in np.cumsum([0, *[r["tokens"] for r in sorted(s, key=lambda r: (r["offset"], r["tokens"] > 0))][:-1]])]
+    assert any(sum(r["loss"] for r in s) > 100 for s in seqs.values())
+    assert packing.pack_conversations(spark.read.parquet(p).where("conv_id < 0"), path).count() == 0
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        packing.WordTokens(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_language_ties_and_brute_force():
+    """Sizes are those of one-shot compression with the same raw dictionary; ties go to the first language by name, with margin 0."""
+    import zstandard
+
+    rng = np.random.default_rng(4)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts, 3)) for _ in range(n))
+    dictionaries = {"xx": make(["ka", "mo", "ri"], 400).encode(), "aa": make(["th", "er", "on"], 400).encode()}
+    tool = langid.Classifier(dictionaries)
+    for parts, name in ((["ka", "mo", "ri"], "xx"), (["th", "er", "on"], "aa")):
+        for n in (30, 2500):
+            text = make(parts, n)
+            data = langid.folded(text).encode()
+            pieces = max(1, round(len(data) / langid.PIECE))
+            cuts = [len(data) * k // pieces for k in range(pieces + 1)]
+            level = langid.SHORT_LEVEL if len(data) <= langid.SHORT else langid.LEVEL
+            want = []
+            for k in sorted(dictionaries):
+                d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                c = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+                want.append(sum(len(c.compress(data[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)) - 8 * pieces)
+            assert abs(tool.sizes(text) - want).max() <= 2 * pieces
+            assert tool(text)[0] == name
+    assert langid.Classifier({"b": b"same words", "a": b"same words"})("some words")[::2] == ("a", 0.0)
