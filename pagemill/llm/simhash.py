@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm._common import arrow_batches, components, drop_path, numbered, written
+from pagemill.llm._common import arrow_batches, components, drop_path, joined_rows, numbered, releasing, spare_name, without_rows, written
 
 BITS, BYTES = 64, 8
 LONG_LIST = 2048
@@ -52,7 +52,7 @@ def majority(h: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, keep: tuple[str, ...] = ("row_id", "doc_id")) -> DataFrame:
     """keep, and fp: the fingerprint as a signed 64-bit long.  Null and word-less texts have fingerprint 0."""
     arrow_batches(docs.sparkSession)
-    own = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    own = docs.select(*keep, F.col(text).cast("string").alias(spare_name(docs, "the_text")))
     out = T.StructType([*own.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, keep: tupl
             fp = np.fromiter((majority(shingle_hashes(t.as_py(), words)) for t in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*keep, "fp"])
 
-    return own.mapInArrow(run, out)
+    return own.mapInArrow(releasing(run), out)
 
 
 def covering_groups(distance: int) -> list[tuple[int, ...]]:
@@ -144,9 +144,9 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     whole = list(combinations(range(BYTES), BYTES - distance))
     hot = postings.join(long.select("group", "bytes"), ["group", "bytes"], "left_semi").select("fp").distinct()
     refined = _postings(hot, whole).groupBy("group", "bytes").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-    found = short.select("fps").mapInArrow(_links_of_lists(distance), LINKS)
+    found = short.select("fps").mapInArrow(releasing(_links_of_lists(distance)), LINKS)
     if long.take(1):
-        found = found.union(refined.select("fps").mapInArrow(_links_of_lists(distance), LINKS))
+        found = found.union(refined.select("fps").mapInArrow(releasing(_links_of_lists(distance)), LINKS))
     out, _ = written(found.distinct(), "links")
     drop_path(fps.sparkSession, path, long_path)
     return out
@@ -187,7 +187,8 @@ def near_report(docs: DataFrame) -> DataFrame:
 WIDE = 4
 WIDE_BYTES = WIDE * BYTES
 SPREADS = 6
-HOT_ROUNDS = 4
+KEYS = 16
+HOT_SAMPLE = 8
 
 
 def wide_majority(h: np.ndarray) -> bytes:
@@ -208,11 +209,20 @@ def bits_at(similarity: float) -> int:
 
 
 def prefix(hashes: np.ndarray, similarity: float, hot: np.ndarray | None = None) -> np.ndarray:
-    """The first of sorted distinct hashes, so many that two sets of this similarity share one of them; those in hot (sorted) come last in the order."""
+    """Keys of sorted distinct hashes, such that two sets of this similarity share one: the first in an order that has those in hot (sorted) last.
+
+    For certain, that takes as many as may be missing in the other set, and one
+    more; where not over half are hot, KEYS are enough: in any order, each of
+    the first of both sets is shared with a chance of at least 0.55 (0.8 where
+    none is hot), and the chance that none of KEYS is, is below 3e-6 (7e-12).
+    """
+    most = hashes.size - int(np.ceil(similarity * hashes.size - 1e-9)) + 1
     if hot is not None and hot.size and hashes.size:
         held = hot[np.minimum(np.searchsorted(hot, hashes), hot.size - 1)] == hashes
         hashes = np.concatenate([hashes[~held], hashes[held]])
-    return hashes[: hashes.size - int(np.ceil(similarity * hashes.size - 1e-9)) + 1]
+        if 2 * held.sum() > hashes.size:
+            return hashes[:most]
+    return hashes[: min(most, KEYS)]
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -270,39 +280,49 @@ def _verified(own: DataFrame, maybe: DataFrame, words: int, similarity: float) -
                 sets.append(np.unique(shingle_hashes(text.as_py(), words)))
         yield from links_of()
 
-    texts = own.select("row_id", "text").join(maybe, "row_id").select("group", "kind", "text")
-    return texts.repartition("group").sortWithinPartitions("group").mapInArrow(run, LINKS)
+    texts = joined_rows(own.select("row_id", "text"), "row_id", maybe).select("group", "kind", "text")
+    return texts.repartition("group").sortWithinPartitions("group").mapInArrow(releasing(run), LINKS)
 
 
 def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -> tuple[DataFrame, list[str]]:
     """(kind, prefix): by an order of the shingles that has the frequent ones last; and the paths to drop.
 
     Shingles that LONG_LIST kinds or more hold in their prefixes are put last,
-    and the prefixes that hold one of them made anew, until no other is found (or
-    HOT_ROUNDS): any one order of all shingles gives complete lists.
+    with others that a sample of those kinds shows to be as frequent, and the
+    prefixes that hold one of them are made anew, until none is new: any one
+    order of all shingles gives complete lists.
     """
     spark = own.sparkSession
     prefixes, paths = kinds.select("row_id", "kind", "prefix"), []
     hot: set[int] = set()
-    for _ in range(HOT_ROUNDS):
+    while True:
         sizes = prefixes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= LONG_LIST)
-        found = {r["key"] for r in sizes.select("key").collect()}  # a LONG_LIST-th of the postings at most
+        keys, keys_path = written(sizes.select("key"), "frequent")
+        found = {r["key"] for r in keys.collect()}  # a LONG_LIST-th of the postings at most
         if found <= hot:
+            drop_path(spark, keys_path)
             break
-        hot |= found
-        handle = spark.sparkContext.broadcast(np.sort(np.array(list(hot), np.int64).view(np.uint64)))
-        keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], "key long"))
         old = prefixes.select("row_id", "kind", F.explode("prefix").alias("key")).join(keys, "key", "left_semi").select("row_id", "kind").distinct()
         old, old_path = written(old, "hot")
 
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for t in b.column(1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], names=["key"])
+
+        sample = joined_rows(own.select("row_id", "text"), "row_id", old.where(F.pmod(F.xxhash64("kind"), F.lit(HOT_SAMPLE)) == 0)).select("row_id", "text")
+        shown = sample.mapInArrow(releasing(every), "key long").groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= max(2, LONG_LIST // HOT_SAMPLE))
+        hot |= found | {r["key"] for r in shown.select("key").collect()}
+        handle = spark.sparkContext.broadcast(np.sort(np.array(list(hot), np.int64).view(np.uint64)))
+
         def anew(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 made = [prefix(np.unique(shingle_hashes(t.as_py(), words)), similarity, handle.value).view(np.int64) for t in b.column(2)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], names=["row_id", "kind", "prefix"])
 
-        new = own.join(old, "row_id").select("row_id", "kind", "text").mapInArrow(anew, "row_id long, kind long, prefix array<long>")
+        new = joined_rows(own.select("row_id", "text"), "row_id", old).select("row_id", "kind", "text").mapInArrow(releasing(anew), "row_id long, kind long, prefix array<long>")
         prefixes, new_path = written(prefixes.join(old.select("kind"), "kind", "left_anti").select("row_id", "kind", "prefix").union(new), "prefixes")
-        drop_path(spark, old_path, *paths)
+        drop_path(spark, old_path, keys_path, *paths)
         paths = [new_path]
     return prefixes.select("kind", "prefix"), paths
 
@@ -312,7 +332,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
     Texts are near copies where the sets of their shingles have at least this
     Jaccard similarity; chains of near copies are one group.  Pairs are looked
-    for that share a shingle of their prefixes, as all of this similarity do.
+    for that share a key of their prefixes, as all of this similarity do but
+    for a chance below 3e-6 each.
     Of those, pairs within bits_at() of each other, by wide fingerprints of the
     distinct shingles, are compared by the sets themselves: that is all but a
     chance of SPREADS standard deviations.
@@ -330,7 +351,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             firsts = pa.array([prefix(x, similarity).view(np.int64) if x.size else None for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds), pa.array([wide_majority(x) if x.size else None for x in sets], pa.binary()), firsts], names=["row_id", "doc_id", "kind", "mark", "prefix"])
 
-    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(mark, "row_id long, doc_id long, kind long, mark binary, prefix array<long>"), "marks")
+    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(releasing(mark), "row_id long, doc_id long, kind long, mark binary, prefix array<long>"), "marks")
     first = marked.where("mark is not null").groupBy("kind").agg(F.min("row_id").alias("row_id"))
     kinds, kinds_path = written(marked.join(first.select("row_id"), "row_id", "left_semi").select("row_id", "kind", "mark", "prefix"), "kinds")
     prefixes, prefix_paths = _prefixes(own, kinds, words, similarity)
@@ -348,7 +369,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
                 if u:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], schema=_LINKS)
 
-    maybe = components(listed.select("members").mapInArrow(link, LINKS).distinct())
+    maybe = components(listed.select("members").mapInArrow(releasing(link), LINKS).distinct())
     maybe, maybe_path = written(maybe.join(kinds, F.col("node") == F.col("kind")).select("row_id", "kind", F.col("component").alias("group")), "maybe")
     found = components(_verified(own, maybe, words, similarity))
     of_kind, of_path = written(found, "of-kind")
@@ -362,5 +383,4 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each component of near_copies(), in its own columns.  docs must be a file source, whose rows are numbered alike at each reading."""
-    gone = near_copies(docs, doc_id, text, words, similarity).where("not kept").select(F.col("row_id").alias("__row"))
-    return numbered(docs, "__no").join(gone, F.col("__no") == F.col("__row"), "left_anti").select([docs[c] for c in docs.columns])
+    return without_rows(docs, near_copies(docs, doc_id, text, words, similarity).where("not kept"))
