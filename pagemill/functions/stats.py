@@ -43,10 +43,13 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return F.when((inside > 0) & (union > 0), inside / union).otherwise(F.lit(0.0))
 
 
+def nearest_pair(anchors: Column, x: Column) -> Column:
+    """struct<d, i>: distance and index (from 0) of the anchor nearest to x; the first of equal ones."""
+    return F.array_min(F.transform(anchors, lambda a, i: F.struct(F.abs(a - x).alias("d"), i.alias("i"))))
+
+
 def nearest(anchors: Column, x: Column) -> Column:
-    """Index (from 0) of the anchor nearest to x; the first of equal ones."""
-    best = F.array_min(F.transform(anchors, lambda a, i: F.struct(F.abs(a - x).alias("d"), i.alias("i"))))
-    return best["i"]
+    return nearest_pair(anchors, x)["i"]
 
 
 def has_structure(fill: Column, stab: Column, rows: Column, cols: Column) -> Column:

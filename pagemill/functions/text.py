@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\s\p{Z}]"
 NOT_WORD = r"[^\p{L}\p{N}_\s\p{Z}]"
+# Patterns of numbers and of repeated, symbol-only and page-number texts.
 LIKE_NUMBER = r"^[\p{Nd}.,%+\-/~():：·¥$€]+$"
 
+STREAK = r"([\x{4e00}-\x{9fff}A-Za-z])\1{2,}"
+SYMBOLS_ONLY = r"^[-_—=+*/\\|.·,:;!?()\[\]{}<>]+$"
+PAGE_MARK = r"^(第?\p{Nd}+页|\p{Nd}+/\p{Nd}+)$"
+
 # Menu labels of slide editors, footer terms and reason labels.
 STRONG_TERMS = ("智能图形", "另存为", "幻灯片", "放映", "批注", "缩放")
 WEAK_TERMS = (
@@ -50,12 +55,12 @@ def noise_kind(text: Column, in_margin: Column | bool = True) -> Column:
 
 def noise_kind_of(c: Column, weak: Column, margin: Column) -> Column:
     """The same from the compacted text and its number of weak terms."""
-    streak = c.rlike(r"([\x{4e00}-\x{9fff}A-Za-z])\1{2,}") & ~c.rlike(LIKE_NUMBER)
+    streak = c.rlike(STREAK) & ~c.rlike(LIKE_NUMBER)
     return (
         F.when(c == "", "empty")
         .when(c.rlike("|".join(STRONG_TERMS)) | (weak >= 2) | (margin & (F.length(c) <= 8) & (weak >= 1)) | (margin & streak), "toolbar")
-        .when(c.rlike(r"^[-_—=+*/\\|.·,:;!?()\[\]{}<>]+$"), "symbol")
-        .when(c.rlike(r"^(第?\p{Nd}+页|\p{Nd}+/\p{Nd}+)$"), "page_number")
+        .when(c.rlike(SYMBOLS_ONLY), "symbol")
+        .when(c.rlike(PAGE_MARK), "page_number")
     )
 
 
@@ -162,6 +167,39 @@ def cell_texts(html: Column) -> Column:
     return F.filter(F.transform(inner, lambda x: compact(F.regexp_replace(x, "<[^>]+>", ""))), lambda x: x != "")
 
 
+# Named character references of HTML that tables use.
+NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def unescape_html(text: Column) -> Column:
+    """Numbered character references, and the named ones of NAMED, as the characters they stand for."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+
+    def replaced(t: Column, code: Column) -> Column:
+        hex_code = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.substring(code, 2, 6)).otherwise(F.conv(code, 10, 16))
+        sign = F.decode(F.unhex(F.lpad(hex_code, 8, "0")), "UTF-32")
+        valid = F.conv(hex_code, 16, 10).cast("int").between(1, 0xD7FF) | F.conv(hex_code, 16, 10).cast("int").between(0xE000, 0x10FFFF)
+        return F.when(valid, F.replace(t, F.concat(F.lit("&#"), code, F.lit(";")), F.when(valid, sign))).otherwise(t)
+
+    out = F.aggregate(found, text, replaced)
+    for name, sign in NAMED:
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return out
+
+
+def html_rows(html: Column, tidy: bool = True) -> Column:
+    """array<array<string>>: texts of the <td> and <th> of each closed <tr>; tidy: white space collapsed, rows without text dropped."""
+    rows = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>"), F.lit(1))
+
+    def cells(row: Column) -> Column:
+        inner = F.regexp_extract_all(row, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>"), F.lit(1))
+        texts = F.transform(inner, lambda x: unescape_html(F.regexp_replace(x, r"<!--(?s:.*?)-->|</?[A-Za-z][^>]*>", "")))
+        return F.transform(texts, (lambda x: stripped(F.regexp_replace(x, SPACE + "+", " "))) if tidy else stripped)
+
+    out = F.transform(rows, cells)
+    return F.filter(out, lambda r: F.exists(r, lambda c: c != "")) if tidy else out
+
+
 def has_ocr_errors(text: Column) -> Column:
     """Both signs of a pair that recognisers mix up, or any sign beyond ASCII."""
     pairs = (("0", "O"), ("1", "l"), ("5", "S"), ("8", "B"))
@@ -239,11 +277,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def ngrams(words: Column, longest: int = 5) -> Column:
-    """array<struct<n, pos, text>>, shorter ones first, then by place."""
+def ngrams(words: Column, longest: int = 5, norms: Column | None = None) -> Column:
+    """array<struct<n, pos, text>>, shorter ones first, then by place; with norms, other forms of the words, also norm."""
+    joined = lambda a, i, n: F.array_join(F.slice(a, i + 1, n), " ")
+
     def of(n: int) -> Column:
         at = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.array_join(F.slice(words, i + 1, n), " ").alias("text")))
+        more = lambda i: [] if norms is None else [joined(norms, i, n).alias("norm")]
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), joined(words, i, n).alias("text"), *more(i)))
 
     return F.concat(*(of(n) for n in range(1, longest + 1)))
 

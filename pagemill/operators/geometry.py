@@ -7,6 +7,8 @@ columns of a group (a page, or a region of it).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,8 @@ MARGIN = 0.07
 METRICS = ("min_x", "max_x", "min_y", "max_y", "center_x", "center_y", "width", "height")
 QUALITY_MIN = 0.62
 WIDE_COLUMNS = 9
+# Why a region is, or is not, taken for a regular table.
+REASONS = ("too few text boxes", "too few rows", "too few columns (not tabular)", "ultra-dense matrix", "irregular layout (flowchart?)", "regular ruled table")
 
 
 def with_metrics(blocks: DataFrame, bbox: str = "bbox") -> DataFrame:
@@ -82,38 +86,63 @@ def _centroid_fold(items: Column, value: str, tolerance: Column) -> Column:
     return F.aggregate(items, start, step)["out"]
 
 
+def nested(blocks: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """(by, items): a group's blocks as an array of struct<(order), b>, sorted by order."""
+    rest = [c for c in blocks.columns if c not in by]
+    item = F.struct(*(F.col(c).alias(f"__{c}") for c in order), F.struct(*rest).alias("b"))
+    return blocks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def row_tolerance(heights: Column) -> Column:
+    return F.greatest(S.upper_median_of(heights) * 0.7, F.lit(8.0))
+
+
+def row_numbers(items: Column) -> Column:
+    """array<int>: the row of each of nested() items that are sorted by center_y."""
+    return _centroid_fold(items, "__center_y", row_tolerance(F.transform(items, lambda i: i["b"]["height"])))
+
+
+def row_count(items: Column) -> Column:
+    return F.array_max(row_numbers(items)) + 1
+
+
 def assign_rows(blocks: DataFrame, by: list[str] | None = None, order_in_row: str = "min_x") -> DataFrame:
     """adds row_no and place (in the row): rows are clusters of center_y by running mean, within max(0.7 upper-median height, 8)."""
     by = by or ["page_id"]
-    rest = [c for c in blocks.columns if c not in by]
-    item = F.struct(F.col("center_y").alias("__y"), F.col("block_id").alias("__id"), F.struct(*rest).alias("b"))
-    g = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"), S.upper_median("height").alias("mh"))
-    g = g.withColumn("rows", _centroid_fold(F.col("items"), "__y", F.greatest(F.col("mh") * 0.7, F.lit(8.0))))
+    g = nested(blocks, by, "center_y", "block_id")
+    g = g.withColumn("rows", row_numbers(F.col("items")))
     flat = g.select(*by, F.explode(F.arrays_zip("items", "rows")).alias("z")).select(*by, "z.items.b.*", F.col("z.rows").alias("row_no"))
     w = Window.partitionBy(*by, "row_no").orderBy(order_in_row, "center_y", "block_id")
     return flat.withColumn("place", F.row_number().over(w) - 1)
 
 
-def row_boxes(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row per visual row: its box, size, text and mean centre."""
+def row_boxes(rowed: DataFrame, by: list[str] | None = None, extra: list[Column] | None = None) -> DataFrame:
+    """One row per visual row: its box, size, text and mean centre, and extra aggregates."""
     by = by or ["page_id"]
     texts = F.array_sort(F.collect_list(F.struct("place", X.stripped(F.coalesce(F.col("text"), F.lit(""))).alias("t"))))
     return rowed.groupBy(*by, "row_no").agg(
         F.min("min_y").alias("top"), F.max("max_y").alias("bottom"), F.min("min_x").alias("left"), F.max("max_x").alias("right"),
         F.max("height").alias("row_height"), F.avg("center_y").alias("row_center"), F.count("*").alias("n_blocks"),
-        F.array_join(F.filter(F.transform(texts, lambda x: x["t"]), lambda t: t != ""), " ").alias("row_text"),
+        F.array_join(F.filter(F.transform(texts, lambda x: x["t"]), lambda t: t != ""), " ").alias("row_text"), *(extra or []),
     )
 
 
+def with_bands(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """adds band_no: a band ends where the gap below its last row is over max(2.8 upper-median height, 28)."""
+    by = by or ["page_id"]
+    row, upward = Window.partitionBy(*by, "row_no"), Window.partitionBy(*by).orderBy("row_no")
+    mh = S.upper_median_of(F.collect_list("height").over(Window.partitionBy(*by)))
+    b = rowed.select("*", F.min("min_y").over(row).alias("__top"), F.max("max_y").over(row).alias("__bottom"), mh.alias("__mh"))
+    above = F.max(F.struct("row_no", "__bottom")).over(upward.rangeBetween(Window.unboundedPreceding, -1))["__bottom"]
+    cut = F.when(F.col("__top") - above > F.greatest(F.col("__mh") * 2.8, F.lit(28.0)), F.col("row_no"))
+    passed = F.size(F.collect_set("__cut").over(upward.rangeBetween(Window.unboundedPreceding, 0)))
+    return b.withColumn("__cut", cut).withColumn("band_no", passed).drop("__top", "__bottom", "__mh", "__cut")
+
+
 def bands(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, row_no, band_no): a band ends where the gap below its last row is over max(2.8 upper-median height, 28)."""
+    """(by, row_no, band_no) of with_bands()."""
     by = by or ["page_id"]
-    rows = rowed.groupBy(*by, "row_no").agg(F.min("min_y").alias("top"), F.max("max_y").alias("bottom"), F.collect_list("height").alias("hs"))
-    every = Window.partitionBy(*by)
-    w = every.orderBy("row_no")
-    mh = S.upper_median_of(F.flatten(F.collect_list("hs").over(every)))
-    cut = F.coalesce((F.col("top") - F.lag("bottom").over(w) > F.greatest(F.col("mh") * 2.8, F.lit(28.0))).cast("int"), F.lit(0))
-    return rows.withColumn("mh", mh).withColumn("cut", cut).select(*by, "row_no", F.sum("cut").over(w).cast("int").alias("band_no"))
+    return with_bands(rowed, by).groupBy(*by, "row_no").agg(F.first("band_no").alias("band_no"))
 
 
 def gap_clusters(values: DataFrame, by: list[str], value: str, gap: Column | str) -> DataFrame:
@@ -124,57 +153,133 @@ def gap_clusters(values: DataFrame, by: list[str], value: str, gap: Column | str
     return values.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
 
 
+def anchors(xs: Column, height: Column, n_rows: Column) -> Column:
+    """Column anchors of sorted centres: means of runs whose steps are at most max(1.5 height, 20); runs of one are dropped where there are three rows or more, unless none would be left."""
+    gap = F.greatest(height * 1.5, F.lit(20.0))
+    empty = F.array().cast("array<struct<sum:double,n:int,last:double>>")
+
+    def step(runs: Column, x: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        longer = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct((last["sum"] + x).alias("sum"), (last["n"] + 1).alias("n"), x.alias("last"))))
+        return F.when(x - last["last"] <= gap, longer).otherwise(F.array_append(runs, F.struct(x.alias("sum"), F.lit(1).alias("n"), x.alias("last"))))
+
+    runs = F.aggregate(xs, empty, step)
+    several = F.aggregate(xs, empty, step, lambda r: F.filter(r, lambda k: (k["n"] > 1) | (n_rows < 3)))
+    mean = lambda r: F.transform(r, lambda k: k["sum"] / k["n"])
+    return F.when(F.size(several) > 0, mean(several)).otherwise(mean(runs))
+
+
 def column_anchors(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, anchors array<double>, n_rows): means of runs of center_x whose steps are at most max(1.5 upper-median height, 20); runs of one block are dropped where there are three rows or more, unless none would be left."""
+    """(by, anchors array<double>, n_rows): the anchors of each group's blocks."""
     by = by or ["page_id"]
-    every = Window.partitionBy(*by)
-    sized = rowed.select(*by, "center_x", "row_no", S.upper_median_of(F.collect_list("height").over(every)).alias("mh"), F.size(F.collect_set("row_no").over(every)).alias("n_rows"))
-    c = gap_clusters(sized, by, "center_x", F.greatest(F.col("mh") * 1.5, F.lit(20.0)))
-    runs = c.groupBy(*by, "cluster").agg(F.avg("center_x").alias("anchor"), F.count("*").alias("n"), F.first("n_rows").alias("n_rows"))
-    g = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("anchor", "n"))).alias("every"), F.first("n_rows").alias("n_rows"))
-    strong = F.filter("every", lambda x: (x["n"] >= 2) | (F.col("n_rows") < 3))
-    chosen = F.when(F.size(strong) > 0, strong).otherwise(F.col("every"))
-    return g.select(*by, F.transform(chosen, lambda x: x["anchor"]).alias("anchors"), "n_rows")
+    g = rowed.groupBy(*by).agg(F.array_sort(F.collect_list("center_x")).alias("xs"), F.collect_list("height").alias("hs"), F.size(F.collect_set("row_no")).alias("n_rows"))
+    return g.select(*by, anchors(F.col("xs"), S.upper_median_of(F.col("hs")), F.col("n_rows")).alias("anchors"), "n_rows")
+
+
+# A table's blocks as one array of structs, sorted by row_no and place: its rules as expressions, so that nothing is joined back.
+
+ITEM = ("row_no", "place", "block_id", "text", *METRICS)
+
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-def snapped(rowed: DataFrame, anchors: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """adds col (nearest anchor, the first of equal ones), offset (distance to it), n_cols."""
+
+def items_of(rowed: DataFrame, by: list[str]) -> DataFrame:
+    """(by, items): items has what ITEM names, as far as rowed has it."""
+    return rowed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*(c for c in ITEM if c in rowed.columns)))).alias("items"))
+
+
+def item_anchors(items: Column) -> Column:
+    of = lambda c: F.transform(items, lambda i: i[c])
+    return anchors(F.array_sort(of("center_x")), S.upper_median_of(of("height")), F.size(F.array_distinct(of("row_no"))))
+
+
+def item_rows(items: Column) -> Column:
+    """The rows of a table, as an array of arrays."""
+    numbers = F.array_sort(F.array_distinct(F.transform(items, lambda i: i["row_no"])))
+    return F.transform(numbers, lambda r: F.filter(items, lambda i: i["row_no"] == r))
+
+
+def _snapped_rows(items: Column, columns: Column) -> Column:
+    """Of each row, struct<col, offset, center_x, place, text> of its blocks."""
+    snap = lambda i: let(S.nearest_pair(columns, i["center_x"]), lambda n: F.struct(n["i"].alias("col"), n["d"].alias("offset"), i["center_x"].alias("center_x"), i["place"].alias("place"), i["text"].alias("text")))
+    return F.transform(item_rows(items), lambda row: F.transform(row, snap))
+
+
+def with_cells(tables: DataFrame) -> DataFrame:
+    """tables (items) with anchors and cells: the rows' blocks with their columns."""
+    return tables.withColumn("anchors", item_anchors(F.col("items"))).withColumn("cells", _snapped_rows(F.col("items"), F.col("anchors")))
+
+
+def _used(row: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(row, lambda c: c["col"])))
+
+
+def is_table(cells: Column, n_cols: Column) -> dict[str, Column]:
+    """n_rows, n_multi, n_cols, n_aligned and is_table: two rows or more of several blocks, 60 % of all, that fill two columns or more."""
+    count = lambda rows, test: F.size(F.filter(rows, test))
+    n_rows, n_multi, n_aligned = F.size(cells), count(cells, lambda r: F.size(r) >= 2), count(cells, lambda r: _used(r) >= 2)
+    ok = (n_rows >= 2) & (n_multi >= 2) & (n_multi / n_rows >= 0.6) & (n_cols >= 2) & (n_aligned >= 2) & (n_aligned / n_rows >= 0.6)
+    return {"n_rows": n_rows, "n_multi": n_multi, "n_cols": n_cols, "n_aligned": n_aligned, "is_table": ok}
+
+
+def quality(tables: DataFrame) -> DataFrame:
+    """adds fill, align, stab, collision, col_penalty, n_cols and score to with_cells(): how well rows snap to a grid; null below two columns."""
+    n_cols, n_rows = F.size("anchors"), F.size("cells")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    t = tables.withColumn("__used", F.transform("cells", lambda r: _used(r).cast("double"))).withColumn("__mean", total(F.col("__used")) / n_rows)
+    dev = F.sqrt(total(F.transform("__used", lambda u: (u - F.col("__mean")) * (u - F.col("__mean")))) / n_rows)
+    drift = S.upper_median_of(F.flatten(F.transform("cells", lambda r: F.transform(r, lambda c: c["offset"]))))
+    gaps = F.transform(F.slice("anchors", 2, n_cols), lambda a, i: a - F.get("anchors", i))
+    step = F.greatest(F.coalesce(S.upper_median_of(gaps), F.lit(1.0)), F.lit(1.0))
+    t = t.withColumns(
+        {
+            "fill": total(F.col("__used")) / (n_rows * n_cols),
+            "align": F.greatest(F.lit(0.0), 1 - drift / (step * 0.5)),
+            "stab": S.spread(F.col("__mean"), dev),
+            "collision": F.size(F.filter("cells", lambda r: _used(r) < F.size(r))) / n_rows,
+            "col_penalty": S.clamp((n_cols - WIDE_COLUMNS) / F.lit(float(WIDE_COLUMNS))),
+            "n_cols": n_cols,
+        }
+    ).drop("__used", "__mean")
+    c = F.col
+    score = S.clamp(0.30 * c("fill") + 0.30 * c("align") + 0.20 * c("stab") + 0.20 * (1 - c("collision")) - 0.35 * c("col_penalty"))
+    return t.withColumn("score", F.when(n_cols >= 2, score))
+
+
+def cell_texts(cells: Column, n_cols: Column) -> Column:
+    """array<array<string>>: of each row the escaped texts of its columns, those of one column joined in the order of their centres; rows without text are dropped."""
+    text = lambda c: X.escape_cell(F.coalesce(c["text"], F.lit("")))
+    ordered = lambda row: F.array_sort(F.transform(row, lambda c: F.struct(c["center_x"].alias("x"), c["place"].alias("k"), c["col"].alias("col"), text(c).alias("t"))))
+    of_column = lambda row, k: F.array_join(F.transform(F.filter(row, lambda c: (c["col"] == k) & (c["t"] != "")), lambda c: c["t"]), " ")
+    columns = F.sequence(F.lit(0), F.greatest(n_cols, F.lit(1)) - 1)
+    filled = F.transform(cells, lambda row: let(ordered(row), lambda o: F.transform(columns, lambda k: of_column(o, k))))
+    return F.filter(filled, lambda row: F.exists(row, lambda t: t != ""))
+
+
+def snapped(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """adds anchors, col (nearest anchor, the first of equal ones), offset (distance to it), n_cols; a group is gathered once and not joined."""
     by = by or ["page_id"]
-    b = rowed.join(anchors.select(*by, "anchors"), by).withColumn("col", S.nearest(F.col("anchors"), F.col("center_x")))
-    return b.withColumn("offset", F.abs(F.element_at("anchors", F.col("col") + 1) - F.col("center_x"))).withColumn("n_cols", F.size("anchors"))
+    g = rowed.groupBy(*by).agg(F.collect_list(F.struct(*(c for c in rowed.columns if c not in by))).alias("items"))
+    b = g.withColumn("anchors", item_anchors(F.col("items"))).select(*by, "anchors", F.inline("items"))
+    near = b.withColumn("__n", S.nearest_pair(F.col("anchors"), F.col("center_x")))
+    return near.withColumns({"col": F.col("__n.i"), "offset": F.col("__n.d"), "n_cols": F.size("anchors")}).drop("__n")
 
 
 def table_like(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, n_rows, n_multi, n_cols, n_aligned, is_table): two rows or more of several blocks, 60 % of all, that fill two columns or more."""
+    """(by, n_rows, n_multi, n_cols, n_aligned, is_table) of each group's blocks."""
     by = by or ["page_id"]
-    cells = snapped(rowed, column_anchors(rowed, by), by)
-    rows = cells.groupBy(*by, "row_no").agg(F.count("*").alias("n"), F.count_distinct("col").alias("filled"), F.first("n_cols").alias("n_cols"))
-    g = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if(F.col("n") >= 2).alias("n_multi"), F.first("n_cols").alias("n_cols"), F.count_if(F.col("filled") >= 2).alias("n_aligned"))
-    ok = (F.col("n_rows") >= 2) & (F.col("n_multi") >= 2) & (F.col("n_multi") / F.col("n_rows") >= 0.6) & (F.col("n_cols") >= 2) & (F.col("n_aligned") >= 2) & (F.col("n_aligned") / F.col("n_rows") >= 0.6)
-    return g.withColumn("is_table", ok)
+    t = with_cells(items_of(rowed, by))
+    return t.select(*by, *(v.alias(k) for k, v in is_table(F.col("cells"), F.size("anchors")).items()))
 
 
 def grid_quality(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, fill, align, stab, collision, col_penalty, n_cols, score): how well rows snap to a grid; all zero below two columns."""
+    """(by, fill, align, stab, collision, col_penalty, n_cols, score) of each group's blocks; groups below two columns are left out."""
     by = by or ["page_id"]
-    cells = snapped(rowed, column_anchors(rowed, by), by)
-    filled = cells.groupBy(*by, "row_no", "col").agg(F.count("*").alias("n"), F.collect_list("offset").alias("offsets"), F.first("anchors").alias("anchors"))
-    rows = filled.groupBy(*by, "row_no").agg(F.count("*").alias("used"), F.max("n").alias("most"), F.flatten(F.collect_list("offsets")).alias("offsets"), F.first("anchors").alias("anchors"))
-    g = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.sum("used").alias("filled"), F.avg("used").alias("mean"), F.stddev_pop("used").alias("dev"), F.count_if(F.col("most") >= 2).alias("hit_rows"), F.flatten(F.collect_list("offsets")).alias("offsets"), F.first("anchors").alias("anchors"))
-    n_cols = F.size("anchors")
-    gaps = F.transform(F.slice("anchors", 2, n_cols - 1), lambda a, i: a - F.element_at("anchors", i + 1))
-    col_gap = F.greatest(F.coalesce(S.upper_median_of(gaps), F.lit(1.0)), F.lit(1.0))
-    g = g.where(n_cols >= 2).select(
-        *by,
-        (F.col("filled") / (F.col("n_rows") * n_cols)).alias("fill"),
-        F.greatest(F.lit(0.0), 1 - S.upper_median_of(F.col("offsets")) / (col_gap * 0.5)).alias("align"),
-        S.spread(F.col("mean"), F.col("dev")).alias("stab"),
-        (F.col("hit_rows") / F.col("n_rows")).alias("collision"),
-        S.clamp((n_cols - WIDE_COLUMNS) / F.lit(float(WIDE_COLUMNS))).alias("col_penalty"),
-        n_cols.alias("n_cols"),
-    )
-    c = F.col
-    return g.withColumn("score", S.clamp(0.30 * c("fill") + 0.30 * c("align") + 0.20 * c("stab") + 0.20 * (1 - c("collision")) - 0.35 * c("col_penalty")))
+    q = quality(with_cells(items_of(rowed, by)))
+    return q.where("n_cols >= 2").select(*by, "fill", "align", "stab", "collision", "col_penalty", "n_cols", "score")
 
 
 # Routing of a recogniser's raw boxes.
@@ -207,6 +312,13 @@ def content_features(blocks: DataFrame) -> DataFrame:
     return g.select("page_id", "n", "is_grid", "is_complex", "has_math", kind.alias("content_type"))
 
 
+def classify_pages(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page_id, content_type) of pages (page_id, error): mixed where reading failed, pure text where nothing was found, else by content_features()."""
+    f = content_features(blocks).select("page_id", "content_type")
+    failed = F.coalesce("error", F.lit("")) != ""
+    return pages.join(f, "page_id", "left").select("page_id", F.when(failed, "mixed").otherwise(F.coalesce("content_type", F.lit("pure_text"))).alias("content_type"))
+
+
 # Recognition engines by content type.
 ENGINES = {"pure_text": "paddleocr_vl", "simple_table": "paddleocr_vl", "complex_table": "mineru", "mixed": "paddleocr_vl", "math_special": "mathpix_api"}
 DEFAULT_ENGINE = "paddleocr_vl"
@@ -267,14 +379,14 @@ def applicability(blocks: DataFrame, by: list[str]) -> DataFrame:
     dev = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n_rows") - mean * mean))
     g = g.withColumn("row_stab", S.spread(mean, dev))
     reason = (
-        F.when(F.col("n") < 3, "too few text boxes")
-        .when(F.col("n_rows") < 3, "too few rows")
-        .when(F.col("n_cols") < 2, "too few columns (not tabular)")
-        .when(F.col("n_cols") > 12, "ultra-dense matrix")
-        .when(F.col("row_stab") < 0.55, "irregular layout (flowchart?)")
-        .otherwise("regular ruled table")
+        F.when(F.col("n") < 3, REASONS[0])
+        .when(F.col("n_rows") < 3, REASONS[1])
+        .when(F.col("n_cols") < 2, REASONS[2])
+        .when(F.col("n_cols") > 12, REASONS[3])
+        .when(F.col("row_stab") < 0.55, REASONS[4])
+        .otherwise(REASONS[5])
     )
-    return g.select(*by, "n_rows", "n_cols", "row_stab", reason.alias("reason"), (reason == "regular ruled table").alias("applicable"))
+    return g.select(*by, "n_rows", "n_cols", "row_stab", reason.alias("reason"), (reason == REASONS[5]).alias("applicable"))
 
 
 def built_tables(blocks: DataFrame) -> DataFrame:

@@ -152,7 +152,6 @@ def enhance_regions(crops: DataFrame, backend: Callable[[], Backend], tier: str,
     the slow table model, drop those that geometry.applicability() refuses before.
     """
     from pagemill.operators import gates
-    from pagemill.operators.render import html_cell_rows
 
     if tier == "manual":
         crops = crops.where(F.lit(False))
@@ -170,7 +169,7 @@ def enhance_regions(crops: DataFrame, backend: Callable[[], Backend], tier: str,
             yield pd.DataFrame({"page_id": b["page_id"], "region_id": b["region_id"], "html": pd.Series(out, dtype=object, index=b.index)})
 
     found = crops.select("page_id", "region_id", "content", "bbox", "quality", "n_cols", "blocks", "x0", "y0").mapInPandas(run, "page_id long, region_id int, html string").where("html <> ''")
-    scored = found.withColumn("__rows", html_cell_rows(F.col("html"))).withColumn("score_enhanced", gates.table_structure(F.col("__rows")))
+    scored = found.withColumn("__rows", X.html_rows(F.col("html"), tidy=False)).withColumn("score_enhanced", gates.table_structure(F.col("__rows")))
     region = F.struct("bbox", "quality", "n_cols")
     j = scored.join(crops.select("page_id", "region_id", region.alias("region"), F.col("quality").alias("score_base")), ["page_id", "region_id"])
     verdict = gates.adopt_verdict(F.col("score_base"), F.col("score_enhanced"), enabled, base_max, margin, least)

@@ -9,14 +9,20 @@ from pagemill.functions import text as X
 from pagemill.operators.render import line_diff
 
 
-def note_metrics(notes: DataFrame, name: str = "image", markdown: str = "markdown") -> DataFrame:
+def note_metrics(notes: DataFrame, name: str = "image", markdown: str = "markdown", pages: DataFrame | None = None) -> DataFrame:
+    """(image, chars, lines, table_rows) of notes; with pages (image, tables, blocks, confidence) external_tables, ocr_blocks and the confidence to four places too."""
     md = F.coalesce(F.col(markdown), F.lit(""))
-    return notes.select(
+    m = notes.select(
         F.col(name).alias("image"),
         F.length(md).cast("long").alias("chars"),
         (X.occurrences(md, F.lit("\n")) + 1).alias("lines"),
         X.occurrences(md, F.lit("| --- |")).alias("table_rows"),
     )
+    if pages is None:
+        return m
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    own = pages.select("image", F.greatest(count("tables"), F.lit(0)).cast("long").alias("external_tables"), F.greatest(count("blocks"), F.lit(0)).cast("long").alias("ocr_blocks"), F.round(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence"))
+    return m.join(own, "image", "left")
 
 
 def compare(old: DataFrame, new: DataFrame, name: str = "image", markdown: str = "markdown", ignore: Column | None = None) -> DataFrame:

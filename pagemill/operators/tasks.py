@@ -17,12 +17,19 @@ def content_hash(content: Column) -> Column:
 
 
 def new_tasks(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """files: (file_path, file_hash, created_at).  One task per hash not known yet, of its first file by (created_at, file_path); a path that is known with other content is new content."""
-    first = F.min_by(F.struct("file_path", "created_at"), F.struct("created_at", "file_path"))
+    """files: (file_path, file_hash, created_at).  One task per content not known yet, of its first file by (created_at, file_path).
+
+    known: (file_hash, file_path).  A path has one task for ever: a file whose
+    path is known, or comes twice with other content, is no new task.
+    """
+    order = F.struct("created_at", "file_path", "file_hash")
+    first = F.min_by(F.struct("file_path", "created_at"), order)
     fresh = files.groupBy("file_hash").agg(first.alias("f"), F.count("*").alias("copies"))
+    fresh = fresh.select("file_hash", F.col("f.file_path").alias("file_path"), F.col("f.created_at").alias("created_at"), "copies")
     if known is not None:
-        fresh = fresh.join(known.select("file_hash").distinct(), "file_hash", "left_anti")
-    return fresh.select("file_hash", F.col("f.file_path").alias("file_path"), F.col("f.created_at").alias("created_at"), "copies")
+        fresh = fresh.join(known.select("file_hash").distinct(), "file_hash", "left_anti").join(known.select("file_path").distinct(), "file_path", "left_anti")
+    one = fresh.groupBy("file_path").agg(F.min_by(F.struct("file_hash", "created_at", "copies"), order).alias("t"))
+    return one.select("t.file_hash", "file_path", "t.created_at", "t.copies")
 
 
 def fold_events(events: DataFrame) -> DataFrame:

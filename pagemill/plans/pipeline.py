@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators import gates, geometry, linking, recognize, render
+from pagemill.operators import gates, geometry, layout, linking, recognize, render
 from pagemill.sources.files import blocks_of
 from pagemill.sources.sinks import publish
 from pagemill.streaming import intake
@@ -14,8 +14,7 @@ from pagemill.streaming import intake
 def layout_pages(pages: DataFrame, enhanced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(partitioned blocks, rendered pages) of PAGE records."""
     parted = geometry.partition_blocks(geometry.with_metrics(blocks_of(pages)))
-    content = parted.where("reason is null")
-    return parted, render.render_pages(render.gather_pages(content, pages, enhanced))
+    return parted, layout.render_pages(parted.where("reason is null"), pages, enhanced)
 
 
 def note_pages(pages: DataFrame, titles: DataFrame | None, run_date: Column, enhanced: DataFrame | None = None, correct=None) -> DataFrame:
@@ -40,12 +39,36 @@ def note_pages(pages: DataFrame, titles: DataFrame | None, run_date: Column, enh
     return render.notes(pages.select("page_id", "source_path", "confidence"), rendered, geometry.page_numbers(parted), render.filtered_notes(parted.where("reason is not null")), render.tables_section(kept), links, run_date)
 
 
-def stream_notes(files: DataFrame, checkpoint: str, folder: str, engines: dict, titles: DataFrame | None, run_date: Column, once: bool = False):
-    """Files of a watched folder to notes: each micro-batch is recognised, laid out and published."""
+def pages_of(recognized: DataFrame) -> DataFrame:
+    """PAGE records of recognize.recognize()'s rows."""
+    block = lambda b: F.struct(b["block_id"].alias("block_id"), b["type"].alias("type"), b["text"].alias("text"), b["confidence"].alias("confidence"), b["bbox"].alias("bbox"), F.lit(False).alias("corrected"))
+    tables = F.array().cast("array<struct<html:string,cells:array<string>,bbox:array<int>,confidence:double,engine:string>>")
+    return recognized.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("source_path"), "confidence", "engine_used", F.lit("mixed").alias("content_type"), F.transform("blocks", block).alias("blocks"), tables.alias("tables"))
+
+
+def notes_of(files: DataFrame, folder: str, engines: dict, titles: DataFrame | None, run_date: Column) -> DataFrame:
+    """Recognises files (path, content), lays their pages out and publishes the notes; returns recognise()'s rows, still to be computed again if used."""
+    pages = recognize.recognize(files.withColumn("engine", F.lit(geometry.DEFAULT_ENGINE)), engines)
+    publish(note_pages(pages_of(pages), titles, run_date), folder).agg(F.sum("bytes")).collect()  # one row
+    return pages
+
+
+def stream_notes(files: DataFrame, checkpoint: str, folder: str, engines: dict, titles: DataFrame | None, run_date: Column, once: bool = False, log: str | None = None, delay_seconds: float = 0.0):
+    """Files of a watched folder to notes: each micro-batch waits until its files have settled; new contents are recognised, laid out and published, and the tasks' events logged under `log` (beside the checkpoint unless given)."""
+    events = intake.TaskLog(files.sparkSession, log or checkpoint.rstrip("/") + "-tasks")
 
     def process(batch: DataFrame, number: int) -> None:
-        pages = recognize.recognize(batch.dropDuplicates(["path"]).withColumn("engine", F.lit(geometry.DEFAULT_ENGINE)), engines)
-        named = pages.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("source_path"), "confidence", "engine_used", F.lit("mixed").alias("content_type"), F.transform("blocks", lambda b: F.struct(b["block_id"].alias("block_id"), b["type"].alias("type"), b["text"].alias("text"), b["confidence"].alias("confidence"), b["bbox"].alias("bbox"), F.lit(False).alias("corrected"))).alias("blocks"), F.array().cast("array<struct<html:string,cells:array<string>,bbox:array<int>,confidence:double,engine:string>>").alias("tables"))
-        publish(note_pages(named, titles, run_date), folder).collect()
+        fresh = intake.fresh(batch, events.known(number)).select("path", "file_hash", "content")
+        for status in ("pending", "processing"):
+            events.add(fresh, number, status)
+        try:
+            said = notes_of(fresh, folder, engines, titles, run_date)
+        except Exception as e:
+            events.add(fresh, number, "failed", F.lit(f"{type(e).__name__}: {e}"[:1000]))
+            raise
+        failed = said.where("error is not null").select("path", "error")
+        both = fresh.drop("content").join(failed, "path", "left")
+        events.add(both.where("error is null"), number, "completed")
+        events.add(both.where("error is not null"), number, "failed", F.col("error"))
 
-    return intake.run(files, checkpoint, process, once=once)
+    return intake.run(files, checkpoint, intake.settled(process, delay_seconds), once=once)

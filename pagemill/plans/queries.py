@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from pagemill.functions import stats as S
 from pagemill.functions import text as X
-from pagemill.operators import gates, geometry, linking, render, snapshots, tasks
+from pagemill.operators import gates, geometry, layout, linking, render, snapshots, tasks
 from pagemill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,23 +145,24 @@ GRAMS = "toks AS (SELECT {id} AS doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{
 
 @query(f"WITH {GRAMS.format(id='item_id', t='benchmark')} SELECT * FROM grams")
 def ngrams_1_5(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.inline(X.ngrams(X.tokens(F.col("text")))))
+    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), X.tokens(F.col("text")).alias("words"))
+    return words.select("doc_id", F.inline(X.ngrams(F.col("words"))))
 
 
 NORM = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]', '', 'g')"
 SIGNS = "list_distinct(string_split({0}, ''))"
 BLACK = ", ".join(f"'{w}'" for w in linking.BLACKLIST)
 CANDIDATES = f"""
-WITH RECURSIVE {TITLES}, {GRAMS.format(id="conv_id * 1000 + turn", t="conversations")},
-g AS (SELECT DISTINCT text, lower(text) AS low, {NORM.format("text")} AS norm FROM grams WHERE lower(text) NOT IN ({BLACK})),
-t AS (SELECT title AS target, lower(title) AS t_low, {NORM.format("title")} AS t_norm FROM titles),
-m AS (SELECT text, target, CASE WHEN low = t_low THEN 1.0::DOUBLE WHEN norm = t_norm THEN 0.9::DOUBLE
+WITH {TITLES}, {GRAMS.format(id="doc_id", t="documents")},
+g AS MATERIALIZED (SELECT *, lower(text) AS low, {NORM.format("text")} AS norm FROM (SELECT DISTINCT text FROM grams) WHERE lower(text) NOT IN ({BLACK})),
+t AS MATERIALIZED (SELECT title AS target, lower(title) AS t_low, {NORM.format("title")} AS t_norm FROM titles),
+m AS MATERIALIZED (SELECT text, target, CASE WHEN low = t_low THEN 1.0::DOUBLE WHEN norm = t_norm THEN 0.9::DOUBLE
         ELSE len(list_intersect({SIGNS.format("norm")}, {SIGNS.format("t_norm")}))::DOUBLE / greatest(length(norm), length(t_norm)) * 0.8 END AS confidence,
       CASE WHEN low = t_low THEN 'exact' WHEN norm = t_norm THEN 'normalized' ELSE 'partial' END AS match_type
-      FROM g, t WHERE low = t_low OR (length(norm) * 4 >= length(t_norm) * 3 AND length(t_norm) * 4 >= length(norm) * 3 AND length(norm) > 0 AND length(t_norm) > 0 AND (contains(norm, t_norm) OR contains(t_norm, norm)))),
-c AS (SELECT doc_id, n, pos, text, target, confidence, match_type FROM grams JOIN m USING (text) WHERE confidence >= 0.6),
-top AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, target ORDER BY confidence DESC, n, pos) = 1),
-x AS (SELECT top.*, lower(d.text) AS ctx FROM top JOIN conversations d ON top.doc_id = d.conv_id * 1000 + d.turn),
+      FROM g, t WHERE length(norm) * 4 >= length(t_norm) * 3 AND length(t_norm) * 4 >= length(norm) * 3 AND (contains(norm, t_norm) OR contains(t_norm, norm))),
+c AS MATERIALIZED (SELECT doc_id, n, pos, text, target, confidence, match_type FROM grams JOIN m USING (text) WHERE confidence >= 0.6),
+top AS MATERIALIZED (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, target ORDER BY confidence DESC, n, pos) = 1),
+x AS (SELECT top.*, lower(d.text) AS ctx FROM top JOIN documents d USING (doc_id)),
 y AS (SELECT *, CASE WHEN match_type = 'exact' THEN least(confidence + 0.1, 1.0) ELSE confidence END AS c1, (length(ctx) - length(replace(ctx, lower(text), ''))) // length(text) AS times FROM x),
 z AS (SELECT doc_id, n, pos, text, target, confidence, match_type, (CASE WHEN times > 1 THEN least(c1 + 0.05 * (times - 1), 1.0) ELSE c1 END) * (CASE WHEN length(text) < 3 THEN 0.8 ELSE 1.0 END) AS adjusted FROM y)
 """
@@ -169,11 +170,7 @@ z AS (SELECT doc_id, n, pos, text, target, confidence, match_type, (CASE WHEN ti
 
 @query(CANDIDATES + "SELECT * FROM c")
 def link_candidates(spark, sf):
-    return linking.link_candidates(turns(spark, sf), title_table(spark, sf))
-
-
-def turns(spark, sf):
-    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return linking.link_candidates(table(spark, sf, "documents"), title_table(spark, sf))
 
 
 def _top(spark, sf):
@@ -181,7 +178,7 @@ def _top(spark, sf):
 
 
 def _scored(spark, sf):
-    return linking.score(_top(spark, sf), turns(spark, sf))
+    return linking.score(_top(spark, sf), table(spark, sf, "documents"))
 
 
 @query(CANDIDATES + "SELECT * FROM top")
@@ -205,9 +202,10 @@ def link_not_yet_linked(spark, sf):
     return linking.drop_linked(s, s.where("doc_id % 2 = 0")).select("doc_id", "target", "n", "pos", "text", "adjusted")
 
 
-@query(CANDIDATES + "SELECT doc_id, count(*) AS n_lines FROM z WHERE confidence > 0.6 GROUP BY 1")
+@query(CANDIDATES + f""", k AS (SELECT doc_id, string_agg('<!-- LINK: ' || text || ' -> [[' || target || ']] (conf: ' || printf('%.2f', confidence) || ') -->', chr(10) ORDER BY adjusted DESC, n, pos, target) AS body FROM z WHERE confidence > 0.6 GROUP BY 1)
+SELECT doc_id, '{X.LINKS_HEAD}' || chr(10) || body AS comments FROM k""")
 def link_comment_lines(spark, sf):
-    return linking.link_comments(_scored(spark, sf)).select("doc_id", (X.occurrences(F.col("comments"), F.lit("<!-- LINK: "))).alias("n_lines"))
+    return linking.link_comments(_scored(spark, sf))
 
 
 # Text rules.
@@ -464,7 +462,7 @@ def column_anchors(spark, sf):
 @query(f"WITH RECURSIVE {SNAP} SELECT page_id, block_id, i AS col, off AS \"offset\" FROM sn")
 def snapped_columns(spark, sf):
     r = rowed(spark, sf)
-    return geometry.snapped(r, geometry.column_anchors(r)).select("page_id", "block_id", "col", "offset")
+    return geometry.snapped(r).select("page_id", "block_id", "col", "offset")
 
 
 @query(f"""
@@ -624,9 +622,7 @@ def html_tables(spark, sf):
 
 @query(f"WITH {NATION_CELLS} SELECT page_id, row_no, 0 AS col, n_name AS text FROM cells UNION ALL SELECT page_id, row_no, 1, '<' || n_nationkey || '|&' FROM cells")
 def html_roundtrip(spark, sf):
-    spark.udtf.register("html_cells", render.HtmlCells)
-    nation_html(spark, sf).createOrReplaceTempView("pagemill_html")
-    return spark.sql("SELECT page_id, c.row_no, c.col, c.text FROM pagemill_html, LATERAL html_cells(html, true) c")
+    return render.html_cells(nation_html(spark, sf))
 
 
 PIPES = "md AS (SELECT page_id, string_agg('| ' || n_name || ' | <' || n_nationkey || chr(92) || '|& |' || CASE WHEN row_no = 0 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY row_no) AS markdown FROM cells GROUP BY 1 HAVING count(*) >= 2)"
@@ -706,10 +702,10 @@ def body_duplicate_tables(spark, sf):
     return gates.drop_body_duplicates(tables, cells, body)
 
 
-@query("SELECT token, n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token, 1 AS n FROM documents WHERE doc_id % 2 = 0) INTERSECT ALL SELECT token, n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token, 1 AS n FROM benchmark)")
+@query("SELECT token, n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token, 1 AS n FROM documents) INTERSECT ALL SELECT token, n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token, 1 AS n FROM benchmark)")
 def shared_tokens_multiset(spark, sf):
     one = lambda d: d.select(F.explode(X.tokens(F.col("text"))).alias("token"), F.lit(1).alias("n"))
-    return one(table(spark, sf, "documents").where("doc_id % 2 = 0")).intersectAll(one(table(spark, sf, "benchmark")))
+    return one(table(spark, sf, "documents")).intersectAll(one(table(spark, sf, "benchmark")))
 
 
 def _pages(spark, sf):
@@ -719,12 +715,12 @@ def _pages(spark, sf):
 @query(None)
 def rendered_pages(spark, sf):
     parted = geometry.partition_blocks(boxes(spark, sf))
-    return render.render_pages(render.gather_pages(parted.where("reason is null"), _pages(spark, sf)))
+    return layout.render_pages(parted.where("reason is null"), _pages(spark, sf))
 
 
 @query(None)
 def notes(spark, sf):
     parted = geometry.partition_blocks(boxes(spark, sf))
     pages = _pages(spark, sf)
-    made = render.render_pages(render.gather_pages(parted.where("reason is null"), pages))
+    made = layout.render_pages(parted.where("reason is null"), pages)
     return render.notes(pages, made, geometry.page_numbers(parted), render.filtered_notes(parted.where("reason is not null")), None, None, F.to_date(F.lit("2024-03-05")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 
@@ -29,6 +30,22 @@ class Settings:
     struct_min: float = 0.5
 
 
+def read(path: str) -> dict:
+    """The mapping in a YAML or JSON file; YAML needs PyYAML, without which only JSON is read."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.lower().endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        try:
+            return json.loads(text)  # JSON is YAML
+        except ValueError:
+            raise ValueError(f"{path}: PyYAML is not installed, and this is not JSON") from e
+    return yaml.safe_load(text) or {}
+
+
 def load(config: dict | None) -> Settings:
     """Raises ValueError unless vault.root is set and the workers are a whole number of at least 1."""
     config = config or {}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,19 @@ def scan_images(spark: SparkSession, folder: str, skip: tuple[str, ...] = (), ex
     return files.where(X.accepts_path(F.col("path"), extensions, skip))
 
 
+LISTED = ("png", "jpg", "jpeg", "bmp", "tiff")
+
+
+def list_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of a folder's images in the order of their names; no HEIC."""
+    return scan_images(spark, folder, extensions=LISTED).select("path").orderBy(X.base_name(F.col("path")))
+
+
+def normal_path(path: str) -> str:
+    """Absolute, with forward slashes and without . and .. parts."""
+    return os.path.abspath(os.path.expanduser(path)).replace(os.sep, "/")
+
+
 def hashed(files: DataFrame) -> DataFrame:
     """(file_path, file_hash, created_at): the content goes no further."""
     return files.select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("file_hash"), F.col("modificationTime").alias("created_at"))
@@ -35,7 +51,7 @@ def front_matter_title(content: Column) -> Column:
 
 def vault_titles(spark: SparkSession, root: str) -> DataFrame:
     """(title): stems and front-matter titles of all notes under root, hidden folders left out, each once."""
-    notes = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).select("value", F.col("_metadata.file_path").alias("p"))
+    notes = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
     return titles_of(notes.select(F.url_decode("p").alias("path"), F.col("value").alias("content")))
 
 
@@ -45,6 +61,12 @@ def titles_of(notes: DataFrame) -> DataFrame:
     return seen.select(X.stem(F.col("path")).alias("title")).union(seen.select(front_matter_title(F.col("content")))).where("title is not null").distinct()
 
 
+def wiki_titles(spark: SparkSession, root: str) -> DataFrame:
+    """(title): the stems of all notes under root, hidden folders too, as often as they occur."""
+    notes = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    return notes.select(X.stem(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).alias("title"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """PAGE records from JSON lines."""
     return spark.read.schema(schemas.PAGE).json(path)
@@ -61,12 +83,43 @@ def cached(files: DataFrame, cache: DataFrame, key: str = "image") -> tuple[Data
     return files.join(keys, key, "left_semi"), files.join(keys, key, "left_anti")
 
 
+def refreshed(spark: SparkSession, files: DataFrame, cache: str, recognise: Callable[[DataFrame], DataFrame], use: bool = True, key: str = "image") -> DataFrame:
+    """(key, record, cached) of files: from the JSON lines under cache where they are, else from recognise(files) (key, record), whose records are added there.
+
+    With use false all are recognised anew; of several records of a key that of
+    the newest file counts.
+    """
+    schema = f"{key} string, record string"
+    read = lambda: spark.read.schema(schema).json(cache).groupBy(key).agg(F.max_by("record", F.col("_metadata.file_modification_time")).alias("record"))
+    before = read().select(key).collect() if use and _exists(spark, cache) else []
+    known = spark.createDataFrame([(r[key],) for r in before], f"{key} string")
+    _, missing = cached(files, known, key)
+    recognise(missing).select(key, "record").write.mode("append").json(cache)
+    return files.select(key).join(read(), key).join(known.withColumn("__known", F.lit(True)), key, "left").select(key, "record", F.coalesce("__known", F.lit(False)).alias("cached"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_manifests(spark: SparkSession, archive: str) -> DataFrame:
     """Items of archive/*/manifest.json, with their snapshot; the cache folder has none."""
     m = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").schema("items array<struct<image:string,chars:long,lines:long,table_rows:long,external_tables:long,ocr_blocks:long,confidence:double,cached:boolean,error:string>>").json(archive)
     return m.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/manifest\.json$", 1).alias("snapshot"), F.inline("items"))
 
 
+def snapshots(spark: SparkSession, archive: str) -> list[str]:
+    """Names of the archive's snapshots, in order: folders with a manifest, the cache left out."""
+    found = read_manifest_files(spark, archive).select("snapshot").distinct().collect()
+    return sorted(r["snapshot"] for r in found if r["snapshot"] != "_cache")
+
+
+def read_manifest_files(spark: SparkSession, archive: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").load(archive)
+    return files.select(F.regexp_extract("path", r"([^/]+)/manifest\.json$", 1).alias("snapshot"), F.col("content").cast("string").alias("manifest"))
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """LOG rows from JSON lines; keys beyond the fixed ones are in extra."""
     fixed = ("timestamp", "level", "module", "message", "file", "exception")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill import schemas
 from pagemill.functions import text as X
+from pagemill.operators import tasks
 from pagemill.sources.files import EXTENSIONS
 
 
+EVENT = "task_id string, file_hash string, file_path string, status string, error string, seq long, at timestamp, batch long"
+
+
 def watch(spark: SparkSession, folder: str, skip: tuple[str, ...] = (), archive: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
     """A stream of accepted files.  The first micro-batches are the backfill; finished files move to archive if given."""
     reader = spark.readStream.format("binaryFile").schema(schemas.RAW_FILE).option("maxFilesPerTrigger", files_per_trigger)
@@ -35,6 +40,53 @@ def run(stream: DataFrame, checkpoint: str, process: Callable[[DataFrame, int],
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def settled(process: Callable[[DataFrame, int], None], delay_seconds: float) -> Callable[[DataFrame, int], None]:
+    """process, begun once the newest file of the micro-batch is delay_seconds old: a file that is still being written has that long to grow, and none is lost."""
+
+    def wait(batch: DataFrame, number: int) -> None:
+        newest = batch.agg(F.max("modificationTime").cast("double")).first()[0]  # the content is not read for this
+        if newest is not None:
+            time.sleep(max(0.0, min(delay_seconds, newest + delay_seconds - time.time())))
+        process(batch, number)
+
+    return wait
+
+
+def fresh(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Files of a micro-batch whose content and path are new: tasks.new_tasks() with the rows' content."""
+    first = tasks.new_tasks(batch.select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("file_hash"), F.col("modificationTime").alias("created_at")), known)
+    return batch.join(first.select(F.col("file_path").alias("path"), "file_hash"), "path")
+
+
+class TaskLog:
+    """Task events as Parquet, a folder a micro-batch and status: a batch that runs again replaces its own events, and no state is held in memory."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def events(self) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], EVENT)
+        return self.spark.read.schema(EVENT).parquet(f"{self.path}/*")
+
+    def known(self, before: int) -> DataFrame:
+        """(file_hash, file_path) of the tasks of earlier batches."""
+        return self.events().where((F.col("batch") < before) & (F.col("status") == "pending")).select("file_hash", "file_path")
+
+    def add(self, files: DataFrame, number: int, status: str, error: Column | None = None) -> None:
+        """files: (path, file_hash)."""
+        order = tasks.STATUSES.index(status)
+        rows = files.select(F.col("file_hash").alias("task_id"), "file_hash", F.col("path").alias("file_path"), F.lit(status).alias("status"), (F.lit(None).cast("string") if error is None else error).alias("error"), (F.lit(number).cast("long") * 10 + order).alias("seq"), F.current_timestamp().alias("at"), F.lit(number).cast("long").alias("batch"))
+        rows.write.mode("overwrite").parquet(f"{self.path}/{number:09d}-{status}")
+
+    def tasks(self) -> DataFrame:
+        """The tasks' state, as tasks.fold_events(), with file_path and id."""
+        e = self.events()
+        paths = e.groupBy("task_id").agg(F.min("file_path").alias("file_path"), F.min("at").alias("created_at"))
+        return tasks.fold_events(e).join(paths, "task_id").withColumn("id", F.col("task_id"))
+
+
 def to_task_table(path: str) -> Callable[[DataFrame, int], None]:
     """A process that writes pending tasks; a micro-batch that runs again replaces its own rows."""
 

@@ -2,15 +2,17 @@
 
 import json
 import os
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import images, recognize
+from pagemill import __main__ as cli
+from pagemill.operators import images, recognize, snapshots
 from pagemill.operators.geometry import DEFAULT_ENGINE
 from pagemill.plans import pipeline
-from pagemill.sources import config, files, sinks
+from pagemill.sources import config, files, host, logs, sinks
 from pagemill.streaming import intake
 
 
@@ -53,8 +55,86 @@ def test_publish_and_snapshot(spark, tmp_path):
     out = str(tmp_path / "out")
     assert sinks.publish(notes, out).collect()[0]["bytes"] == 6
     assert os.listdir(out) == ["n.md"] and open(out + "/n.md", encoding="utf-8").read() == "é new"
-    sinks.write_snapshot(notes.select(F.col("page_id").alias("image"), "markdown"), str(tmp_path / "snap"), "s1")
-    assert spark.read.parquet(str(tmp_path / "snap/items")).where("snapshot = 's1'").count() == 2
+    errors = spark.createDataFrame([("bad", "RuntimeError: x")], "image string, error string")
+    archive = str(tmp_path / "snap")
+    pages = spark.createDataFrame([("1", [1, 2], 0.123456)], "image string, blocks array<int>, confidence double").withColumn("tables", F.lit(None).cast("array<int>"))
+    named = notes.select(F.col("page_id").cast("string").alias("image"), "markdown")
+    for name in ("s1", "s2"):
+        sinks.write_snapshot(named, archive, name, snapshots.note_metrics(named, pages=pages), "in", "now", errors)
+    assert files.snapshots(spark, archive) == ["s1", "s2"] and open(archive + "/latest.txt").read() == "s2\n"
+    with open(archive + "/s1/manifest.json", encoding="utf-8") as f:
+        made = json.load(f)
+    assert made["image_count"] == 3 and made["items"][0] == {"image": "1", "chars": 3, "lines": 1, "table_rows": 0, "external_tables": 0, "ocr_blocks": 2, "confidence": 0.1235}
+    assert {tuple(r) for r in snapshots.listing(files.read_manifests(spark, archive)).collect()} == {("s1", 3, 1), ("s2", 3, 1)}
+
+
+def test_cache_is_refreshed(spark, tmp_path):
+    calls = []
+    images_ = spark.createDataFrame([("a", 1), ("b", 2)], "image string, n int")
+
+    def recognise(version):
+        def run(missing):
+            calls.append(sorted(r["image"] for r in missing.collect()))
+            return missing.select("image", F.concat("image", F.lit(version)).alias("record"))
+
+        return run
+
+    cache = str(tmp_path / "_cache")
+    look = lambda d: {(r["image"], r["record"], r["cached"]) for r in d.collect()}
+    assert look(files.refreshed(spark, images_.where("n = 1"), cache, recognise("1"))) == {("a", "a1", False)}
+    assert look(files.refreshed(spark, images_, cache, recognise("2"))) == {("a", "a1", True), ("b", "b2", False)}
+    time.sleep(1.1)
+    assert look(files.refreshed(spark, images_, cache, recognise("3"), use=False)) == {("a", "a3", False), ("b", "b3", False)}
+    assert calls == [["a"], ["b"], ["a", "b"]]
+
+
+def test_listings(spark, folder, tmp_path):
+    open(folder + "/z.heic", "wb").close()
+    assert [os.path.basename(r["path"]) for r in files.list_images(spark, folder).collect()] == ["a.png", "b.JPG", "d.png", "e.tmp.png"]
+    for name in ("w/one.md", "w/deep/one.md", "w/two words.md", "w/other.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("title: no")
+    assert sorted(r["title"] for r in files.wiki_titles(spark, str(tmp_path / "w")).collect()) == ["one", "one", "two words"]
+    assert files.normal_path("/a/./b/../c") == "/a/c"
+
+
+def test_host_profile(tmp_path):
+    probes = []
+
+    def probe():
+        probes.append(1)
+        return {"free_memory_gb": 16.0, "has_torch": True, "vision_models": ["m-vl"], "has_table_engine": True}
+
+    first = host.profile(str(tmp_path), probe=probe)
+    assert first["tier"] == "vision" and host.profile(str(tmp_path), probe=probe) == first and len(probes) == 1
+    (tmp_path / host.PROFILE).write_text('{"schema_version": 0, "tier": "manual"}')
+    assert host.profile(str(tmp_path), probe=probe)["tier"] == "vision" and len(probes) == 2
+    (tmp_path / host.PROFILE).write_text("not json")
+    assert host.profile(str(tmp_path), probe=probe)["tier"] == "vision"
+    assert host.profile(str(tmp_path), rescan=True, probe=dict)["tier"] == "manual"
+    assert host.profile(str(tmp_path / "none"), probe=dict)["tier"] == "manual"
+    caps = host.capabilities(models=lambda: ["x-vl"])
+    assert caps["cpu_count"] > 0 and caps["total_memory_gb"] >= caps["free_memory_gb"] > 0 and caps["gpu"]["kind"] in ("none", "cuda", "mps")
+    assert host.vision_models("no-such-command") == []
+
+
+def test_log_lines(spark, tmp_path):
+    log = logs.set_up(str(tmp_path / "l/run.log"))
+    log = logs.set_up(str(tmp_path / "l/run.log"))
+    log.info("read %d", 3, extra={"page": 7})
+    try:
+        1 / 0
+    except ZeroDivisionError:
+        log.exception("failed")
+    rows = files.read_logs(spark, str(tmp_path / "l/run.log")).collect()
+    assert [(r["level"], r["message"], r["module"]) for r in rows] == [("INFO", "read 3", "test_io"), ("ERROR", "failed", "test_io")]
+    assert rows[0]["extra"] == {"page": "7"} and "ZeroDivisionError" in rows[1]["exception"]
+
+
+def test_status(spark):
+    rows = [(k, f"f{k}", s, 1, f"e{k}", k, k) for k, s in enumerate(["failed", "pending", "failed", "completed", "failed", "failed"])]
+    t = spark.createDataFrame(rows, "id long, file_path string, status string, attempts int, last_error string, created_at int, updated_at int")
+    assert sinks.status_report(t).splitlines() == ["=== Queue Status ===", "Total tasks: 6", "  Pending: 1", "  Processing: 0", "  Completed: 1", "  Failed: 4", "", "Recent failures:", "  - f5", "    Error: e5", "  - f4", "    Error: e4", "  - f2", "    Error: e2"]
 
 
 def test_stream_dedup_survives_restart(spark, folder, tmp_path):
@@ -74,10 +154,60 @@ def test_stream_dedup_survives_restart(spark, folder, tmp_path):
 
 
 def test_stream_to_notes(spark, folder, tmp_path):
-    out = str(tmp_path / "notes")
-    q = pipeline.stream_notes(intake.watch(spark, folder, ("**/*.tmp.png",)), str(tmp_path / "cp"), out, {DEFAULT_ENGINE: recognize.FakeRecognizer()}, None, F.to_date(F.lit("2024-03-05")), once=True)
-    q.awaitTermination(60)
-    assert sorted(os.listdir(out)) == ["2024-03-05_a.md", "2024-03-05_b.md", "2024-03-05_d.md"]
+    out, cp = str(tmp_path / "notes"), str(tmp_path / "cp")
+
+    def once():
+        q = pipeline.stream_notes(intake.watch(spark, folder, ("**/*.tmp.png",)), cp, out, {DEFAULT_ENGINE: recognize.FakeRecognizer()}, None, F.to_date(F.lit("2024-03-05")), once=True, log=str(tmp_path / "log"), delay_seconds=0.5)
+        q.awaitTermination(120)
+        return sorted(os.listdir(out))
+
+    assert once() == ["2024-03-05_a.md", "2024-03-05_b.md"]  # d has a's content
+    for name, data in (("f.png", b"two"), ("g.png", b"four")):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data)
+    began = time.time()
+    assert once() == ["2024-03-05_a.md", "2024-03-05_b.md", "2024-03-05_g.md"]
+    assert time.time() - began >= 0.5
+    state = intake.TaskLog(spark, str(tmp_path / "log")).tasks().collect()
+    assert [(r["status"], r["attempts"]) for r in state] == [("completed", 0)] * 3
+
+
+def test_stream_logs_failures(spark, folder, tmp_path):
+    def broken():
+        raise RuntimeError("no model")
+
+    q = pipeline.stream_notes(intake.watch(spark, folder, ("**/*.tmp.png",)), str(tmp_path / "cp"), str(tmp_path / "notes"), {DEFAULT_ENGINE: broken}, None, F.to_date(F.lit("2024-03-05")), once=True)
+    q.awaitTermination(120)
+    log = intake.TaskLog(spark, str(tmp_path / "cp-tasks"))
+    assert {(r["status"], r["last_error"], r["attempts"]) for r in log.tasks().collect()} == {("failed", "RuntimeError: no model", 1)}
+    assert "Failed: 2" in sinks.status_report(log.tasks())
+
+
+def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
+    vault = tmp_path / "vault"
+    (vault / "00-RAW").mkdir(parents=True)
+    (vault / "00-RAW" / "a.png").write_bytes(b"Plan of the year\nsome text")
+    settings = tmp_path / "c.json"
+    settings.write_text(json.dumps({"vault": {"root": str(vault)}, "processing": {"watch_delay_seconds": 0}}))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    assert cli.main(["run", "--config", str(settings), "--drain"]) == 0
+    assert [n[10:] for n in os.listdir(vault / "99-Audit/OCR-Pending")] == ["_a.md"]
+    assert cli.main(["run", "--config", str(settings), "--once", folder + "/a.png"]) == 0
+    assert cli.main(["run", "--config", str(settings), "--status"]) == 0
+    assert "Completed: 1" in capsys.readouterr().out
+    archive = str(tmp_path / "arch")
+    for name, more in (("s1", []), ("s2", ["--use-cache"])):
+        assert cli.main(["snapshot", "run", "--archive", archive, "--input-dir", folder, "--name", name, *more]) == 0
+    assert "s1 -> s2: added 0, removed 0, changed 0, unchanged 4" in capsys.readouterr().out
+    assert cli.main(["snapshot", "compare", "--archive", archive, "--old", "s2", "--new", "s1"]) == 0
+    assert cli.main(["snapshot", "list", "--archive", archive]) == 0
+    assert "s2  images=4 errors=0" in capsys.readouterr().out
+    assert cli.main(["snapshot", "compare", "--archive", archive, "--old", "no"]) == 1
+    assert cli.main(["run", "--config", str(tmp_path / "none.json")]) == 1
+    with pytest.raises(ValueError):
+        bad = tmp_path / "c.yaml"
+        bad.write_text("vault: [")
+        config.read(str(bad))
 
 
 def test_images():
