@@ -24,6 +24,11 @@ WIDE_COLUMNS = 9
 REASONS = ("too few text boxes", "too few rows", "too few columns (not tabular)", "ultra-dense matrix", "irregular layout (flowchart?)", "regular ruled table")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def with_metrics(blocks: DataFrame, bbox: str = "bbox") -> DataFrame:
     return blocks.select(*(c for c in blocks.columns if c not in METRICS), *(v.alias(k) for k, v in S.box_metrics(F.col(bbox)).items()))
 
@@ -163,10 +168,10 @@ def anchors(xs: Column, height: Column, n_rows: Column) -> Column:
         longer = F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct((last["sum"] + x).alias("sum"), (last["n"] + 1).alias("n"), x.alias("last"))))
         return F.when(x - last["last"] <= gap, longer).otherwise(F.array_append(runs, F.struct(x.alias("sum"), F.lit(1).alias("n"), x.alias("last"))))
 
-    runs = F.aggregate(xs, empty, step)
-    several = F.aggregate(xs, empty, step, lambda r: F.filter(r, lambda k: (k["n"] > 1) | (n_rows < 3)))
-    mean = lambda r: F.transform(r, lambda k: k["sum"] / k["n"])
-    return F.when(F.size(several) > 0, mean(several)).otherwise(mean(runs))
+    def strong(runs: Column) -> Column:
+        return let(F.filter(runs, lambda k: (k["n"] > 1) | (n_rows < 3)), lambda several: F.transform(F.when(F.size(several) > 0, several).otherwise(runs), lambda k: k["sum"] / k["n"]))
+
+    return F.aggregate(xs, empty, step, strong)
 
 
 def column_anchors(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -181,11 +186,6 @@ def column_anchors(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
 ITEM = ("row_no", "place", "block_id", "text", *METRICS)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def items_of(rowed: DataFrame, by: list[str]) -> DataFrame:
     """(by, items): items has what ITEM names, as far as rowed has it."""
     return rowed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*(c for c in ITEM if c in rowed.columns)))).alias("items"))

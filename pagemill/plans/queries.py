@@ -716,11 +716,3 @@ def _pages(spark, sf):
 def rendered_pages(spark, sf):
     parted = geometry.partition_blocks(boxes(spark, sf))
     return layout.render_pages(parted.where("reason is null"), _pages(spark, sf))
-
-
-@query(None)
-def notes(spark, sf):
-    parted = geometry.partition_blocks(boxes(spark, sf))
-    pages = _pages(spark, sf)
-    made = layout.render_pages(parted.where("reason is null"), pages)
-    return render.notes(pages, made, geometry.page_numbers(parted), render.filtered_notes(parted.where("reason is not null")), None, None, F.to_date(F.lit("2024-03-05")))

@@ -43,7 +43,10 @@ def read(path: str) -> dict:
             return json.loads(text)  # JSON is YAML
         except ValueError:
             raise ValueError(f"{path}: PyYAML is not installed, and this is not JSON") from e
-    return yaml.safe_load(text) or {}
+    try:
+        return yaml.safe_load(text) or {}
+    except yaml.YAMLError as e:
+        raise ValueError(f"{path}: {e}") from e
 
 
 def load(config: dict | None) -> Settings:
