@@ -266,7 +266,7 @@ def stitch_turns(spark, sf):
 
 
 CONSISTENT = """
-WITH pair AS (SELECT doc_id, text AS a, coalesce(lead(text) OVER (PARTITION BY source ORDER BY doc_id), text) AS b FROM documents),
+WITH pair AS (SELECT d.doc_id, d.text AS a, coalesce(n.text, d.text) AS b FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1),
 ta AS (SELECT doc_id, replace(unnest(regexp_extract_all(a, '[0-9]+(?:[.,][0-9]+)*%?')), ',', '') AS t FROM pair),
 tb AS (SELECT doc_id, replace(unnest(regexp_extract_all(b, '[0-9]+(?:[.,][0-9]+)*%?')), ',', '') AS t FROM pair),
 ca AS (SELECT doc_id, t, count(*) AS a FROM ta GROUP BY ALL), cb AS (SELECT doc_id, t, count(*) AS b FROM tb GROUP BY ALL),
@@ -277,10 +277,11 @@ m AS (SELECT doc_id, coalesce(na, 0)::BIGINT AS n_ocr, coalesce(nb, 0)::BIGINT A
 
 
 def _consistency(spark, sf):
-    d = table(spark, sf, "documents")
-    b = F.coalesce(F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")), F.col("text"))
-    pair = d.select("doc_id", F.col("text").alias("a"), b.alias("b"))
-    return gates.consistency(pair.select("doc_id", "a"), pair.select("doc_id", "b"), "doc_id", "a", "b")
+    """Each document's numbers against those of the next one by id."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
+    pair = d.join(following, "doc_id", "left").select("doc_id", F.coalesce("b", "text").alias("b"))
+    return gates.consistency(d, pair, "doc_id", "text", "b")
 
 
 @query(CONSISTENT + "SELECT * FROM m")
@@ -328,13 +329,13 @@ def math_flags(spark, sf):
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, replace({TRIM.format("regexp_replace(string_split(text, chr(10))[1], '^[>#*\\-–—•·\\s\\p{Z}]+', '')")}, '"', '''') AS t FROM documents),
-s AS (SELECT doc_id, t, {TRIM.format("regexp_extract(t, '^[^。！？；;.!?]*')")} AS first FROM t),
-u AS (SELECT doc_id, CASE WHEN first = '' THEN t ELSE first END AS sentence FROM s)
-SELECT doc_id, sentence, CASE WHEN length(sentence) <= 30 THEN 'complete' WHEN (length(sentence) - 30) / 30.0 < 0.3 THEN 'tolerated' ELSE 'condensed' END AS mode FROM u""")
+WITH {LINES}, t AS (SELECT doc_id, pos, replace({TRIM.format("regexp_replace(line, '^[>#*\\-–—•·\\s\\p{Z}]+', '')")}, '"', '\'\'') AS t FROM lines),
+s AS (SELECT doc_id, pos, t, {TRIM.format("regexp_extract(t, '^[^。！？；;.!?]*')")} AS first FROM t),
+u AS (SELECT doc_id, pos, CASE WHEN first = '' THEN t ELSE first END AS sentence FROM s)
+SELECT doc_id, pos, sentence, CASE WHEN length(sentence) <= 30 THEN 'complete' WHEN (length(sentence) - 30) / 30.0 < 0.3 THEN 'tolerated' ELSE 'condensed' END AS mode FROM u""")
 def summary_sentences(spark, sf):
-    s = table(spark, sf, "documents").select("doc_id", X.leading_sentence(F.split("text", "\n")[0]).alias("sentence"))
-    return s.select("doc_id", "sentence", X.summary_mode(F.col("sentence")).alias("mode"))
+    s = line_table(spark, sf).select("doc_id", "pos", X.leading_sentence(F.col("line")).alias("sentence"))
+    return s.select("doc_id", "pos", "sentence", X.summary_mode(F.col("sentence")).alias("mode"))
 
 
 SAFE = "regexp_replace(translate(regexp_replace({0}, '[^\\p{{L}}\\p{{N}} \\-_.]', '_', 'g'), ' ', '-'), '-{{2,}}', '-', 'g')"
