@@ -377,3 +377,17 @@ def color_grids(image: Column) -> Column:
         return images.apply(lambda r: one(r["height"], r["width"], r["nChannels"], r["data"]), axis=1)
 
     return grids(F.struct(*(image[c].alias(c) for c in ("height", "width", "nChannels", "data"))))
+
+
+def page_colors(image: Column, k: int = 8) -> Column:
+    """array<struct<color, share>> of main_colors() of an image struct, most common first."""
+
+    @F.pandas_udf("array<struct<color:string,share:double>>")
+    def colors(images):
+        out = []
+        for _, r in images.iterrows():
+            a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
+            out.append([{"color": c, "share": s} for c, s in main_colors(a[..., 2::-1] if r["nChannels"] > 1 else np.repeat(a, 3, axis=2), k)])
+        return images.index.to_series().map(dict(zip(images.index, out, strict=True)))
+
+    return colors(F.struct(*(image[c].alias(c) for c in ("height", "width", "nChannels", "data"))))

@@ -398,6 +398,18 @@ def test_server_and_isolated_backends(tmp_path):
     assert backends.isolated(["no-such-command"])()(crop, {}, [], (0, 0)) is None
 
 
+def test_colors_of_image_rows(spark):
+    import numpy as np
+
+    from pagemill.operators import images
+
+    a = np.zeros((30, 40, 3), np.uint8)
+    a[:, :30] = (200, 30, 30)
+    df = spark.createDataFrame([(1, as_image(a))], PICTURES)
+    r = df.select(images.page_colors(F.col("image"), 2).alias("c"), images.color_grids(F.col("image")).alias("g")).first()
+    assert [(c["color"], c["share"]) for c in r["c"]] == [("#c81e1e", 0.75), ("#000000", 0.25)] and r["g"][0][0] == "#c81e1e" and r["g"][-1][-1] == "#000000"
+
+
 def test_images_prepared():
     import numpy as np
 
