@@ -49,18 +49,19 @@ class Pieces:
         self.index = {t: k for k, (t, _) in enumerate(own)}
         self.end, self.byte = len(own), len(own) + 1
         self.longest = max(len(t) for t in self.index)
+        self.tables = _tables(self.index)
         # The vocabulary scores are negated ranks: by Zipf's law, weights.
         ranks = np.array([max(0.0, -s) if s > -1e8 else len(own) for _, s in own])
         weight = np.concatenate([1 / (ranks + 50), [1e-3, 1e-5]])
         self.log = np.log(weight / weight.sum())
 
     def state(self) -> tuple:
-        return self.index, self.end, self.byte, self.longest, self.log
+        return self.index, self.end, self.byte, self.longest, self.log, self.tables
 
     @classmethod
     def of(cls, state: tuple) -> Pieces:
         out = cls()
-        out.index, out.end, out.byte, out.longest, out.log = state
+        out.index, out.end, out.byte, out.longest, out.log, out.tables = state
         return out
 
     def fit(self, counts: np.ndarray) -> None:
@@ -68,16 +69,52 @@ class Pieces:
         self.log = np.log(smooth / smooth.sum())
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
+def _signs(words: list[str]) -> np.ndarray:
+    """Code points, [place, word], of words of one length."""
+    return np.array(words, f"<U{len(words[0])}").view(np.uint32).reshape(len(words), -1).T.astype(np.uint64)
+
+
+def _tables(index: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the sorted fingerprints of its pieces and their ids; no two pieces share one."""
+    by_length: dict[int, list[str]] = {}
+    for t in index:
+        by_length.setdefault(len(t), []).append(t)
+    out = []
+    for n in range(1, max(by_length) + 1):
+        held = by_length.get(n, [])
+        prints = np.zeros(len(held), np.uint64)
+        for row in _signs(held) if held else ():
+            prints = _grown(prints, row)
+        order = np.argsort(prints)
+        if np.unique(prints).size < prints.size:
+            raise ValueError("two pieces have one fingerprint")
+        out.append((prints[order], np.array([index[held[k]] for k in order], np.int32)))
+    return out
+
+
+def _grown(prints: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of strings with one sign more."""
+    x = (prints ^ (signs + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) * STEP
+    return x ^ (x >> np.uint64(32))
+
+
 def _edges(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """ids and scores [length of piece - 1, place of its first sign, word] of words of one length; -1 where there is no piece."""
     n = len(words[0])
     longest = min(n, pieces.longest)
     ids = np.full((longest, n, len(words)), -1, np.int32)
-    get = pieces.index.get
+    signs = _signs(words)
+    prints = np.zeros_like(signs)
     for k in range(longest):
-        for i in range(n - k):
-            j = i + k + 1
-            ids[k, i] = [get(w[i:j], -1) for w in words]
+        prints = _grown(prints[: n - k], signs[k:])
+        known, number = pieces.tables[k]
+        if known.size:
+            at = np.searchsorted(known, prints)
+            at[at == known.size] = 0
+            ids[k, : n - k] = np.where(known[at] == prints, number[at], -1)
     score = np.where(ids >= 0, pieces.log[ids], LOW)
     missing = np.argwhere(ids[0] < 0)
     for i, w in missing.tolist():
