@@ -140,6 +140,13 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def language_report(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+    """A row per row of docs: doc_id, held_out, lang_pred, score, margin, accepted; the dictionaries come from rows whose fold isn't held out.
+
+    Null texts and texts without a letter are "und", as are all where no row is
+    labelled; whole texts are compressed, however long.  Of equal sizes the first
+    language by name is predicted.  Repeated rows stay rows.  An empty table gives
+    an empty result.  Other columns are not read.
+    """
     own = docs.select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), folds) == held)
     dictionaries = train_dictionaries(own.where("not held_out"))
     return identify(own.select("doc_id", "held_out", "text"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "margin", "accepted")

@@ -1,4 +1,8 @@
-"""The ten registered queries, on whole tables, and the SQL that says the same where SQL can."""
+"""The ten registered queries, on whole tables, and the SQL that says the same where SQL can.
+
+How each treats nulls, empty and very long texts, ties, repeated rows, empty
+tables and further columns is stated at the operator it applies.
+"""
 
 from __future__ import annotations
 

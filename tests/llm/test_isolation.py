@@ -83,3 +83,31 @@ def test_sql_says_the_same(spark, sf, name):
     rows = want.fetchall()
     got = QUERIES[name](spark, sf).select(*columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+
+
+def test_texts_over_a_megabyte(spark, tmp_path):
+    """Each operator on one text of many words, one long word, a copy, and little else: whole texts, however long."""
+    from pyspark.sql import functions as F
+
+    from pagemill.llm import decontam, langid, lattice_lm, license_scan, packing, pii_crf, suffix_dedup
+    from pagemill.llm.queries import tokenizer_path
+
+    many = " ".join(f"word{k % 7919}" for k in range(160_000)) + " call +1 (974) 555-3436"
+    texts = [many, "x" * 1_200_000, many, None, ""]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(k, t, "en" if k < 2 else None) for k, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    bench = spark.createDataFrame([(1, "word7 word8 word9")], "item_id long, text string")
+    by_id = lambda df: {r["doc_id"]: r for r in df.collect()}
+    a = by_id(decontam.contamination_report(docs, bench))
+    assert a[0]["n_words"] == 160_005 and a[0]["n_hit"] == 3 * sum(k % 7919 == 7 for k in range(160_000 - 2)) and a[1]["n_words"] == 1
+    b = by_id(suffix_dedup.repeat_report(docs))
+    assert b[0]["n_bytes"] == len(many) == b[0]["n_removed"] and b[1]["n_removed"] == 1_200_000 and b[4]["n_bytes"] == 0
+    assert {k: r["component_id"] for k, r in by_id(simhash.near_report(docs)).items()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}
+    assert len(by_id(license_scan.license_report(docs))) == len(by_id(langid.language_report(docs))) == 5
+    assert by_id(pii_crf.find_personal_data(docs))[2]["n_phone"] == 1
+    assert {k: r["keep_id"] for k, r in by_id(exact_dedup.dedup_report(docs)).items()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}
+    packed = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).collect()
+    assert len(packed) == 5 and all(r["n"] == r["t"] for r in packed)
+    score = by_id(lattice_lm.score_documents(docs, tokenizer_path("piece_bpe_32k.model")))
+    assert score[0]["n_tokens"] == 160_005 and score[1]["n_tokens"] == 2 and score[0]["score"] < 0

@@ -23,6 +23,19 @@ def test_round_trip(spark, tmp_path):
         assert got[k] == (len(data), sha(data), "revisit" if again else "response", 9 if again else None)
 
 
+def test_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """Of equal rows one is the response; columns named as the operator's own aren't read; a megabyte comes back whole."""
+    big, long = "y" * 1500, "z" * 2_000_000
+    rows = [(7, "u", big), (7, "u", big), (8, "u", long), (8, "u", long), (2, "u", "s"), (2, "u", "s")]
+    path = str(tmp_path / "p")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("mark", "keep", "row_id", "payload", "maybe", "bits_word", "n"):
+        df = df.withColumn(c, F.lit("clash"))
+    df.coalesce(1).write.parquet(path)
+    got = [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(spark.read.parquet(path)).collect()]
+    assert sorted(got, key=str) == sorted([(2, 1, "response", None), (2, 1, "response", None), (7, 1500, "response", None), (7, 1500, "revisit", 7), (8, 2_000_000, "response", None), (8, 2_000_000, "revisit", 8)], key=str)
+
+
 def test_empty_table(spark, empty):
     pages = empty.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
     assert warc.archive_round_trip(pages).count() == 0
