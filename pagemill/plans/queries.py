@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from pagemill.functions import stats as S
 from pagemill.functions import text as X
-from pagemill.operators import gates, geometry, layout, linking, render, snapshots, tasks
+from pagemill.operators import gates, geometry, linking, render, snapshots, tasks
 from pagemill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -688,7 +688,12 @@ def snapshot_summary(spark, sf):
     return snapshots.summary(_compared(spark, sf))
 
 
-@query(None)
+@query("""
+WITH l AS (SELECT doc_id AS image, text, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 10 = 2),
+n AS (SELECT *, len(l) AS n FROM l)
+SELECT image, '--- ' || chr(10) || '+++ ' || chr(10) || CASE WHEN text = '' THEN '@@ -0,0 +1 @@' || chr(10) || '+x'
+  WHEN n = 1 THEN '@@ -1 +1 @@' || chr(10) || '-' || l[1] || chr(10) || '+' || l[1] || 'x'
+  ELSE '@@ -' || (n - 1) || ',2 +' || (n - 1) || ',2 @@' || chr(10) || ' ' || l[n - 1] || chr(10) || '-' || l[n] || chr(10) || '+' || l[n] || 'x' END AS diff FROM n""")
 def snapshot_diffs(spark, sf):
     return snapshots.diffs(_compared(spark, sf))
 
@@ -711,9 +716,3 @@ def shared_tokens_multiset(spark, sf):
 
 def _pages(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("raw/scan-"), "o_orderkey", F.lit(".png")).alias("source_path"), F.lit(0.9).alias("confidence"))
-
-
-@query(None)
-def rendered_pages(spark, sf):
-    parted = geometry.partition_blocks(boxes(spark, sf))
-    return layout.render_pages(parted.where("reason is null"), _pages(spark, sf))

@@ -134,7 +134,7 @@ def test_log_lines(spark, tmp_path):
 def test_status(spark):
     rows = [(k, f"f{k}", s, 1, f"e{k}", k, k) for k, s in enumerate(["failed", "pending", "failed", "completed", "failed", "failed"])]
     t = spark.createDataFrame(rows, "id long, file_path string, status string, attempts int, last_error string, created_at int, updated_at int")
-    assert sinks.status_report(t).splitlines() == ["=== Queue Status ===", "Total tasks: 6", "  Pending: 1", "  Processing: 0", "  Completed: 1", "  Failed: 4", "", "Recent failures:", "  - f5", "    Error: e5", "  - f4", "    Error: e4", "  - f2", "    Error: e2"]
+    assert sinks.status_report(t).splitlines() == ["tasks: 6 (pending 1, processing 0, completed 1, failed 4)", "failed: f5: e5", "failed: f4: e4", "failed: f2: e2"]
 
 
 def test_stream_dedup_survives_restart(spark, folder, tmp_path):
@@ -180,7 +180,7 @@ def test_stream_logs_failures(spark, folder, tmp_path):
     q.awaitTermination(120)
     log = intake.TaskLog(spark, str(tmp_path / "cp-tasks"))
     assert {(r["status"], r["last_error"], r["attempts"]) for r in log.tasks().collect()} == {("failed", "RuntimeError: no model", 1)}
-    assert "Failed: 2" in sinks.status_report(log.tasks())
+    assert "failed 2" in sinks.status_report(log.tasks())
 
 
 def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
@@ -194,7 +194,7 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     assert [n[10:] for n in os.listdir(vault / "99-Audit/OCR-Pending")] == ["_a.md"]
     assert cli.main(["run", "--config", str(settings), "--once", folder + "/a.png"]) == 0
     assert cli.main(["run", "--config", str(settings), "--status"]) == 0
-    assert "Completed: 1" in capsys.readouterr().out
+    assert "completed 1" in capsys.readouterr().out
     archive = str(tmp_path / "arch")
     for name, more in (("s1", []), ("s2", ["--use-cache"])):
         assert cli.main(["snapshot", "run", "--archive", archive, "--input-dir", folder, "--name", name, *more]) == 0
