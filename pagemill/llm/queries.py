@@ -92,7 +92,40 @@ SELECT d.doc_id, d.digest, k.license_id, coalesce(h.line_licenses, '') AS line_l
 FROM docs d LEFT JOIN known k USING (digest) LEFT JOIN hits h USING (doc_id)"""
 
 
+#: Words of texts; item windows of ten words or fewer; phrases at their places; all terms of a window within 15 words (or its size and 5).
+DECONTAMINATION = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, w[i + 1 : i + 10] AS t, len(w[i + 1 : i + 10]) AS n FROM iw, LATERAL (SELECT unnest(range(greatest(1, len(w) - 9))) AS i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+gram AS (SELECT doc_id, i, n, w[i + 1 : i + n] AS t FROM dw, sizes, LATERAL (SELECT unnest(range(greatest(0, len(w) - n + 1))) AS i)),
+hit AS MATERIALIZED (SELECT doc_id, i, gram.n AS n, item_id FROM gram JOIN win USING (t)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, LATERAL (SELECT unnest(range(i, i + n)) AS p) GROUP BY 1),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY 1),
+term AS MATERIALIZED (SELECT t, n, unnest(list_distinct(t)) AS term, len(list_distinct(t)) AS k FROM (SELECT DISTINCT t, n FROM win)),
+has AS MATERIALIZED (SELECT doc_id, t, any_value(n) AS n, any_value(k) AS k FROM (SELECT DISTINCT doc_id, unnest(w) AS term FROM dw) JOIN term USING (term) GROUP BY doc_id, t HAVING count(*) = any_value(k)),
+place AS MATERIALIZED (SELECT has.doc_id, has.t, has.n, has.k, p.pos, p.term FROM has JOIN (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM dw) p ON p.doc_id = has.doc_id AND list_contains(has.t, p.term)),
+near AS (SELECT DISTINCT a.doc_id, a.t FROM place a JOIN place b ON a.doc_id = b.doc_id AND a.t = b.t AND b.pos >= a.pos AND b.pos < a.pos + a.n + 5 GROUP BY a.doc_id, a.t, a.pos HAVING count(DISTINCT b.term) = any_value(a.k)),
+close AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM near JOIN win USING (t) GROUP BY 1)
+SELECT dw.doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN close USING (doc_id)""".replace("{0}", LOWER)
+
+#: Texts as hexadecimal digits, two a byte; strings of 200 bytes by their MD5.
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bl AS (SELECT doc_id, b, substr(h, 4000 * b + 1, 4398) AS t, least(2000, length(h) // 2 - 199 - 2000 * b) AS n FROM d, LATERAL (SELECT unnest(range((length(h) // 2 + 1800) // 2000)) AS b)),
+s AS MATERIALIZED (SELECT doc_id, 2000 * b + unnest(range(n)) AS i, unnest(list_transform(range(n), lambda j: md5(substr(t, 2 * j + 1, 400)))) AS m FROM bl),
+r AS (SELECT m FROM s GROUP BY m HAVING count(*) > 1),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM s WHERE m IN (SELECT m FROM r)),
+c AS (SELECT doc_id, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+sp AS (SELECT doc_id, k, min(i) AS lo, max(i) + 200 AS hi FROM c GROUP BY 1, 2),
+cut AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since, hi, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) IS NULL AS last FROM sp),
+kept AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || any_value(substr(h, 2 * hi + 1)) FILTER (last) AS rest FROM cut JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
 ORACLES = {
+    "op1_decontamination": DECONTAMINATION,
+    "op2_suffix_dedup": REPEATS,
     "op4_license_scan": _license_sql(),
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
