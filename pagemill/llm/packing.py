@@ -26,7 +26,7 @@ from pagemill.llm._common import arrow_batches, releasing
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 LOOK_AHEAD = 256
 SEGMENTS = 64
-CACHE = 200_000
+CACHE = 400_000
 
 
 class VectorPacker:
@@ -135,6 +135,7 @@ class WordTokens:
             raise ValueError(f"{path} does not cut texts as this packer does")
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # The model reads bytes as letters: those that print as they are, the others from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = dict(zip([*shown, *(b for b in range(256) if b not in shown)], [*shown, *range(256, 324)], strict=True))
@@ -152,14 +153,16 @@ class WordTokens:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE:  # the older half goes
-            for w in list(known)[: CACHE // 2]:
-                del known[w]
+        if len(self.known) > CACHE // 2:  # what is not used again while the other half fills is forgotten
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         out = []
         for t in texts:
             if self.UNSAFE.search(t):
                 words = t.replace("\n", " ").split(" ")
+                for w in set(words):
+                    if "\0" + w in older:
+                        known["\0" + w] = older["\0" + w]
                 new = [w for w in dict.fromkeys(words) if "\0" + w not in known]
                 for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                     known["\0" + w] = array("I", e.ids).tobytes()
@@ -167,7 +170,7 @@ class WordTokens:
             else:
                 parts = self.PART.findall(t.lower())
                 for p in set(parts).difference(known):
-                    known[p] = self.ids(p)
+                    known[p] = older[p] if p in older else self.ids(p)
                 out.append(b"".join(map(known.__getitem__, parts)))
         return out
 

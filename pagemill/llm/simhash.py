@@ -179,6 +179,7 @@ def hex_of(fp: Column) -> Column:
 
 
 def near_report(docs: DataFrame) -> DataFrame:
+    """near_components() in the columns doc_id, fingerprint, component_id; its rules for nulls, empty and long texts, ties, repeated rows, empty tables and other columns hold."""
     return near_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
@@ -189,6 +190,9 @@ WIDE_BYTES = WIDE * BYTES
 SPREADS = 6
 KEYS = 16
 HOT_SAMPLE = 8
+GROUP = 16_384
+GUIDES = 16
+BLOCK = 4096
 
 
 def wide_majority(h: np.ndarray) -> bytes:
@@ -259,8 +263,11 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int]
 def _verified(own: DataFrame, maybe: DataFrame, words: int, similarity: float) -> DataFrame:
     """(u, v): links of kinds whose shingle sets have the similarity.  maybe: (row_id, kind, group), a row of each kind; only kinds of one group are compared.
 
-    A group is held by one task: 8 bytes a shingle of its kinds.
+    A group of up to GROUP kinds is held by one task, 8 bytes a shingle; larger
+    ones are spread over many tasks.
     """
+    spark = own.sparkSession
+    sizes, sizes_path = written(maybe.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > GROUP), "large")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, kinds, sets = None, [], []
@@ -280,12 +287,115 @@ def _verified(own: DataFrame, maybe: DataFrame, words: int, similarity: float) -
                 sets.append(np.unique(shingle_hashes(text.as_py(), words)))
         yield from links_of()
 
-    texts = joined_rows(own.select("row_id", "text"), "row_id", maybe).select("group", "kind", "text")
-    return texts.repartition("group").sortWithinPartitions("group").mapInArrow(releasing(run), LINKS)
+    texts = joined_rows(own.select("row_id", "text"), "row_id", maybe.join(sizes, "group", "left_anti")).select("group", "kind", "text")
+    found, found_path = written(texts.repartition("group").sortWithinPartitions("group").mapInArrow(releasing(run), LINKS), "verified")
+    if not sizes.isEmpty():
+        found = found.union(_spread(own, maybe.join(sizes, "group"), words, similarity))
+    drop_path(spark, sizes_path)
+    return found
+
+
+class Guides:
+    """Shingle sets that others are held against: an inverted index of their hashes, and which of them belong together."""
+
+    def __init__(self, kinds: list[int], sets: list[np.ndarray], similarity: float) -> None:
+        self.kinds, self.similarity = kinds, similarity
+        self.sizes = np.array([x.size for x in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+        self.us, self.vs = similar_forest(sets, similarity) if len(sets) > 1 else ([], [])
+        self.label = np.arange(len(sets))
+        for u, v in zip(self.us, self.vs, strict=True):  # breadth first: u has its label by now
+            self.label[v] = self.label[u]
+
+    def like(self, own: np.ndarray) -> list[int]:
+        """One guide of each kind of guide that own is similar to."""
+        a, b = np.searchsorted(self.flat, own, "left"), np.searchsorted(self.flat, own, "right")
+        n = b - a
+        both = np.bincount(self.owner[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=self.sizes.size)
+        near = np.nonzero(both / (self.sizes + own.size - both) >= self.similarity)[0]
+        return [self.kinds[k] for k in near[np.unique(self.label[near], return_index=True)[1]].tolist()]
+
+
+def _spread(own: DataFrame, large: DataFrame, words: int, similarity: float) -> DataFrame:
+    """_verified() of large groups (row_id, kind, group, size), in bounded memory: links that connect all similar kinds.
+
+    Some kinds guide: all of their group are held against them, in as many tasks
+    as it takes.  Kinds of the group's largest component need not guide, for what
+    is outside will be held against them; so rounds go on until all outside have
+    guided, first a few by chance, then BLOCK at a time.
+    """
+    spark = own.sparkSession
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["group", "kind", "size", "shingles"])
+
+    texts = joined_rows(own.select("row_id", "text"), "row_id", large).select("group", "kind", "size", "text")
+    members, members_path = written(texts.mapInArrow(releasing(to_sets), "group long, kind long, size long, shingles array<long>"), "members")
+    shares = F.ceil(F.col("size") / BLOCK).cast("int")
+
+    def held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, kinds, sets, guides = None, [], [], None
+        us: list[int] = []
+        vs: list[int] = []
+        for b in batches:
+            for group, share, guiding, kind, hashes in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
+                if (group, share) != part:
+                    part, kinds, sets, guides = (group, share), [], [], None
+                own_set = hashes.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                if guiding:
+                    kinds.append(kind)
+                    sets.append(own_set)
+                    continue
+                if guides is None:
+                    guides = Guides(kinds, sets, similarity)
+                    us += [kinds[k] for k in guides.us]
+                    vs += [kinds[k] for k in guides.vs]
+                found = [g for g in guides.like(own_set) if g != kind]
+                us += [kind] * len(found)
+                vs += found
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=_LINKS)
+                us, vs = [], []
+
+    outside, done, links_paths, number = members.select("group", "kind"), None, [], 0
+    drop: list[str] = []
+    while True:
+        if number < 2:
+            picks = outside.groupBy("group").agg(*(F.min_by("kind", F.xxhash64("kind", F.lit(100 * number + j))).alias(f"k{j}") for j in range(GUIDES)))
+            guides = picks.select("group", F.explode(F.array_distinct(F.array(*(f"k{j}" for j in range(GUIDES))))).alias("kind"))
+        else:
+            most = outside.groupBy("group").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+            guides = outside.where(F.pmod(F.xxhash64("kind", F.lit(7)), F.lit(max(1, -(-2 * most // BLOCK)))) == 0) if most > BLOCK else outside
+        guides, path = written(guides.select("group", "kind"), "guides")
+        drop.append(path)
+        if guides.isEmpty() and not outside.isEmpty():  # no hash fell into the block: any one will do
+            guides, path = written(outside.groupBy("group").agg(F.min("kind").alias("kind")), "guides")
+            drop.append(path)
+        led = members.join(guides, ["group", "kind"], "left_semi").select("group", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(True).alias("guiding"), "kind", "shingles")
+        dealt = members.select("group", F.pmod(F.xxhash64("kind", F.lit(3)), shares.cast("long")).cast("int").alias("share"), F.lit(False).alias("guiding"), "kind", "shingles")
+        both = led.union(dealt).repartition("group", "share").sortWithinPartitions("group", "share", F.col("guiding").desc(), "kind")
+        _, path = written(both.mapInArrow(releasing(held_against), LINKS), "links")
+        links_paths.append(path)
+        links = spark.read.schema(LINKS).parquet(*links_paths)
+        parts, parts_path = written(components(links), "parts")
+        labelled = members.select("group", "kind").join(parts, F.col("kind") == F.col("node"), "left").select("group", "kind", F.coalesce("component", "kind").alias("component"))
+        main = labelled.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("component"))
+        done = guides if done is None else done.union(guides)
+        rest, path = written(labelled.join(main, ["group", "component"], "left_anti").select("group", "kind").join(done, ["group", "kind"], "left_anti"), "outside")
+        drop += [path, parts_path]
+        outside, number = rest, number + 1
+        if outside.isEmpty():
+            break
+    drop_path(spark, members_path, *drop)
+    return spark.read.schema(LINKS).parquet(*links_paths)
 
 
-def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -> tuple[DataFrame, list[str]]:
-    """(kind, prefix): by an order of the shingles that has the frequent ones last; and the paths to drop.
+def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(kind, prefix): by an order of the shingles that has the frequent ones last; (key): those that still are; and the paths to drop.
 
     Shingles that LONG_LIST kinds or more hold in their prefixes are put last,
     with others that a sample of those kinds shows to be as frequent, and the
@@ -300,8 +410,7 @@ def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -
         keys, keys_path = written(sizes.select("key"), "frequent")
         found = {r["key"] for r in keys.collect()}  # a LONG_LIST-th of the postings at most
         if found <= hot:
-            drop_path(spark, keys_path)
-            break
+            return prefixes.select("kind", "prefix"), keys, [*paths, keys_path]
         old = prefixes.select("row_id", "kind", F.explode("prefix").alias("key")).join(keys, "key", "left_semi").select("row_id", "kind").distinct()
         old, old_path = written(old, "hot")
 
@@ -324,7 +433,6 @@ def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -
         prefixes, new_path = written(prefixes.join(old.select("kind"), "kind", "left_anti").select("row_id", "kind", "prefix").union(new), "prefixes")
         drop_path(spark, old_path, keys_path, *paths)
         paths = [new_path]
-    return prefixes.select("kind", "prefix"), paths
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -354,8 +462,16 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(releasing(mark), "row_id long, doc_id long, kind long, mark binary, prefix array<long>"), "marks")
     first = marked.where("mark is not null").groupBy("kind").agg(F.min("row_id").alias("row_id"))
     kinds, kinds_path = written(marked.join(first.select("row_id"), "row_id", "left_semi").select("row_id", "kind", "mark", "prefix"), "kinds")
-    prefixes, prefix_paths = _prefixes(own, kinds, words, similarity)
-    lists = prefixes.select("kind", F.explode("prefix").alias("key")).groupBy("key").agg(F.collect_list("kind").alias("kinds")).where("size(kinds) > 1")
+    prefixes, frequent, prefix_paths = _prefixes(own, kinds, words, similarity)
+    posted = prefixes.select("kind", F.explode("prefix").alias("key"))
+    if frequent.isEmpty():
+        stars = spark.createDataFrame([], LINKS)
+    else:  # no list of a frequent key is gathered: its kinds are one group of candidates
+        often, often_path = written(posted.join(frequent, "key"), "often")
+        prefix_paths.append(often_path)
+        stars = often.join(often.groupBy("key").agg(F.min("kind").alias("first")), "key").select(F.col("first").alias("u"), F.col("kind").alias("v"))
+        posted = posted.join(frequent, "key", "left_anti")
+    lists = posted.groupBy("key").agg(F.collect_list("kind").alias("kinds")).where("size(kinds) > 1")
     lists, lists_path = written(lists.groupBy(F.array_sort("kinds").alias("kinds")).agg(F.min("key").alias("key")), "lists")
     listed = lists.select(F.col("key").alias("list"), F.explode("kinds").alias("kind")).join(kinds.select("kind", "mark"), "kind").groupBy("list").agg(F.collect_list(F.struct("kind", "mark")).alias("members"))
 
@@ -369,7 +485,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
                 if u:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], schema=_LINKS)
 
-    maybe = components(listed.select("members").mapInArrow(releasing(link), LINKS).distinct())
+    maybe = components(listed.select("members").mapInArrow(releasing(link), LINKS).union(stars).distinct())
     maybe, maybe_path = written(maybe.join(kinds, F.col("node") == F.col("kind")).select("row_id", "kind", F.col("component").alias("group")), "maybe")
     found = components(_verified(own, maybe, words, similarity))
     of_kind, of_path = written(found, "of-kind")

@@ -76,6 +76,23 @@ def test_exact_collisions_are_told_apart(docs):
     assert a == b
 
 
+@pytest.mark.parametrize("fanout", [2, 4])
+def test_merge_index(spark, fanout):
+    """Hits are found as memtables come, by filters and runs; compaction keeps the smallest identifier."""
+    rng = np.random.default_rng(2)
+    index, seen = exact_dedup.MergeIndex(spark, fanout), defaultdict(list)
+    for k in range(5):
+        rows = [(bytes([int(d)]) * 4, (False, int(rng.integers(1000)), 10 * k + j)) for j, d in enumerate(rng.integers(0, 60, 12))]
+        for d, keeper in rows:
+            seen[d].append(keeper)
+        index.flush(spark.createDataFrame([(bytearray(d), keeper, 1) for d, keeper in rows], exact_dedup.RUN))
+        assert {bytes(r["digest"]) for r in index.hits().collect()} == {d for d, ks in seen.items() if len(ks) > 1}
+    assert all(len(level) < fanout for level in index.levels)
+    assert {bytes(r["digest"]): (tuple(r["keeper"]), r["n"]) for r in index.records().collect()} == {d: (min(ks), len(ks)) for d, ks in seen.items()}
+    index.drop()
+    assert index.hits().count() == 0
+
+
 def test_exact_odd(odd, empty):
     assert exact_dedup.dedup_report(empty).count() == 0
     rows = exact_dedup.exact_groups(odd).collect()
@@ -193,9 +210,10 @@ def test_near_copies_spare_what_is_not_similar(spark, tmp_path):
     assert all(r["kept"] for r in got.values())
 
 
-@pytest.mark.parametrize("long_list", [simhash.LONG_LIST, 8])
-def test_near_copies_just_over_the_similarity(spark, tmp_path, monkeypatch, long_list):
+@pytest.mark.parametrize("long_list, group", [(simhash.LONG_LIST, simhash.GROUP), (8, simhash.GROUP), (8, 1)])
+def test_near_copies_just_over_the_similarity(spark, tmp_path, monkeypatch, long_list, group):
     monkeypatch.setattr(simhash, "LONG_LIST", long_list)
+    monkeypatch.setattr(simhash, "GROUP", group)
     rng = np.random.default_rng(4)
     head, texts = [f"h{k}" for k in range(30)], []
     for k in range(120):  # pairs of two, no chains; all texts share their head
@@ -213,6 +231,44 @@ def test_near_copies_just_over_the_similarity(spark, tmp_path, monkeypatch, long
     assert {k for k, r in got.items() if r["kept"]} == set(range(0, 240, 2))
 
 
+def test_large_groups_are_spread(spark, tmp_path, monkeypatch):
+    """Chains and clusters of one candidate group, held against a few guides at a time."""
+    monkeypatch.setattr(simhash, "GUIDES", 2)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    texts, label = [], []
+    for cluster, n in enumerate((30, 12, 9, 1, 1)):
+        w = [f"c{cluster}w{i}" for i in rng.integers(0, 50000, 200)]
+        for k in range(n):  # each a little changed from the one before: a chain
+            w = [*w]
+            w[int(rng.integers(200))] = f"new{cluster}.{k}"
+            texts.append(" ".join(w))
+            label.append(cluster)
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row_id long, text string").repartition(3).write.parquet(path)
+    own = spark.read.parquet(path)
+    large = own.select("row_id", F.col("row_id").alias("kind"), F.lit(0).cast("long").alias("group"), F.lit(len(texts)).cast("long").alias("size"))
+    sets = [shingle_set(t) for t in texts]
+    links = [(r["u"], r["v"]) for r in simhash._spread(own, large, 5, 0.8).collect()]
+    assert all(len(sets[u] & sets[v]) / len(sets[u] | sets[v]) >= 0.8 for u, v in links)
+
+    def parts(pairs):
+        of = list(range(len(texts)))
+
+        def root(x):
+            while of[x] != x:
+                x = of[x]
+            return x
+
+        for u, v in pairs:
+            a, b = root(u), root(v)
+            of[max(a, b)] = min(a, b)
+        return [root(k) for k in range(len(texts))]
+
+    want = parts([(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8])
+    assert parts(links) == want and len(set(want)) >= 5
+
+
 def test_prefixes_meet():
     rng = np.random.default_rng(5)
     for n in (1, 4, 5, 10, 15, 37, 300):
