@@ -53,9 +53,9 @@ def train_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang",
         raise ValueError(f"over {MAX_LANGUAGES} languages: is {lang} a label?")
     if not counts:
         return {}
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in sorted(counts.items())], "lang string, share double")
+    share = F.try_element_at(F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, sample / n)))), F.col("lang"))
     unit = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    texts = rows.join(F.broadcast(shares), "lang").where(unit <= F.col("share")).groupBy("lang", "h").agg(F.max(F.expr(f"substring(text, 1 + pmod(h, greatest(1, length(text) - {TEXT_BYTES})), {2 * TEXT_BYTES})")).alias("text"))
+    texts = rows.where(unit <= share).groupBy("lang", "h").agg(F.max(F.expr(f"substring(text, 1 + pmod(h, greatest(1, length(text) - {TEXT_BYTES})), {2 * TEXT_BYTES})")).alias("text"))
     found: dict[str, list[tuple[int, bytes]]] = {}
     for r in texts.toLocalIterator():
         found.setdefault(r["lang"], []).append((r["h"], folded(r["text"]).encode()[:TEXT_BYTES]))

@@ -465,7 +465,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     prefixes, frequent, prefix_paths = _prefixes(own, kinds, words, similarity)
     posted = prefixes.select("kind", F.explode("prefix").alias("key"))
     if frequent.isEmpty():
-        stars = spark.createDataFrame([], LINKS)
+        stars = spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
     else:  # no list of a frequent key is gathered: its kinds are one group of candidates
         often, often_path = written(posted.join(frequent, "key"), "often")
         prefix_paths.append(often_path)
