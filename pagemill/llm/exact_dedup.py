@@ -1,14 +1,16 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
 Records (digest, smallest identifier, count) are flushed as runs: each memtable
-becomes a run sorted by digest, with Parquet bloom filters on the digest, and
-compaction merges the runs of a full level into one run of the next level,
-keeping the smallest identifier.  Digests that the index holds more than once
-are hits; the bytes behind them are compared before any row counts as a copy.
+becomes a run sorted by digest, with a filter of its digests, and compaction
+merges the runs of a full level into one run of the next level, keeping the
+smallest identifier.  A memtable's digests that pass a run's filter are looked
+up in the run; what it holds are hits, and the bytes behind hits are compared
+before any row counts as a copy.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,26 +34,52 @@ def _keeper(doc_id: Column, row: Column) -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), row.alias("row"))
 
 
+@dataclass(frozen=True)
+class Run:
+    """A sorted run of digests, and its filter: a bit set of `words` words."""
+
+    path: str
+    filter_path: str
+    words: int
+
+
 class MergeIndex:
-    """Levels of sorted digest runs.  levels[k] lists the paths of level k's runs; a level of `fanout` runs is compacted."""
+    """Levels of sorted digest runs with filters.  A level of `fanout` runs is compacted into one run of the next.
+
+    A new memtable is looked up in every run: digests that pass a run's filter
+    are merged with the run, and those it holds are hits.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 4) -> None:
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[str]] = []
+        self.levels: list[list[Run]] = []
+        self.found: list[str] = []
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(path)
+    def _read(self, run: Run) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(run.path)
 
-    def _run(self, records: DataFrame) -> str:
+    def _run(self, records: DataFrame) -> Run:
         merged = records.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.sum("n").alias("n"))
-        _, path = written(merged.sortWithinPartitions("digest"), "run", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(1 << 18)})
-        return path
+        kept, path = written(merged.sortWithinPartitions("digest"), "run")
+        words = filter_words(kept.count())
+        return Run(path, written(bit_words(kept, "digest", words), "filter")[1], words)
+
+    def _drop(self, *runs: Run) -> None:
+        drop_path(self.spark, *(p for r in runs for p in (r.path, r.filter_path)))
+
+    def _looked_up(self, new: Run, old: Run) -> DataFrame:
+        bits = self.spark.read.schema("word long, bits long").parquet(old.filter_path)
+        maybe = may_hold(self._read(new).select("digest"), "digest", bits, old.words, "maybe").where("maybe").select("digest")
+        return maybe.join(self._read(old).select("digest"), "digest", "left_semi")
 
     def flush(self, records: DataFrame) -> None:
         """records: digest, keeper, n; one memtable."""
+        new = self._run(records)
+        hits = [self._read(new).where("n > 1").select("digest"), *(self._looked_up(new, run) for level in self.levels for run in level)]
+        self.found.append(written(reduce(DataFrame.union, hits).distinct(), "hits")[1])
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(self._run(records))
+        self.levels[0].append(new)
         k = 0
         while len(self.levels[k]) >= self.fanout:
             self._compact(k)
@@ -62,16 +90,22 @@ class MergeIndex:
         if k + 1 == len(self.levels):
             self.levels.append([])
         self.levels[k + 1].append(self._run(reduce(DataFrame.union, map(self._read, runs))))
-        drop_path(self.spark, *runs)
+        self._drop(*runs)
+
+    def hits(self) -> DataFrame:
+        """(digest): every digest that came more than once."""
+        schema = T.StructType(RUN.fields[:1])
+        return reduce(DataFrame.union, (self.spark.read.schema(schema).parquet(p) for p in self.found)).distinct() if self.found else self.spark.createDataFrame([], schema)
 
     def records(self) -> DataFrame:
         """One record per digest over all levels."""
-        runs = [self._read(p) for level in self.levels for p in level] or [self.spark.createDataFrame([], RUN)]
+        runs = [self._read(r) for level in self.levels for r in level] or [self.spark.createDataFrame([], RUN)]
         return runs[0] if len(runs) == 1 else reduce(DataFrame.union, runs).groupBy("digest").agg(F.min("keeper").alias("keeper"), F.sum("n").alias("n"))
 
     def drop(self) -> None:
-        drop_path(self.spark, *(p for level in self.levels for p in level))
-        self.levels = []
+        self._drop(*(r for level in self.levels for r in level))
+        drop_path(self.spark, *self.found)
+        self.levels, self.found = [], []
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memtables: int = 4, fanout: int = 4, digest=None) -> DataFrame:
@@ -96,7 +130,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
     for k in range(memtables):
         batch = log.where(F.pmod(F.shiftright("row_id", 33) + F.col("row_id"), F.lit(memtables)) == k)
         index.flush(batch.select("digest", _keeper(F.col("doc_id"), F.col("row_id")).alias("keeper"), F.lit(1).cast("long").alias("n")))
-    hits, hits_path = written(index.records().where("n > 1").select("digest"), "hits")
+    hits, hits_path = written(index.hits(), "hits")
     words = filter_words(hits.count())
     # Verification: the bytes of every text whose digest may be a hit, equal ones combined in each map task first.
     bits, bits_path = written(bit_words(hits, "digest", words), "filter")
@@ -118,6 +152,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
+    """exact_groups() in the columns doc_id, keep_id, group_size, kept, text_sha256; its rules for nulls, empty and long texts, ties, repeated rows, empty tables and other columns hold."""
     return exact_groups(docs).drop("row_id")
 
 
