@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import arrow_batches, drop_path, new_path, releasing, written
+from pagemill.llm._common import arrow_batches, bit_words, drop_path, filter_words, may_hold, new_path, releasing, written
 
 ARCHIVE_BYTES = 8 << 20
 REVISIT_BYTES = 1000
@@ -235,7 +235,13 @@ def assign_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     own = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     marked = own.withColumn("payload_digest", F.sha1("payload")).withColumn("mark", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.unhex(F.sha2("payload", 256))).otherwise(F.col("row_id").cast("string").cast("binary")))
     marks, _ = written(marked.groupBy("mark").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has"), F.col("page_id").alias("id"), F.col("row_id").alias("row"))).alias("keep"), F.count("*").alias("n")).where("n > 1"), "payloads")
-    out = marked.join(marks, "mark", "left")
+    # Only payloads whose mark may come twice move; all others are written where they are read.
+    words = filter_words(marks.count())
+    bits, _ = written(bit_words(marks, "mark", words), "filter")
+    flagged = may_hold(marked, "mark", bits, words, "maybe")
+    sole = flagged.where("not maybe").withColumn("keep", F.lit(None).cast(marks.schema["keep"].dataType))
+    shared = flagged.where("maybe").join(marks.select("mark", "keep"), "mark", "left")
+    out = sole.unionByName(shared)
     revisit = F.col("keep").isNotNull() & (F.col("keep.row") != F.col("row_id"))
     return out.select("page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keep.id")).alias("refers_to"))
 
