@@ -26,7 +26,7 @@ from pagemill.llm._common import arrow_batches, releasing
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 LOOK_AHEAD = 256
 SEGMENTS = 64
-CACHE = 400_000
+CACHE = 300_000
 
 
 class VectorPacker:
