@@ -76,7 +76,7 @@ def test_stages_on_odd_and_empty_tables(spark, sf, odd, empty, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_says_the_same(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
