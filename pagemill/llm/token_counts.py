@@ -13,6 +13,7 @@ the next chunk, and looked at again.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,14 +24,19 @@ from pyspark.sql import functions as F
 from pagemill.llm._common import arrow_batches, drop_path, releasing, written
 
 LIMIT = 1024
-CHUNK = 32 << 10
+CHUNK = 64 << 10
 OVERLAP = 2 << 10
-CACHE = 300_000
+CACHE = 100_000
+SLICE = 1 << 18
+LEARN = 4096
 FIRST = "row_id long, doc_id {id}, n_bytes long, n_tokens long, k long, body long, data binary"
 MARKS = "row_id long, k long, upto long, n long, head_ends array<long>, head_counts array<long>, tail_ends array<long>, tail_counts array<long>"
 
 #: What may be white space or invisible by any table of characters: fixed values.
 BLANK = frozenset([*map(chr, range(0x21)), *map(chr, range(0x7F, 0xA1)), " ", "᠎", *map(chr, range(0x2000, 0x2010)), *map(chr, range(0x2028, 0x2030)), *map(chr, range(0x205F, 0x2070)), "　", "﻿"])
+#: Marks, and letters and digits by any table of characters: fixed values.
+MARKS_AT_END = ".,;:!?"
+WORD_END = frozenset([*map(chr, range(0x30, 0x3A)), *map(chr, range(0x41, 0x5B)), *map(chr, range(0x61, 0x7B)), *map(chr, range(0xC0, 0xD7)), *map(chr, range(0xD8, 0xF7)), *map(chr, range(0xF8, 0x100))])
 
 
 class TokenCounter:
@@ -38,6 +44,7 @@ class TokenCounter:
 
     def __init__(self, path: str) -> None:
         self.cache: dict[str, int | None] = {}
+        self.aged: dict[str, int | None] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -45,6 +52,7 @@ class TokenCounter:
             self.tool, self.splittable, self.edge = tool, False, 0
             self.counts = lambda texts: [len(x) for x in tool.encode(texts, num_threads=1)]
             return
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are Spark's; threads would each hold memory
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
@@ -57,27 +65,57 @@ class TokenCounter:
         plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"]) for t in added)
         self.splittable = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and plain
         # A longer special string may begin where the chunk ends, and the white space before it is read otherwise then.
+        if self.splittable:  # a byte-level token has a character a byte
+            self.token_bytes = np.zeros(tool.get_vocab_size(), np.int64)
+            for token, k in tool.get_vocab().items():
+                self.token_bytes[k] = len(token)
+            for t in added:
+                self.token_bytes[t["id"]] = len(t["content"].encode())
         self.edge = 2 + max((len(t["content"]) for t in added), default=0)
 
     def whole(self, texts: list[str]) -> list[int]:
         """Counts of texts.  Where words resynchronise, texts are taken apart before each space after a character that surely is none, and parts seen before are looked up."""
         if not self.splittable:
             return self.counts(texts) if texts else []
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size > SLICE:
+                out += self._slice(held)
+                held, size = [], 0
+        return out + self._slice(held) if held else out
+
+    def _learn(self, parts: list[str]) -> None:
+        """Counts of parts after a space, read in one text: each part's end is a word's end, found among the tokens' ends by bytes."""
+        for k in range(0, len(parts), LEARN):
+            some = [" " + p for p in parts[k : k + LEARN]]
+            ids = np.array(self.tool.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids)
+            at = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
+            self.cache.update(zip(parts[k : k + LEARN], np.diff(at, prepend=0).tolist(), strict=True))
+
+    def _slice(self, texts: list[str]) -> list[int]:
+        if len(self.cache) > CACHE:
+            self.aged, self.cache = self.cache, {}
         cache = self.cache
         parts = [t.split(" ") for t in texts]
-        new = {p for ps in parts for p in ps[1:]}.difference(cache)
-        if new:
-            if len(cache) > CACHE:
-                cache.clear()
-                new = {p for ps in parts for p in ps[1:]}
-            fresh = list(new)
-            fine = [p for p in fresh if p and p[-1] not in BLANK]
-            cache.update(dict.fromkeys(fresh))  # None: what follows a part is not to be told apart from it
-            cache.update(zip(fine, self.counts([" " + p for p in fine]), strict=True))
+        new = set().union(*parts) - cache.keys()
+        known = new & self.aged.keys()
+        cache.update((p, self.aged[p]) for p in known)
+        new -= known
+        fine = [p for p in new if p and p[-1] not in BLANK]
+        cache.update(dict.fromkeys(new.difference(fine)))  # None: what follows such a part is not to be told apart from it
+        # A mark after a letter or digit is a word of its own: only what stands before it need be learnt.
+        ended = [(p, core) for p in fine if (core := p.rstrip(MARKS_AT_END)) != p and core and core[-1] in WORD_END]
+        self._learn(list({*fine}.difference(p for p, _ in ended).union(core for _, core in ended) - cache.keys()))
+        if ended:
+            marks = list({p[len(core) :] for p, core in ended})
+            more = dict(zip(marks, self.counts(marks), strict=True))
+            cache.update([(p, cache[core] + more[p[len(core) :]]) for p, core in ended])
         out, odd = [], []
         for ps in parts:
-            found = list(map(cache.__getitem__, ps[1:]))
-            if (ps[0] and ps[0][-1] in BLANK) or not ps[0] or None in found:
+            found = list(map(cache.__getitem__, ps))
+            if None in found:
                 joined, held = [], ps[0]
                 for p in ps[1:]:
                     if held and held[-1] not in BLANK:
@@ -88,13 +126,13 @@ class TokenCounter:
                 odd.append((len(out), [*joined, held]))
                 out.append(0)
             else:
-                odd.append((len(out), [ps[0]]))
-                out.append(sum(found))
-        # First parts, and the parts of texts with odd white space: looked up with what stands before them.
-        need = {p for _, ps in odd for p in ps if p}
-        known = dict(zip(need, self.counts(list(need)), strict=True)) if need else {}
+                odd.append((len(out), ps[:1]))
+                out.append(sum(found) - found[0])
+        # First parts, and the parts of texts with odd white space, with what stands before them.
+        need = [p for p in {p for _, ps in odd for p in ps if p}]
+        counts = dict(zip(need, self.counts(need), strict=True)) if need else {}
         for at, ps in odd:
-            out[at] += sum(known[p] for p in ps if p)
+            out[at] += sum(counts[p] for p in ps if p)
         return out
 
     def chunk(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
