@@ -11,10 +11,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+FILES = 1 << 17
 LEAST_WORDS, MOST_WORDS = 1 << 10, 1 << 20
 _made: list[tuple[SparkSession, str]] = []
 
@@ -47,6 +49,11 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)
+
+
 def drop_path(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = _hadoop(spark, path)
@@ -78,9 +85,37 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _reads_parquet(df: DataFrame) -> bool:
+    """Whether df's rows are rows of Parquet files, one for one but for filters."""
+    if "_metadata" in {c.lower() for c in df.columns}:
+        return False
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation":
+        return False
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Adds a row number that is unique, and the same at each reading of an unchanged file source."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Adds a row number that is unique, and the same at each reading, whatever executors there are.
+
+    A row of a Parquet file is known by its file's place among the sorted paths
+    and its own within the file; the paths' places are sent to all tasks, at
+    most FILES of them.  Rows of any other kind, and of more files, are numbered
+    once and written, and what was written is returned.
+    """
+    if not _reads_parquet(df) or len(df.inputFiles()) > FILES:
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")[0]
+    path, place = spare_name(df, "file_path"), spare_name(df, "file_place")
+    rows = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
+    places = rows.select(path).distinct().withColumn(place, F.row_number().over(Window.orderBy(path)).cast("long"))
+    places, _ = written(places, "files")
+    return rows.join(F.broadcast(places), path).withColumn(name, F.shiftleft(F.col(place), 36) + F.col(name)).drop(path, place)
 
 
 def spare_name(df: DataFrame, name: str) -> str:
@@ -91,20 +126,19 @@ def spare_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose number, as numbered() gives it, is in gone (row_id), in its own columns.
+def without_rows(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """docs without the rows whose number, in the column row that numbered() added, is in gone (row_id), and without that column.
 
     Texts that stay for sure don't move: only rows that a bounded bit set lets
     through are joined.
     """
-    no = spare_name(docs, "row_no")
     gone, _ = written(gone.select("row_id"), "gone")
     words = filter_words(gone.count())
     bits, _ = written(bit_words(gone, "row_id", words), "filter")
-    flag = spare_name(docs, "row_flag")
-    marked = may_hold(numbered(docs, no), no, bits, words, flag)
-    suspects = marked.where(F.col(flag)).join(gone.select(F.col("row_id").alias(spare_name(docs, "row_gone"))), F.col(no) == F.col(spare_name(docs, "row_gone")), "left_anti")
-    return marked.where(~F.col(flag)).union(suspects).drop(no, flag)
+    flag, key = spare_name(docs, "row_flag"), spare_name(docs, "row_gone")
+    marked = may_hold(docs, row, bits, words, flag)
+    suspects = marked.where(F.col(flag)).join(gone.select(F.col("row_id").alias(key)), F.col(row) == F.col(key), "left_anti")
+    return marked.where(~F.col(flag)).union(suspects).drop(row, flag)
 
 
 def joined_rows(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:

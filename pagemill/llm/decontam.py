@@ -97,14 +97,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([seg.pack()], schema=schema)
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> tuple[DataFrame, str]:
     """Writes the positional index of all documents to the shared folder; returns it and its path.
 
     One row of docs is one document: repeated ids and rows stay apart, a null
-    text has no words, a null id is kept.  Other columns are not read.
+    text has no words, a null id is kept.  Other columns are not read.  row: a
+    column of row numbers, if docs has one; else rows get numbers that hold
+    within the index alone.
     """
     arrow_batches(docs.sparkSession)
-    own = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    own = docs.select(number.alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return written(own.mapInArrow(releasing(_segments), SEGMENT), "postings")
 
 
@@ -290,9 +293,9 @@ def match_index(index: DataFrame, items: DataFrame, item_id: str = "item_id", it
     return out.select("row_id", "doc_id", "n_words", hit.cast("long").alias("n_hit"), "items", "near_items", "spans")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """build_index() and match_index() in one: a row per document, in no order.  Empty tables give no rows, or rows without hits."""
-    index, _ = build_index(docs, doc_id, text)
+    index, _ = build_index(docs, doc_id, text, row)
     return match_index(index, items, window=window, slop=slop)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm._common import bit_words, drop_path, filter_words, may_hold, numbered, without_rows, written
+from pagemill.llm._common import bit_words, drop_path, filter_words, may_hold, numbered, spare_name, without_rows, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 KEEPER = T.StructType([T.StructField("no_id", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("row", T.LongType())])
@@ -108,7 +108,7 @@ class MergeIndex:
         self.levels, self.found = [], []
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memtables: int = 4, fanout: int = 4, digest=None) -> DataFrame:
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memtables: int = 4, fanout: int = 4, digest=None, row: str | None = None) -> DataFrame:
     """One row per row of docs: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are after white-space normalisation; of
@@ -117,6 +117,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
     count as empty, and empty texts as equal.  Only the two named columns are
     read, so others may have any name.  An empty table gives an empty result.
 
+    row: a column of numbers as numbered() gives them, if docs has one.
     digest (text column -> binary column; SHA-256 unless given) may collide:
     rows that share a digest but not their bytes end in groups of their own.
     The copies of a hot text are combined before each shuffle; the last join is
@@ -124,7 +125,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
     """
     spark = docs.sparkSession
     digest = digest or (lambda t: F.unhex(F.sha2(t.cast("binary"), 256)))
-    own = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(F.col(text)).alias("text")), "row_id")
+    own = numbered(docs, row := spare_name(docs, "row_no")) if row is None else docs
+    own = own.select(F.col(row).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), normalised(F.col(text)).alias("text"))
     log, _ = written(own.select("row_id", "doc_id", digest(F.col("text")).alias("digest"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "log")
     index = MergeIndex(spark, fanout)
     for k in range(memtables):
@@ -157,5 +159,12 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without its exact copies, in its own columns.  docs must be a file source, whose rows are numbered alike at each reading."""
-    return without_rows(docs, exact_groups(docs, doc_id, text).where("not kept"))
+    """docs without its exact copies, in its own columns, whatever their names.
+
+    Null texts count as empty, and empty ones as copies of one another; texts
+    of any length are compared whole.  Of equal texts the row of the smallest id
+    stays, null ids last, and one of rows that are alike.  An empty table stays
+    empty.
+    """
+    own = numbered(docs, row := spare_name(docs, "row_no"))
+    return without_rows(own, exact_groups(own, doc_id, text, row=row).where("not kept"), row)

@@ -435,7 +435,7 @@ def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -
         paths = [new_path]
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, row: str | None = None) -> DataFrame:
     """One row per row of docs: row_id, doc_id, component (long), kept: one row of each component of near copies, the one of the smallest id (nulls last, then the first row).
 
     Texts are near copies where the sets of their shingles have at least this
@@ -445,12 +445,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     Of those, pairs within bits_at() of each other, by wide fingerprints of the
     distinct shingles, are compared by the sets themselves: that is all but a
     chance of SPREADS standard deviations.
-    Word-less and null texts are copies of one another.
+    Word-less and null texts are copies of one another.  row: a column of
+    numbers as numbered() gives them, if docs has one.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     most = bits_at(similarity)
-    own = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "row_id")
+    own = numbered(docs, row := spare_name(docs, "row_no")) if row is None else docs
+    own = own.select(F.col(row).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -498,5 +500,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component of near_copies(), in its own columns.  docs must be a file source, whose rows are numbered alike at each reading."""
-    return without_rows(docs, near_copies(docs, doc_id, text, words, similarity).where("not kept"))
+    """docs with one row of each component of near_copies(), in its own columns, whatever their names.
+
+    Null and word-less texts are copies of one another; texts of fewer words
+    than a shingle are one shingle, and very long ones are read whole.  The row
+    of the smallest id stays, null ids last, and one of rows that are alike.  An
+    empty table stays empty.
+    """
+    own = numbered(docs, row := spare_name(docs, "row_no"))
+    return without_rows(own, near_copies(own, doc_id, text, words, similarity, row).where("not kept"), row)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm._common import arrow_batches, bit_words, drop_path, filter_words, may_hold, new_path, releasing, written
+from pagemill.llm._common import arrow_batches, bit_words, drop_path, filter_words, make_folder, may_hold, new_path, numbered, releasing, spare_name, written
 
 ARCHIVE_BYTES = 8 << 20
 REVISIT_BYTES = 1000
@@ -97,36 +97,71 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, int]:
     return {"page_id": _number(fields.get("WARC-Record-ID")), "url": fields.get("WARC-Target-URI"), "payload": payload if kind == "response" else None, "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": _number(fields.get("WARC-Refers-To"))}, end + 4
 
 
+def _inside(raw: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
+    """(record, start, end, "") of each whole record of a member's bytes, and (None, start, end, reason) of what lies between: after a failed check the next version line is looked for."""
+    at, gap, why = 0, 0, ""
+    while at < len(raw):
+        try:
+            found, end = parse(raw, at)
+        except Damaged as e:
+            why = why or str(e)
+            m = VERSION.search(raw, at + 1)
+            at = m.start() if m else len(raw)
+            continue
+        if gap < at:
+            yield None, gap, at, why
+        yield found, at, end, ""
+        at, gap, why = end, end, ""
+    if gap < len(raw):
+        yield None, gap, len(raw), why
+
+
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(bytes, where the member at data[at:] ends, ""), or what came before the damage, -1 and the reason."""
+    # A member is fed window by window, so that unused_data stays short.
+    tool, k, out, step = zlib.decompressobj(31), at, [], 65536
+    while not tool.eof and k < len(data):
+        before = tool.copy() if step > 1 else None
+        try:
+            out.append(tool.decompress(data[k : k + step]))
+        except zlib.error as e:
+            if before is None:
+                return b"".join(out), -1, str(e)
+            tool, step = before, step // 16  # what comes before the damage is read in smaller steps
+            continue
+        k += step
+    if not tool.eof:
+        return b"".join(out), -1, "member ends early"
+    return b"".join(out), min(k, len(data)) - len(tool.unused_data), ""
+
+
 def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
-    """(record, start, end, "") of each record that passes its checks, and (None, start, end, reason) of each gap between them."""
+    """(record, start, end, "") of each record that passes its checks, and (None, start, end, reason) of each gap between them.
+
+    Places are those in data; a record of a member has the member's, and a gap
+    within one says in its reason which of the member's bytes it is.  Of a
+    member that breaks off, the records before the damage are kept, at its
+    start; the gap then lies between that and the next member or version line
+    that holds a record.
+    """
     at, gap, why = 0, 0, ""
     size = len(data)
     magic = version = -1  # the next of each, searched for once
-
-    def read(at: int) -> tuple[list[dict], int]:
-        if data.startswith(MAGIC, at):
-            # A member is fed window by window, so that unused_data stays short.
-            tool, k, out = zlib.decompressobj(31), at, []
-            try:
-                while not tool.eof and k < size:
-                    out.append(tool.decompress(data[k : k + 65536]))
-                    k += 65536
-            except zlib.error as e:
-                raise Damaged(str(e)) from e
-            if not tool.eof:
-                raise Damaged("member ends early")
-            raw, end = b"".join(out), min(k, size) - len(tool.unused_data)
-            found, p = [], 0
-            while p < len(raw):
-                r, p = parse(raw, p)
-                found.append(r)
-            return found, end
-        r, end = parse(data, at)
-        return [r], end
-
     while at < size:
+        found: list[tuple] = []
         try:
-            found, end = read(at)
+            if data.startswith(MAGIC, at):
+                raw, end, broken = _inflated(data, at)
+                found = list(_inside(raw))
+                if broken:
+                    yield from ((r, at, at, "") for r, *_ in found if r)
+                    raise Damaged(broken)
+                if found and not any(r for r, *_ in found):
+                    raise Damaged(found[0][3])
+                found = [(r, at, end, "" if r else f"{reason} (bytes {lo} to {hi} of the member)") for r, lo, hi, reason in found]
+            else:
+                record, end = parse(data, at)
+                found = [(record, at, end, "")]
         except Damaged as e:
             why = why or str(e)
             at += 1
@@ -139,8 +174,7 @@ def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
             continue
         if gap < at:
             yield None, gap, at, why
-        for r in found:
-            yield r, at, end, ""
+        yield from found
         at = gap = end
         why = ""
     if gap < size:
@@ -159,6 +193,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
     its own archives, which hold the same records.
     """
     arrow_batches(records.sparkSession)
+    make_folder(records.sparkSession, path)  # also where there are no records
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(path)
@@ -232,7 +267,7 @@ def assign_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     Copies are combined before the shuffle; the join back is one that adaptive
     execution can split.
     """
-    own = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    own = numbered(pages, row := spare_name(pages, "row_no")).select(F.col(row).alias("row_id"), F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     marked = own.withColumn("payload_digest", F.sha1("payload")).withColumn("mark", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.unhex(F.sha2("payload", 256))).otherwise(F.col("row_id").cast("string").cast("binary")))
     marks, _ = written(marked.groupBy("mark").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has"), F.col("page_id").alias("id"), F.col("row_id").alias("row"))).alias("keep"), F.count("*").alias("n")).where("n > 1"), "payloads")
     # Only payloads whose mark may come twice move; all others are written where they are read.

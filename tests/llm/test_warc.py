@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -76,6 +77,31 @@ def test_salvage():
     assert list(warc.salvage(b"")) == []
 
 
+def member(parts):
+    return gzip.compress(b"".join(parts), 4)
+
+
+def test_salvage_inside_members():
+    """Members of several records: damage to one leaves the others; of a member that breaks off, what came before stays."""
+    plain = records(compress=False)
+    ids = lambda data: [r["page_id"] for r, *_ in warc.salvage(data) if r]
+    assert ids(member(plain[:3]) + member(plain[3:])) == list(range(12))
+    for k in (0, 1, 2):
+        hurt = [bytearray(x) for x in plain[:3]]
+        hurt[k][len(hurt[k]) // 2] ^= 0x55
+        data = member(hurt) + member(plain[3:])
+        assert ids(data) == [j for j in range(12) if j != k]
+        gaps = [(a, b, why) for r, a, b, why in warc.salvage(data) if r is None]
+        lo, hi = sum(map(len, plain[:k])), sum(map(len, plain[: k + 1]))
+        assert [(a, b) for a, b, _ in gaps] == [(0, len(member(hurt)))] and f"bytes {lo} to {hi} of the member" in gaps[0][2]
+    whole = member(plain[:6])
+    cut = whole[: len(whole) * 2 // 3]
+    got = ids(cut + member(plain[6:]))
+    assert got[-6:] == list(range(6, 12)) and got[:-6] == list(range(len(got) - 6)) and 0 < len(got) - 6 < 6
+    assert [(a, b) for r, a, b, _ in warc.salvage(cut + member(plain[6:])) if r is None] == [(0, len(cut))]
+    assert ids(member([]) + member(plain)) == list(range(12))
+
+
 def test_gaps_are_logged(spark):
     path = new_path(spark, "hurt")
     raw = records()
