@@ -1,7 +1,7 @@
 """Command line: watch a folder or read given files into notes, show the task table, and archive, compare and list snapshots.
 
-The recogniser is named in the settings as ocr.recognizer, "module:factory";
-without one, files are read as lines of text.
+The recogniser is named in the settings as ocr.recognizer, "module:factory", or
+by --recognizer; none is bundled, and without one nothing is read.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import sys
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ RECORD = "path string, blocks array<struct<block_id:long,type:string,text:string
 def engines_of(settings: dict) -> dict:
     name = ((settings or {}).get("ocr") or {}).get("recognizer")
     if not name:
-        return {geometry.DEFAULT_ENGINE: recognize.FakeRecognizer()}
+        raise ValueError("name a recogniser as ocr.recognizer (module:factory)")
     module, _, factory = name.partition(":")
     return {geometry.DEFAULT_ENGINE: getattr(importlib.import_module(module), factory)}
 
@@ -56,7 +57,7 @@ def run_pages(args: argparse.Namespace) -> int:
     engines = engines_of(settings_map)
     if args.once:
         log.info("reading files", extra={"files": len(args.once)})
-        said = pipeline.notes_of(given_files(spark, args.once), folder, engines, titles, today)
+        said = pipeline.notes_of(given_files(spark, args.once), folder, engines, titles, today, f"{state}/pages/once-{uuid.uuid4().hex}")
         failed = [(r["path"], r["error"]) for r in said.where("error is not null").select("path", "error").limit(20).collect()]
         for path, error in failed:
             log.error("reading failed", extra={"path": path, "error": error})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,21 @@ def upper_median_of(values: Column) -> Column:
     return F.try_element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)
 
 
+def with_upper_median(df: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """adds, under each name, sorted[n // 2] of a value within its group; null values don't count.
+
+    Ranks are counted in a window that is sorted and streamed: no list of a
+    group's values is gathered, so a group may be of any size.
+    """
+    every = Window.partitionBy(*by)
+    for name, value in values.items():
+        rank = F.row_number().over(every.orderBy(F.col("__v").asc_nulls_last()))
+        df = df.withColumn("__v", value).withColumns({"__r": rank, "__n": F.count("__v").over(every)})
+        middle = F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2) + 1, F.col("__v"))).over(every)
+        df = df.withColumn(name, middle).drop("__v", "__r", "__n")
+    return df
+
+
 def spread(mean: Column, deviation: Column) -> Column:
     """1 - deviation / max(mean, 1), not below 0."""
     return F.greatest(F.lit(0.0), 1 - deviation / F.greatest(mean, F.lit(1.0)))

@@ -126,7 +126,7 @@ def isolated(command: list[str] | None = None, timeout: float = 900.0) -> Callab
 
 
 class Registry:
-    """Backends by name; the tiers of gates.host_tier() are names too."""
+    """Backends by name."""
 
     def __init__(self) -> None:
         self.made: dict[str, Callable] = {}

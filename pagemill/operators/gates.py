@@ -93,19 +93,3 @@ def corrected_confidence(blocks: DataFrame) -> DataFrame:
 def table_confidence(cells: DataFrame) -> DataFrame:
     """(page_id, confidence): the mean, a missing one counting 0.5."""
     return cells.groupBy("page_id").agg(F.avg(F.coalesce("confidence", F.lit(0.5))).alias("confidence"))
-
-
-VISION_FREE_GB = 8.0
-
-
-def host_tier(caps: dict) -> dict:
-    """vision, gridboost or manual from a host's capabilities; a driver-side decision."""
-    gpu = caps.get("gpu") or {}
-    able = bool(gpu.get("cuda") or gpu.get("mps")) or float(caps.get("free_memory_gb", 0.0)) >= VISION_FREE_GB
-    missing = [name for name, have in (("PyTorch", caps.get("has_torch")), ("a vision model", caps.get("vision_models"))) if not have] if able else []
-    if able and not missing:
-        return {"tier": "vision", "reason": "enough hardware, and a model to run on it", "vision_potential": True, "missing": []}
-    if caps.get("has_table_engine"):
-        reason = "enough hardware, without " + " and ".join(missing) if missing else "table engine on the CPU"
-        return {"tier": "gridboost", "reason": reason, "vision_potential": able, "missing": missing}
-    return {"tier": "manual", "reason": "neither a model nor a table engine", "vision_potential": able, "missing": missing}

@@ -136,8 +136,8 @@ def with_bands(rowed: DataFrame, by: list[str] | None = None) -> DataFrame:
     """adds band_no: a band ends where the gap below its last row is over max(2.8 upper-median height, 28)."""
     by = by or ["page_id"]
     row, upward = Window.partitionBy(*by, "row_no"), Window.partitionBy(*by).orderBy("row_no")
-    mh = S.upper_median_of(F.collect_list("height").over(Window.partitionBy(*by)))
-    b = rowed.select("*", F.min("min_y").over(row).alias("__top"), F.max("max_y").over(row).alias("__bottom"), mh.alias("__mh"))
+    sized = S.with_upper_median(rowed, by, {"__mh": F.col("height")})
+    b = sized.select("*", F.min("min_y").over(row).alias("__top"), F.max("max_y").over(row).alias("__bottom"))
     above = F.max(F.struct("row_no", "__bottom")).over(upward.rangeBetween(Window.unboundedPreceding, -1))["__bottom"]
     cut = F.when(F.col("__top") - above > F.greatest(F.col("__mh") * 2.8, F.lit(28.0)), F.col("row_no"))
     passed = F.size(F.collect_set("__cut").over(upward.rangeBetween(Window.unboundedPreceding, 0)))
@@ -336,10 +336,43 @@ def engine_for(content_type: Column, engines: dict[str, str] | None = None, math
 # Regions.
 
 
+def _levels(boxes: DataFrame) -> Column:
+    """The exponent of the smallest power of two that is no smaller than a box's longer side."""
+    return F.greatest(F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1.0)))), F.lit(0)).cast("int")
+
+
+def _tiled(boxes: DataFrame, levels: DataFrame) -> DataFrame:
+    """boxes (page_id, x0, y0, x1, y1, ...) with level, tx, ty: a row per tile that a box touches, on each of its page's levels (page_id, levels) from its own on; so at most four a level."""
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    whole = boxes.where((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))).withColumn("own_level", _levels(boxes))
+    each = whole.join(levels, "page_id").withColumn("level", F.explode(F.filter("levels", lambda k: k >= F.col("own_level")))).drop("levels")
+    return each.withColumn("tx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("ty", F.explode(F.sequence(at("y0"), at("y1"))))
+
+
+def meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each pair of boxes of a page (page_id, x0, y0, x1, y1, and a_ or b_ columns of their own) that meet, edges included, once.
+
+    An equi-join on tiles whose size doubles from level to level: a pair meets on
+    the larger box's level, in the tile of the corner where their intersection
+    begins.  So a page of any number of boxes is spread over its tiles.
+    """
+    every = a.select("page_id", _levels(a).alias("k")).union(b.select("page_id", _levels(b).alias("k"))).groupBy("page_id").agg(F.collect_set("k").alias("levels"))
+    corners = ("x0", "y0", "x1", "y1", "own_level")
+    named = lambda df, side: df.withColumnsRenamed({c: f"{side}_{c}" for c in corners})
+    j = named(_tiled(a, every), "a").join(named(_tiled(b, every), "b"), ["page_id", "level", "tx", "ty"])
+    size = F.pow(F.lit(2.0), F.col("level"))
+    x0, y0 = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
+    meet = (x0 <= F.least("a_x1", "b_x1")) & (y0 <= F.least("a_y1", "b_y1")) & (F.col("level") == F.greatest("a_own_level", "b_own_level"))
+    return j.where(meet & (F.floor(x0 / size) == F.col("tx")) & (F.floor(y0 / size) == F.col("ty"))).drop("level", "tx", "ty", "a_own_level", "b_own_level")
+
+
 def blocks_in_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
-    """Text blocks whose centre lies in a region (page_id, region_id, x0, y0, x1, y1), edges included; an equi-join on the page with the range as residue."""
-    inside = F.col("center_x").between(F.col("x0"), F.col("x1")) & F.col("center_y").between(F.col("y0"), F.col("y1"))
-    return blocks.where(F.col("type") == "text").join(regions, "page_id").where(inside)
+    """Text blocks whose centre lies in a region (page_id, region_id, x0, y0, x1, y1), edges included: centres, as boxes without size, that meet it."""
+    texts = blocks.where((F.col("type") == "text") & F.col("center_x").isNotNull() & F.col("center_y").isNotNull())
+    points = texts.select("page_id", F.col("center_x").alias("x0"), F.col("center_y").alias("y0"), F.col("center_x").alias("x1"), F.col("center_y").alias("y1"), F.struct(*blocks.columns).alias("a_row"))
+    own = [c for c in regions.columns if c != "page_id"]
+    boxes = regions.select("page_id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), F.struct(*own).alias("b_row"))
+    return meeting(points, boxes).select("a_row.*", *(F.col(f"b_row.{c}") for c in own))
 
 
 def padded_boxes(regions: DataFrame, width: Column, height: Column, pad: int = 14, least: int = 8, most: int = 4) -> DataFrame:
@@ -353,8 +386,11 @@ def padded_boxes(regions: DataFrame, width: Column, height: Column, pad: int = 1
 
 def match_enhanced(regions: DataFrame, enhanced: DataFrame, accept: float = 0.5) -> DataFrame:
     """Each region's enhanced table of the largest overlap, at least `accept`; of equal ones the first.  Columns: page_id, region_id, item_id, iou."""
-    a, b = [F.col(f"a.{c}") for c in ("x0", "y0", "x1", "y1")], [F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1")]
-    pairs = regions.alias("a").join(enhanced.alias("b"), "page_id").select("page_id", "a.region_id", "b.item_id", S.iou(a, b).alias("iou")).where(F.col("iou") > 0)
+    box = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    one = regions.select("page_id", *box, F.struct("region_id", "x0", "y0", "x1", "y1").alias("a_row"))
+    two = enhanced.select("page_id", *box, F.struct("item_id", "x0", "y0", "x1", "y1").alias("b_row"))
+    a, b = [F.col(f"a_row.{c}") for c in ("x0", "y0", "x1", "y1")], [F.col(f"b_row.{c}") for c in ("x0", "y0", "x1", "y1")]
+    pairs = meeting(one, two).select("page_id", "a_row.region_id", "b_row.item_id", S.iou(a, b).alias("iou")).where(F.col("iou") > 0)
     best = pairs.groupBy("page_id", "region_id").agg(F.max_by(F.struct("item_id", "iou"), F.struct("iou", (-F.col("item_id")).alias("first"))).alias("m"))
     return best.select("page_id", "region_id", "m.item_id", "m.iou").where(F.col("iou") >= accept)
 
@@ -365,10 +401,8 @@ def applicability(blocks: DataFrame, by: list[str]) -> DataFrame:
     Rows and columns are runs of centres (gaps over max(0.8 and 1.2 upper-median
     height, 8 and 12)); blocks belong to the nearest run centre of each.
     """
-    every = Window.partitionBy(*by)
-    high = F.col("max_y") - F.col("min_y")
-    mh = S.upper_median_of(F.collect_list(high).over(every))
-    b = blocks.select(*by, "block_id", "center_x", "center_y", F.when(mh == 0, 1.0).otherwise(mh).alias("mh"))
+    mh = F.col("__mh")
+    b = S.with_upper_median(blocks, by, {"__mh": F.col("max_y") - F.col("min_y")}).select(*by, "block_id", "center_x", "center_y", F.when(mh == 0, 1.0).otherwise(mh).alias("mh"))
     ys = gap_clusters(b, by, "center_y", F.greatest(F.col("mh") * 0.8, F.lit(8.0))).groupBy(*by, "cluster").agg(F.avg("center_y").alias("c")).groupBy(*by).agg(F.array_sort(F.collect_list("c")).alias("rows"))
     xs = gap_clusters(b, by, "center_x", F.greatest(F.col("mh") * 1.2, F.lit(12.0))).groupBy(*by, "cluster").agg(F.avg("center_x").alias("c")).groupBy(*by).agg(F.array_sort(F.collect_list("c")).alias("cols"))
     placed = b.join(ys, by).join(xs, by).select(*by, S.nearest(F.col("rows"), F.col("center_y")).alias("r"), S.nearest(F.col("cols"), F.col("center_x")).alias("k"), F.size("rows").alias("n_rows"), F.size("cols").alias("n_cols"))
@@ -410,8 +444,7 @@ def table_regions(built: DataFrame, pad: int = 8) -> DataFrame:
 
 def grid_lines(blocks: DataFrame, by: list[str]) -> DataFrame:
     """(by, axis, line): whole midpoints between runs of centres, rows and columns of a virtual ruling."""
-    mh = S.upper_median_of(F.collect_list(F.col("max_y") - F.col("min_y")).over(Window.partitionBy(*by)))
-    b = blocks.select(*by, "center_x", "center_y", mh.alias("mh"))
+    b = S.with_upper_median(blocks, by, {"mh": F.col("max_y") - F.col("min_y")}).select(*by, "center_x", "center_y", "mh")
     out = None
     for axis, value, gap in (("row", "center_y", F.greatest(F.col("mh") * 0.8, F.lit(8.0))), ("column", "center_x", F.greatest(F.col("mh") * 1.2, F.lit(12.0)))):
         runs = gap_clusters(b, by, value, gap).groupBy(*by, "cluster").agg(F.min(value).alias("low"), F.max(value).alias("high"))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
@@ -140,9 +140,11 @@ def rebuild_pages(crops: DataFrame, transcribe: Callable[[], Callable[[bytes], s
             yield pd.DataFrame({"page_id": b["page_id"], "region_id": b["region_id"], "markdown": pd.Series(out, dtype=object, index=b.index)})
 
     said = crops.select("page_id", "region_id", "content").mapInPandas(run, TRANSCRIBED)
-    whole = said.groupBy("page_id").agg(F.bool_and(F.col("markdown").isNotNull()).alias("ok"), F.count("*").cast("int").alias("n_regions")).where("ok")
-    parts = said.join(whole, "page_id").select(F.col("page_id").alias("doc_id"), F.col("region_id").alias("part"), X.without_fences(F.col("markdown")).alias("text"))
-    return stitch_regions(parts).where("text <> ''").join(whole, F.col("doc_id") == F.col("page_id")).select("page_id", F.col("text").alias("markdown"), "n_regions")
+    # A page's regions are counted where they stand, and the count goes with them: what the model said is read once.
+    page = Window.partitionBy("page_id")
+    whole = said.select("*", F.bool_and(F.col("markdown").isNotNull()).over(page).alias("ok"), F.count("*").over(page).cast("int").alias("n_regions")).where("ok")
+    parts = whole.select(F.struct("page_id", "n_regions").alias("doc_id"), F.col("region_id").alias("part"), X.without_fences(F.col("markdown")).alias("text"))
+    return stitch_regions(parts).where("text <> ''").select("doc_id.page_id", F.col("text").alias("markdown"), "doc_id.n_regions")
 
 
 def enhance_regions(crops: DataFrame, backend: Callable[[], Backend], tier: str, enabled: bool = False, base_max: float = 0.55, margin: float = 0.30, least: float = 0.90) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 STATUSES = ("pending", "processing", "completed", "failed")
 MAX_ATTEMPTS = 3
@@ -42,13 +41,26 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
 
 
+def state_of(events: DataFrame, firsts: tuple[str, ...] = ()) -> DataFrame:
+    """(task_id, seq, status, attempts, last_error, updated_at, and the least of each of firsts) of some of the tasks' events."""
+    failed = (F.col("status") == "failed").cast("long").alias("attempts")
+    return merged(events.select("task_id", "seq", "status", failed, F.col("error").alias("last_error"), F.col("at").alias("updated_at"), *firsts), firsts)
+
+
+def merged(states: DataFrame, firsts: tuple[str, ...] = ()) -> DataFrame:
+    """States of parts of the events, one a task: the newest part has the status, failures add up.  Parts may come in any order and be merged before."""
+    newest = [F.max_by(c, "seq").alias(c) for c in ("status", "last_error", "updated_at")]
+    out = states.groupBy("task_id").agg(F.max("seq").alias("seq"), newest[0], F.sum("attempts").alias("attempts"), *newest[1:], *(F.min(c).alias(c) for c in firsts))
+    return out.select("task_id", "seq", "status", "attempts", "last_error", "updated_at", *firsts)
+
+
 def status_summary(tasks: DataFrame, status: str = "status") -> DataFrame:
     """(status, n) for the four statuses, zeros too, and "total"."""
     session = tasks.sparkSession
-    every = session.createDataFrame([(s,) for s in STATUSES], T.StructType([T.StructField("status", T.StringType())]))
-    counts = tasks.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
-    zero = F.broadcast(every).join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
-    return zero.union(tasks.agg(F.lit("total").alias("status"), F.count(status).alias("n")))
+    every = session.createDataFrame([(s,) for s in (*STATUSES, "total")], T.StructType([T.StructField("status", T.StringType())]))
+    counts = tasks.rollup(F.col(status).alias("status")).agg(F.count("*").alias("n"), F.count(status).alias("known"), F.grouping_id().alias("all"))
+    counts = counts.select(F.when(F.col("all") == 1, "total").otherwise(F.col("status")).alias("status"), F.when(F.col("all") == 1, F.col("known")).otherwise(F.col("n")).alias("n"))
+    return F.broadcast(every).join(counts.where("status is not null"), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def next_pending(tasks: DataFrame, n: int = 1) -> DataFrame:
@@ -84,5 +96,7 @@ def history(events: DataFrame, keep: int = HISTORY) -> DataFrame:
 
 
 def latest_per_key(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
-    return events.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """The newest row of each key: a partial aggregate, no sort."""
+    rest = [c for c in events.columns if c != key]
+    newest = events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
+    return newest.select(key, "r.*").select(*events.columns)

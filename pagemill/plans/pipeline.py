@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators import gates, geometry, layout, linking, recognize, render
-from pagemill.sources.files import blocks_of
+from pagemill.sources.files import blocks_of, exists
 from pagemill.sources.sinks import publish
 from pagemill.streaming import intake
 
@@ -46,28 +46,43 @@ def pages_of(recognized: DataFrame) -> DataFrame:
     return recognized.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("source_path"), "confidence", "engine_used", F.lit("mixed").alias("content_type"), F.transform("blocks", block).alias("blocks"), tables.alias("tables"))
 
 
-def notes_of(files: DataFrame, folder: str, engines: dict, titles: DataFrame | None, run_date: Column) -> DataFrame:
-    """Recognises files (path, content), lays their pages out and publishes the notes; returns recognise()'s rows, still to be computed again if used."""
-    pages = recognize.recognize(files.withColumn("engine", F.lit(geometry.DEFAULT_ENGINE)), engines)
+def recognized_once(files: DataFrame, engines: dict, path: str) -> DataFrame:
+    """Recognises files (path, content) and keeps the records under path, which all that follows reads; records that are there, and were committed, are taken as they are."""
+    spark = files.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        recognize.recognize(files.withColumn("engine", F.lit(geometry.DEFAULT_ENGINE)), engines).write.mode("overwrite").parquet(path)
+    return spark.read.schema(recognize.RECOGNIZED).parquet(path)
+
+
+def notes_of(files: DataFrame, folder: str, engines: dict, titles: DataFrame | None, run_date: Column, cache: str) -> DataFrame:
+    """Recognises files (path, content) into cache, lays their pages out and publishes the notes; returns the records kept there."""
+    pages = recognized_once(files, engines, cache)
     publish(note_pages(pages_of(pages), titles, run_date), folder).agg(F.sum("bytes")).collect()  # one row
     return pages
 
 
 def stream_notes(files: DataFrame, checkpoint: str, folder: str, engines: dict, titles: DataFrame | None, run_date: Column, once: bool = False, log: str | None = None, delay_seconds: float = 0.0):
-    """Files of a watched folder to notes: each micro-batch waits until its files have settled; new contents are recognised, laid out and published, and the tasks' events logged under `log` (beside the checkpoint unless given)."""
-    events = intake.TaskLog(files.sparkSession, log or checkpoint.rstrip("/") + "-tasks")
+    """Files of a watched folder to notes: each micro-batch waits until its files have settled; new contents, and failed ones that may be tried again, are recognised once each, laid out and published, and the tasks' events logged under `log` (beside the checkpoint unless given)."""
+    spark = files.sparkSession
+    events = intake.TaskLog(spark, log or checkpoint.rstrip("/") + "-tasks")
 
     def process(batch: DataFrame, number: int) -> None:
-        fresh = intake.fresh(batch, events.known(number)).select("path", "file_hash", "content")
-        for status in ("pending", "processing"):
-            events.add(fresh, number, status)
+        events.compact(number - 1)
+        # Contents are hashed here; from now on the batch's own events say which files are new.
+        events.add(intake.fresh(batch, events.known(number)), number, "pending")
+        fresh = events.delta(number, "pending")
+        again = [(r["path"], r["file_hash"]) for r in events.retryable(number).collect() if exists(spark, r["path"])]  # RETRIES at most
+        events.add(fresh.union(spark.createDataFrame(again, "path string, file_hash string")), number, "processing")
+        tried = events.delta(number, "processing")
+        contents = batch.join(fresh, "path").select("path", "content")
+        if again:
+            contents = contents.union(spark.read.format("binaryFile").load([p for p, _ in again]).select("path", "content"))
         try:
-            said = notes_of(fresh, folder, engines, titles, run_date)
+            said = notes_of(contents, folder, engines, titles, run_date, f"{events.path}/pages/{number:09d}")
         except Exception as e:
-            events.add(fresh, number, "failed", F.lit(f"{type(e).__name__}: {e}"[:1000]))
+            events.add(tried, number, "failed", F.lit(f"{type(e).__name__}: {e}"[:1000]))
             raise
-        failed = said.where("error is not null").select("path", "error")
-        both = fresh.drop("content").join(failed, "path", "left")
+        both = tried.join(said.select("path", "error"), "path")
         events.add(both.where("error is null"), number, "completed")
         events.add(both.where("error is not null"), number, "failed", F.col("error"))
 

@@ -95,6 +95,17 @@ def task_state_fold(spark, sf):
     return tasks.fold_events(task_events(spark, sf))
 
 
+@query(f"SELECT user_id AS task_id, max(event_id) AS seq, max_by({EVENT_STATUS}, event_id) AS status, count(*) FILTER (event_type = 'error') AS attempts, max_by(CASE event_type WHEN 'error' THEN 'e' || event_id ELSE '' END, event_id) AS last_error, max(event_id) AS updated_at, min('f' || user_id) AS file_path FROM events GROUP BY 1")
+def task_log_compacted(spark, sf):
+    """The log as it is kept: days are folded into states, those of all but the last days into a snapshot, and the rest merged with it on reading."""
+    e = task_events(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.to_date("ts").alias("day")), "seq")
+    last = e.agg(F.date_sub(F.max("day"), 6).alias("since"))
+    parted = e.join(F.broadcast(last), F.lit(True), "left").withColumn("old", F.col("day") < F.col("since"))
+    firsts = ("file_path",)
+    snapshot = tasks.merged(tasks.state_of(parted.where("old"), firsts), firsts)
+    return tasks.merged(snapshot.union(tasks.state_of(parted.where("not old"), firsts)), firsts)
+
+
 @query(f"WITH e AS (SELECT *, {EVENT_STATUS} AS s FROM events) SELECT count(*) FILTER (s = 'completed') AS total_processed, count(*) FILTER (s = 'failed') AS total_failed, max_by('f' || user_id, event_id) AS last_file, max(event_id) AS last_updated FROM e")
 def progress_counters(spark, sf):
     return tasks.progress(task_events(spark, sf))
@@ -173,6 +184,20 @@ def link_candidates(spark, sf):
     return linking.link_candidates(table(spark, sf, "documents"), title_table(spark, sf))
 
 
+@query(f"""
+WITH {TITLES}, {GRAMS.format(id="item_id", t="benchmark")},
+g AS MATERIALIZED (SELECT *, lower(text) AS low, {NORM.format("text")} AS norm FROM (SELECT DISTINCT text FROM grams) WHERE lower(text) NOT IN ({BLACK})),
+t AS MATERIALIZED (SELECT title AS target, lower(title) AS t_low, {NORM.format("title")} AS t_norm FROM titles),
+m AS MATERIALIZED (SELECT text, target, CASE WHEN low = t_low THEN 1.0::DOUBLE WHEN norm = t_norm THEN 0.9::DOUBLE
+        ELSE len(list_intersect({SIGNS.format("norm")}, {SIGNS.format("t_norm")}))::DOUBLE / greatest(length(norm), length(t_norm)) * 0.8 END AS confidence
+      FROM g, t WHERE norm <> '' AND t_norm <> '' AND (contains(norm, t_norm) OR contains(t_norm, norm)))
+SELECT doc_id, n, pos, text, target, confidence FROM grams JOIN m USING (text) WHERE confidence > 0.4""")
+def link_candidates_all(spark, sf):
+    """Every tier, the one of 0.4 to 0.6 too; the SQL has no band of lengths."""
+    grams = linking.document_ngrams(table(spark, sf, "benchmark"), "item_id", "text")
+    return linking.match_titles_all(grams, title_table(spark, sf)).drop("match_type")
+
+
 def _top(spark, sf):
     return linking.top_per_target(link_candidates(spark, sf))
 
@@ -642,13 +667,12 @@ def html_to_markdown(spark, sf):
 
 @query("""
 WITH md AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-r AS (SELECT doc_id, list_transform(list_filter(l, lambda x: length(x) % 5 <> 0), lambda x: len(string_split(x, ' '))) AS c, l FROM md),
+r AS (SELECT doc_id, list_transform(l, lambda x: len(string_split(x, ' '))) AS c, l FROM md),
 s AS (SELECT doc_id, c, len(c) AS n, list_sum(c)::DOUBLE AS total, list_max(c) AS cols FROM r),
 v AS (SELECT *, total / n AS mean, sqrt(list_sum(list_transform(c, lambda x: (x - total / n) ** 2)) / n) AS dev FROM s WHERE n > 0)
 SELECT doc_id, 0.45 * 1.0 + 0.35 * greatest(0.0, 1 - dev / greatest(mean, 1.0)) + 0.20 * least(1.0, n * cols / 12.0::DOUBLE) AS score FROM v""")
 def structure_scores(spark, sf):
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) % 5 != 0)
-    rows = F.transform(lines, lambda x: F.transform(F.split(x, " "), lambda c: F.concat(F.lit("c"), c)))
+    rows = F.transform(F.split("text", "\n"), lambda x: F.transform(F.split(x, " "), lambda c: F.concat(F.lit("c"), c)))
     return table(spark, sf, "documents").select("doc_id", rows.alias("rows")).where(F.size("rows") > 0).select("doc_id", gates.table_structure(F.col("rows")).alias("score"))
 
 

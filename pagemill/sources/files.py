@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,15 +91,16 @@ def refreshed(spark: SparkSession, files: DataFrame, cache: str, recognise: Call
     the newest file counts.
     """
     schema = f"{key} string, record string"
-    read = lambda: spark.read.schema(schema).json(cache).groupBy(key).agg(F.max_by("record", F.col("_metadata.file_modification_time")).alias("record"))
-    before = read().select(key).collect() if use and _exists(spark, cache) else []
-    known = spark.createDataFrame([(r[key],) for r in before], f"{key} string")
-    _, missing = cached(files, known, key)
-    recognise(missing).select(key, "record").write.mode("append").json(cache)
-    return files.select(key).join(read(), key).join(known.withColumn("__known", F.lit(True)), key, "left").select(key, "record", F.coalesce("__known", F.lit(False)).alias("cached"))
+    read = lambda path: spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+    missing = cached(files, read(cache), key)[1] if use and exists(spark, cache) else files
+    run = f"{cache.rstrip('/')}/run-{uuid.uuid4().hex}"
+    recognise(missing).select(key, "record").write.json(run)
+    newest = read(cache).groupBy(key).agg(F.max_by("record", F.col("_metadata.file_modification_time")).alias("record"))
+    made = read(run).select(key).distinct().withColumn("__made", F.lit(True))
+    return files.select(key).join(newest, key).join(made, key, "left").select(key, "record", F.col("__made").isNull().alias("cached"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 

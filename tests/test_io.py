@@ -12,7 +12,7 @@ from pagemill import __main__ as cli
 from pagemill.operators import images, recognize, snapshots
 from pagemill.operators.geometry import DEFAULT_ENGINE
 from pagemill.plans import pipeline
-from pagemill.sources import config, files, host, logs, sinks
+from pagemill.sources import config, files, logs, sinks
 from pagemill.streaming import intake
 
 
@@ -98,26 +98,6 @@ def test_listings(spark, folder, tmp_path):
     assert files.normal_path("/a/./b/../c") == "/a/c"
 
 
-def test_host_profile(tmp_path):
-    probes = []
-
-    def probe():
-        probes.append(1)
-        return {"free_memory_gb": 16.0, "has_torch": True, "vision_models": ["m-vl"], "has_table_engine": True}
-
-    first = host.profile(str(tmp_path), probe=probe)
-    assert first["tier"] == "vision" and host.profile(str(tmp_path), probe=probe) == first and len(probes) == 1
-    (tmp_path / host.PROFILE).write_text('{"schema_version": 0, "tier": "manual"}')
-    assert host.profile(str(tmp_path), probe=probe)["tier"] == "vision" and len(probes) == 2
-    (tmp_path / host.PROFILE).write_text("not json")
-    assert host.profile(str(tmp_path), probe=probe)["tier"] == "vision"
-    assert host.profile(str(tmp_path), rescan=True, probe=dict)["tier"] == "manual"
-    assert host.profile(str(tmp_path / "none"), probe=dict)["tier"] == "manual"
-    caps = host.capabilities(models=lambda: ["x-vl"])
-    assert caps["cpu_count"] > 0 and caps["total_memory_gb"] >= caps["free_memory_gb"] > 0 and caps["gpu"]["kind"] in ("none", "cuda", "mps")
-    assert host.vision_models("no-such-command") == []
-
-
 def test_log_lines(spark, tmp_path):
     log = logs.set_up(str(tmp_path / "l/run.log"))
     log = logs.set_up(str(tmp_path / "l/run.log"))
@@ -172,15 +152,85 @@ def test_stream_to_notes(spark, folder, tmp_path):
     assert [(r["status"], r["attempts"]) for r in state] == [("completed", 0)] * 3
 
 
-def test_stream_logs_failures(spark, folder, tmp_path):
-    def broken():
-        raise RuntimeError("no model")
+def counting(calls, fail=()):
+    """A recogniser that writes a line a call; files whose text is in fail are refused."""
+
+    def make():
+        read = recognize.FakeRecognizer()()
+
+        def run(content):
+            with open(calls, "a") as f:
+                f.write(content.decode().splitlines()[0] + "\n")
+            if content.decode() in fail:
+                raise RuntimeError("no model")
+            return read(content)
 
-    q = pipeline.stream_notes(intake.watch(spark, folder, ("**/*.tmp.png",)), str(tmp_path / "cp"), str(tmp_path / "notes"), {DEFAULT_ENGINE: broken}, None, F.to_date(F.lit("2024-03-05")), once=True)
+        return run
+
+    return make
+
+
+def test_each_file_is_recognised_once(spark, folder, tmp_path):
+    calls = str(tmp_path / "calls")
+    q = pipeline.stream_notes(intake.watch(spark, folder, ("**/*.tmp.png",)), str(tmp_path / "cp"), str(tmp_path / "notes"), {DEFAULT_ENGINE: counting(calls)}, None, F.to_date(F.lit("2024-03-05")), once=True)
     q.awaitTermination(120)
-    log = intake.TaskLog(spark, str(tmp_path / "cp-tasks"))
-    assert {(r["status"], r["last_error"], r["attempts"]) for r in log.tasks().collect()} == {("failed", "RuntimeError: no model", 1)}
-    assert "failed 2" in sinks.status_report(log.tasks())
+    lines = open(calls).read().split("\n")[:-1]
+    assert len(lines) == len(set(lines)) == len(os.listdir(str(tmp_path / "notes"))) == 2  # two contents, one call each
+
+
+def test_failures_are_tried_again(spark, folder, tmp_path):
+    """Three times in all, each with a micro-batch that brings something new; then no more."""
+    calls, log = str(tmp_path / "calls"), intake.TaskLog(spark, str(tmp_path / "cp-tasks"))
+    bad = open(f"{folder}/a.png").read()
+    for k in range(5):
+        with open(f"{folder}/new{k}.png", "w") as f:
+            f.write(f"new {k}")
+        q = pipeline.stream_notes(intake.watch(spark, folder, ("**/*.tmp.png",)), str(tmp_path / "cp"), str(tmp_path / "notes"), {DEFAULT_ENGINE: counting(calls, (bad,))}, None, F.to_date(F.lit("2024-03-05")), once=True)
+        q.awaitTermination(120)
+        state = {r["file_path"].rsplit("/", 1)[-1]: (r["status"], r["attempts"], r["last_error"]) for r in log.tasks().collect()}
+        assert state["a.png"] == ("failed", min(k + 1, 3), "RuntimeError: no model") and state[f"new{k}.png"] == ("completed", 0, None)
+    lines = open(calls).read().split("\n")
+    assert lines.count(bad.splitlines()[0]) == 3 and all(lines.count(f"new {k}") == 1 for k in range(5))
+    assert "failed 1" in sinks.status_report(log.tasks())
+
+
+def test_log_is_compacted(spark, tmp_path):
+    """What a micro-batch reads does not grow with the log, and says what all events say."""
+    log = intake.TaskLog(spark, str(tmp_path / "log"), every=4)
+    events, deltas = {}, []
+    for number in range(14):
+        log.compact(number - 1)
+        deltas.append(len(log._names("delta")))
+        rows = [(f"p{number}", f"h{number}"), ("p0", "h0")] if number else [("p0", "h0")]
+        df = spark.createDataFrame(rows, "path string, file_hash string").coalesce(1)
+        if number != 9:
+            log.add(df.where(F.col("path") == f"p{number}"), number, "pending")
+        log.add(df, number, "failed" if number % 3 == 0 else "completed", F.lit(f"e{number}"))
+        for path, h in rows:
+            events.setdefault(h, []).append((number, "failed" if number % 3 == 0 else "completed", f"e{number}"))
+    assert max(deltas) <= 2 * 4 and len(log._names("state")) <= 2
+    got = {r["task_id"]: (r["status"], r["attempts"], r["last_error"], r["file_path"]) for r in log.tasks().collect()}
+    assert got == {h: (e[-1][1], sum(x[1] == "failed" for x in e), e[-1][2], "p" + h[1:]) for h, e in events.items()}
+    assert {r["file_hash"] for r in log.known(13).collect()} == {f"h{k}" for k in range(13)}
+    assert {r["file_hash"] for r in log.retryable(14).collect()} == {"h3", "h6", "h9", "h12"}
+    os.makedirs(str(tmp_path / "log/state/000000099"))  # a snapshot whose writer died
+    assert len(log.tasks().collect()) == 14
+
+
+def test_regions_are_transcribed_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def model():
+        def tell(content):
+            with open(calls, "a") as f:
+                f.write("x")
+            return None if content == b"bad" else content.decode()
+
+        return tell
+
+    crops = spark.createDataFrame([(1, 0, b"one"), (1, 1, b"two"), (2, 0, b"bad"), (2, 1, b"three"), (3, 0, b"four")], "page_id long, region_id int, content binary")
+    got = {r["page_id"]: (r["markdown"], r["n_regions"]) for r in recognize.rebuild_pages(crops, model).collect()}
+    assert got == {1: ("one\n\ntwo", 2), 3: ("four", 1)} and len(open(calls).read()) == 5
 
 
 def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
@@ -188,7 +238,7 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     (vault / "00-RAW").mkdir(parents=True)
     (vault / "00-RAW" / "a.png").write_bytes(b"Plan of the year\nsome text")
     settings = tmp_path / "c.json"
-    settings.write_text(json.dumps({"vault": {"root": str(vault)}, "processing": {"watch_delay_seconds": 0}}))
+    settings.write_text(json.dumps({"vault": {"root": str(vault)}, "ocr": {"recognizer": "pagemill.operators.recognize:FakeRecognizer"}, "processing": {"watch_delay_seconds": 0}}))
     monkeypatch.setattr(cli, "session", lambda: spark)
     assert cli.main(["run", "--config", str(settings), "--drain"]) == 0
     assert [n[10:] for n in os.listdir(vault / "99-Audit/OCR-Pending")] == ["_a.md"]
@@ -197,7 +247,7 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     assert "completed 1" in capsys.readouterr().out
     archive = str(tmp_path / "arch")
     for name, more in (("s1", []), ("s2", ["--use-cache"])):
-        assert cli.main(["snapshot", "run", "--archive", archive, "--input-dir", folder, "--name", name, *more]) == 0
+        assert cli.main(["snapshot", "run", "--archive", archive, "--input-dir", folder, "--name", name, "--config", str(settings), *more]) == 0
     assert "s1 -> s2: added 0, removed 0, changed 0, unchanged 4" in capsys.readouterr().out
     assert cli.main(["snapshot", "compare", "--archive", archive, "--old", "s2", "--new", "s1"]) == 0
     assert cli.main(["snapshot", "list", "--archive", archive]) == 0

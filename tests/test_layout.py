@@ -215,9 +215,51 @@ def test_gates(spark):
     v = spark.createDataFrame([(0.5, 0.5, 0.1)], "hit double, fabricate double, struct double")
     r = gates.rebuild_verdict(v).first()
     assert not r["adopt"] and r["reasons"] == ["hit 0.50 < 0.90 (dropped content)", "fabricate 0.50 > 0.05 (invented numbers)", "structure 0.10 < 0.50"]
-    assert gates.host_tier({"gpu": {"cuda": True}, "has_torch": True, "vision_models": ["m"]})["tier"] == "vision"
-    assert gates.host_tier({"free_memory_gb": 16, "has_table_engine": True})["tier"] == "gridboost"
-    assert gates.host_tier({})["tier"] == "manual"
+
+
+def test_links_of_all_tiers(spark):
+    """Titles and texts over few letters, so that all kinds of containment come up, against the nested loop."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh中文") for _ in range(rng.randrange(1, 9)))
+    titles = spark.createDataFrame([(w,) for w in {word() for _ in range(150)} | {"A-b", "aab", "", "-"}], "title string")
+    grams = spark.createDataFrame([(w,) for w in {word() for _ in range(300)} | {"ab", "AAB", "", "--"}], "text string")
+    look = lambda df: sorted(tuple(r) for r in df.collect())
+    got = look(linking.match_titles_all(grams, titles).select("text", "target", "confidence", "match_type"))
+    want = look(linking.match_titles_unpruned(grams, titles).where("text <> '' and target <> ''").select("text", "target", "confidence", "match_type"))
+    drop = lambda rows: [r for r in rows if r[0].strip("-") and r[1].strip("-")]
+    assert drop(got) == drop(want) and any(0.4 < r[2] < 0.6 for r in got)
+
+
+def test_boxes_that_meet(spark):
+    """Boxes of all sizes, points and edges that touch, each pair once."""
+    rng = random.Random(5)
+    box = lambda: (lambda x, y, w, h: (x, y, x + w, y + h))(float(rng.randrange(-300, 3000)), float(rng.randrange(-50, 3000)), float(rng.choice([0, 1, 7, 64, 300, 2500])), float(rng.choice([0, 2, 64, 128, 900])))
+    a, b = ([(k % 3, *box(), k) for k in range(250)] for _ in range(2))
+    ddl = "page_id long, x0 double, y0 double, x1 double, y1 double, {0}_id long"
+    got = sorted((r["a_id"], r["b_id"]) for r in geometry.meeting(spark.createDataFrame(a, ddl.format("a")), spark.createDataFrame(b, ddl.format("b"))).collect())
+    want = sorted((p[5], q[5]) for p in a for q in b if p[0] == q[0] and max(p[1], q[1]) <= min(p[3], q[3]) and max(p[2], q[2]) <= min(p[4], q[4]))
+    assert got == want and len(want) > 100
+
+
+def test_a_huge_page_is_spread(spark):
+    """One page of 60,000 boxes and 4,000 regions: its tiles are dealt over the tasks, and the result is the range join's."""
+    boxes = spark.range(60_000).selectExpr("1L AS page_id", "id AS block_id", "'text' AS type", "cast(id % 300 * 10 AS double) AS center_x", "cast(id div 300 * 10 AS double) AS center_y")
+    regions = spark.range(4000).selectExpr("1L AS page_id", "id AS region_id", "cast(id % 63 * 45 AS double) AS x0", "cast(id div 63 * 30 AS double) AS y0", "cast(id % 63 * 45 + 40 AS double) AS x1", "cast(id div 63 * 30 + 25 AS double) AS y1")
+    got = geometry.blocks_in_regions(boxes, regions).groupBy("region_id").count()
+    counts = {r["region_id"]: r["count"] for r in got.collect()}
+    fit = lambda lo, hi, top: sum(1 for v in range(0, top * 10, 10) if lo <= v <= hi)
+    want = {k: n for k in range(4000) if (n := fit(k % 63 * 45, k % 63 * 45 + 40, 300) * fit(k // 63 * 30, k // 63 * 30 + 25, 200))}
+    assert counts == want
+
+
+def test_upper_medians_by_rank(spark):
+    from pagemill.functions import stats as S
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), rng.choice([None, float(rng.randrange(20)), rng.random()])) for _ in range(400)] + [(9, None)]
+    got = {(r["g"], r["m"]) for r in S.with_upper_median(spark.createDataFrame(rows, "g int, v double"), ["g"], {"m": F.col("v")}).collect()}
+    values = {g: sorted(v for h, v in rows if h == g and v is not None) for g in {g for g, _ in rows}}
+    assert got == {(g, v[len(v) // 2] if v else None) for g, v in values.items()}
 
 
 def test_links_pruned_and_not(spark):
