@@ -36,14 +36,22 @@ def markdown_structure(md: Column) -> Column:
 
 
 def consistency(source: DataFrame, made: DataFrame, key: str, source_text: str, made_text: str) -> DataFrame:
-    """(key, n_ocr, n_vlm, hit, fabricate): numbers of the source kept in, and numbers invented by, what was made; as multisets, unrounded."""
-    a = source.select(F.col(key), F.explode(X.numeric_tokens(F.col(source_text))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("a"))
-    b = made.select(F.col(key), F.explode(X.numeric_tokens(F.col(made_text))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("b"))
-    zero = F.lit(0)
-    both = a.join(b, [key, "t"], "full").select(key, F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b"))
-    g = both.groupBy(key).agg(F.sum("a").alias("n_ocr"), F.sum("b").alias("n_vlm"), F.sum(F.least("a", "b")).alias("kept"), F.sum(F.greatest(F.col("b") - F.col("a"), zero)).alias("new"))
-    keys = source.select(key).union(made.select(key)).distinct()
-    g = keys.join(g, key, "left").na.fill(0, ["n_ocr", "n_vlm", "kept", "new"])
+    """(key, n_ocr, n_vlm, hit, fabricate): numbers of the source kept in, and numbers invented by, what was made; as multisets, unrounded.  Each side is read once."""
+    side = lambda df, text, n: df.select(key, F.transform(X.numeric_tokens(F.col(text)), lambda t: F.struct(F.lit(n).alias("side"), t.alias("t"))).alias("ts"))
+    return _kept_numbers(side(source, source_text, 0).union(side(made, made_text, 1)), key)
+
+
+def consistency_of(pairs: DataFrame, key: str, source_text: str, made_text: str) -> DataFrame:
+    """consistency() of rows that have both texts."""
+    side = lambda text, n: F.transform(X.numeric_tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.struct(F.lit(n).alias("side"), t.alias("t")))
+    return _kept_numbers(pairs.select(key, F.concat(side(source_text, 0), side(made_text, 1)).alias("ts")), key)
+
+
+def _kept_numbers(tokens: DataFrame, key: str) -> DataFrame:
+    """tokens: (key, ts: array of (side, t))."""
+    flat = tokens.select(key, F.explode_outer("ts").alias("x")).select(key, "x.side", "x.t")
+    both = flat.groupBy(key, "t").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    g = both.groupBy(key).agg(F.sum("a").alias("n_ocr"), F.sum("b").alias("n_vlm"), F.sum(F.least("a", "b")).alias("kept"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("new"))
     none = F.col("n_ocr") == 0
     hit = F.when(none, 0.0).otherwise(F.col("kept") / F.greatest("n_ocr", F.lit(1)))
     fab = F.when(none, F.when(F.col("n_vlm") > 0, 1.0).otherwise(0.0)).when(F.col("n_vlm") > 0, F.col("new") / F.greatest("n_vlm", F.lit(1))).otherwise(0.0)

@@ -44,6 +44,10 @@ class FakeRecognizer:
         return read
 
 
+#: To be named in settings for dry runs: pagemill.operators.recognize:line_reader.
+line_reader = FakeRecognizer()
+
+
 def identity_model() -> Callable[[list[str]], list[str]]:
     return lambda prompts: [p.rsplit("Text: ", 1)[-1].removesuffix("\nCorrected:") for p in prompts]
 

@@ -305,8 +305,7 @@ def _consistency(spark, sf):
     """Each document's numbers against those of the next one by id."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
-    pair = d.join(following, "doc_id", "left").select("doc_id", F.coalesce("b", "text").alias("b"))
-    return gates.consistency(d, pair, "doc_id", "text", "b")
+    return gates.consistency_of(d.join(following, "doc_id", "left").withColumn("b", F.coalesce("b", "text")), "doc_id", "text", "b")
 
 
 @query(CONSISTENT + "SELECT * FROM m")
@@ -599,12 +598,14 @@ mo AS (SELECT page_id, sum(k) AS multi, arg_max(n, k * 1000 - n) AS mode FROM k
 pg AS (SELECT page_id FROM ok GROUP BY page_id HAVING any_value(multi) >= 3 AND any_value(mode) >= 3 AND count(*) >= 3 AND count(*) / any_value(multi) >= 0.6)"""
 
 
-@query(f"WITH RECURSIVE {BUILT} SELECT r.page_id, r.row_no, count(*) AS n FROM r JOIN ok USING (page_id, row_no) JOIN pg USING (page_id) GROUP BY 1, 2")
-def built_table_rows(spark, sf):
-    return geometry.built_tables(boxes(spark, sf)).groupBy("page_id", "row_no").agg(F.count("*").alias("n"))
+#: The boxes of each page on three lines.
+DENSE = BOXES.replace("((l_partkey * 7) % 400)::DOUBLE", "((l_partkey % 3) * 40 + 30)::DOUBLE")
 
 
-DENSE = BOXES.replace("((l_partkey * 7) % 400)::DOUBLE", "((l_partkey % 3) * 40 + 30)::DOUBLE")
+@query(f"WITH RECURSIVE {BUILT.replace(BOXES, DENSE)} SELECT r.page_id, r.row_no, count(*) AS n FROM r JOIN ok USING (page_id, row_no) JOIN pg USING (page_id) GROUP BY 1, 2")
+def built_table_rows(spark, sf):
+    return geometry.built_tables(_dense(spark, sf)).groupBy("page_id", "row_no").agg(F.count("*").alias("n"))
+
 
 
 @query(f"WITH RECURSIVE {BUILT.replace(BOXES, DENSE)}, t AS (SELECT r.* FROM r JOIN ok USING (page_id, row_no) JOIN pg USING (page_id)) SELECT page_id, greatest(trunc(greatest(min(min_x), 0)) - 8, 0)::INT AS x, greatest(trunc(greatest(min(min_y), 0)) - 8, 0)::INT AS y, greatest(trunc(max(max_x)) - trunc(greatest(min(min_x), 0)), 1)::INT + 16 AS w, greatest(trunc(max(max_y)) - trunc(greatest(min(min_y), 0)), 1)::INT + 16 AS h FROM t GROUP BY 1")

@@ -122,6 +122,12 @@ def read_manifest_files(spark: SparkSession, archive: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/manifest\.json$", 1).alias("snapshot"), F.col("content").cast("string").alias("manifest"))
 
 
+def read_snapshot_rows(spark: SparkSession, archive: str, table: str = "items") -> DataFrame:
+    """ITEM rows (or notes) of all snapshots that sinks.write_snapshot_rows() wrote; one that is chosen by its name is read alone."""
+    kind = schemas.ITEM.split(", ", 1)[1] if table == "items" else "image string, markdown string"
+    return spark.read.schema(kind + ", snapshot string").parquet(f"{archive.rstrip('/')}/{table}")
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """LOG rows from JSON lines; keys beyond the fixed ones are in extra."""
     fixed = ("timestamp", "level", "module", "message", "file", "exception")

@@ -68,6 +68,35 @@ def test_publish_and_snapshot(spark, tmp_path):
     assert {tuple(r) for r in snapshots.listing(files.read_manifests(spark, archive)).collect()} == {("s1", 3, 1), ("s2", 3, 1)}
 
 
+def test_snapshots_as_partitions(spark, tmp_path):
+    archive = str(tmp_path / "arch")
+    notes = lambda t: spark.createDataFrame([("a", t), ("b", "x\ny")], "image string, markdown string")
+    errors = spark.createDataFrame([("bad", "RuntimeError: x")], "image string, error string")
+    for name, text in (("s1", "one"), ("s2", "two"), ("s1", "three")):
+        sinks.write_snapshot_rows(notes(text), archive, name, errors=errors)
+    items = files.read_snapshot_rows(spark, archive)
+    assert {tuple(r) for r in snapshots.listing(items).collect()} == {("s1", 3, 1), ("s2", 3, 1)}
+    one = items.where("snapshot = 's1'")
+    assert {(r["image"], r["chars"], r["error"]) for r in one.collect()} == {("a", 5, None), ("b", 3, None), ("bad", None, "RuntimeError: x")}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot" in plan
+    both = files.read_snapshot_rows(spark, archive, "notes")
+    assert {r["state"]: r["n"] for r in snapshots.summary(snapshots.compare(both.where("snapshot = 's1'"), both.where("snapshot = 's2'"))).collect()} == {"changed": 1, "unchanged": 1}
+
+
+def test_notes_are_published_whole_or_not(spark, tmp_path):
+    spark.dataSource.register(sinks.notes_source())
+    out = str(tmp_path / "notes")
+    os.makedirs(out)
+    df = spark.range(40).selectExpr("concat('n', id, '.md') AS file_name", "concat('text é ', id) AS markdown").repartition(4)
+    df.write.format("notes").mode("append").save(out)
+    assert sorted(os.listdir(out)) == sorted(f"n{k}.md" for k in range(40)) and open(out + "/n7.md", encoding="utf-8").read() == "text é 7"
+    bad = spark.range(40).selectExpr("concat('m', id, '.md') AS file_name", "if(id = 33, raise_error('stop'), 'x') AS markdown").repartition(4, "file_name")
+    with pytest.raises(Exception, match="stop"):
+        bad.write.format("notes").mode("append").save(out)
+    assert sorted(os.listdir(out)) == sorted(f"n{k}.md" for k in range(40))
+
+
 def test_cache_is_refreshed(spark, tmp_path):
     calls = []
     images_ = spark.createDataFrame([("a", 1), ("b", 2)], "image string, n int")
@@ -238,7 +267,7 @@ def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
     (vault / "00-RAW").mkdir(parents=True)
     (vault / "00-RAW" / "a.png").write_bytes(b"Plan of the year\nsome text")
     settings = tmp_path / "c.json"
-    settings.write_text(json.dumps({"vault": {"root": str(vault)}, "ocr": {"recognizer": "pagemill.operators.recognize:FakeRecognizer"}, "processing": {"watch_delay_seconds": 0}}))
+    settings.write_text(json.dumps({"vault": {"root": str(vault)}, "ocr": {"recognizer": "pagemill.operators.recognize:line_reader"}, "processing": {"watch_delay_seconds": 0}}))
     monkeypatch.setattr(cli, "session", lambda: spark)
     assert cli.main(["run", "--config", str(settings), "--drain"]) == 0
     assert [n[10:] for n in os.listdir(vault / "99-Audit/OCR-Pending")] == ["_a.md"]

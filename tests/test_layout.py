@@ -230,6 +230,37 @@ def test_links_of_all_tiers(spark):
     assert drop(got) == drop(want) and any(0.4 < r[2] < 0.6 for r in got)
 
 
+def test_best_path_of_ideographs():
+    """Against all ways to cut a run."""
+    from pagemill.operators.segment import best_path
+
+    rng = random.Random(2)
+    for _ in range(300):
+        run = "".join(rng.choice("甲乙丙丁") for _ in range(rng.randrange(1, 8)))
+        words = {run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + 4) + 1) if rng.random() < 0.5}
+        weights = {w: -float(rng.randrange(1, 9)) for w in sorted(words)}
+        every = [[]]
+        for k, sign in enumerate(run):
+            every = [[*p, sign] for p in every] + ([[*p[:-1], p[-1] + sign] for p in every] if k else [])
+        legal = [p for p in every if all(w in weights or len(w) == 1 for w in p) and max(map(len, p)) <= 4]
+        want = max(legal, key=lambda p: (sum(weights.get(w, -20.0) for w in p), [len(w) for w in reversed(p)]))
+        assert best_path(run, weights, -20.0, 4) == want
+
+
+def test_notes_in_ideographs_are_linked(spark):
+    from pagemill.operators import segment
+
+    titles = spark.createDataFrame([("数据湖",), ("机器学习",), ("Plan",)], "title string")
+    docs = spark.createDataFrame([(1, "我们用机器学习处理数据湖里的日志"), (2, "the Plan，机器学习"), (3, None), (4, "机器坏了")], "doc_id long, text string")
+    words = segment.dictionary(docs, titles)
+    cut = segment.segmenter(words)
+    got = {r["doc_id"]: r["w"] for r in docs.select("doc_id", cut(F.col("text")).alias("w")).collect()}
+    assert {"机器学习", "数据湖"} <= set(got[1]) and "".join(got[1]) == "我们用机器学习处理数据湖里的日志" and got[2] == ["the", "Plan", "机器学习"] and got[3] == []
+    best = linking.top_per_target(linking.link_candidates(docs, titles, segment=cut))
+    exact = {(r["doc_id"], r["target"]) for r in best.collect() if r["match_type"] == "exact"}
+    assert exact == {(1, "机器学习"), (1, "数据湖"), (2, "机器学习"), (2, "Plan")}
+
+
 def test_boxes_that_meet(spark):
     """Boxes of all sizes, points and edges that touch, each pair once."""
     rng = random.Random(5)
