@@ -190,9 +190,11 @@ WIDE_BYTES = WIDE * BYTES
 SPREADS = 6
 KEYS = 16
 HOT_SAMPLE = 8
+HOT_WORDS = 1 << 18
 GROUP = 16_384
 GUIDES = 16
 BLOCK = 4096
+UNIT = 512
 
 
 def wide_majority(h: np.ndarray) -> bytes:
@@ -206,27 +208,40 @@ def wide_majority(h: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def bits_at(similarity: float) -> int:
-    """Differing bits of wide fingerprints that pairs of this Jaccard similarity keep below: the mean for sets of like size, and SPREADS standard deviations."""
+def bits_at(similarity: float, spreads: float | None = SPREADS) -> int:
+    """Differing bits of wide fingerprints that pairs of this Jaccard similarity keep below: the mean for sets of like size, and `spreads` standard deviations; None: any number."""
+    if spreads is None:
+        return 64 * WIDE
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * WIDE * share + SPREADS * np.sqrt(64 * WIDE * share * (1 - share)))
+    return int(64 * WIDE * share + spreads * np.sqrt(64 * WIDE * share * (1 - share)))
 
 
-def prefix(hashes: np.ndarray, similarity: float, hot: np.ndarray | None = None) -> np.ndarray:
-    """Keys of sorted distinct hashes, such that two sets of this similarity share one: the first in an order that has those in hot (sorted) last.
+def prefix(hashes: np.ndarray, similarity: float, hot: np.ndarray | None = None, keys: int | None = KEYS) -> np.ndarray:
+    """Keys of sorted distinct hashes, such that two sets of this similarity share one: the first in an order that has those marked in hot last.
 
     For certain, that takes as many as may be missing in the other set, and one
-    more; where not over half are hot, KEYS are enough: in any order, each of
-    the first of both sets is shared with a chance of at least 0.55 (0.8 where
-    none is hot), and the chance that none of KEYS is, is below 3e-6 (7e-12).
+    more: keys=None gives these.  Where not over half are hot, KEYS are enough
+    but for a small chance: in any order, each of the first of both sets is
+    shared with a chance of at least 0.55 (0.8 where none is hot), and the chance
+    that none of KEYS is, is below 3e-6 (7e-12).
     """
     most = hashes.size - int(np.ceil(similarity * hashes.size - 1e-9)) + 1
-    if hot is not None and hot.size and hashes.size:
-        held = hot[np.minimum(np.searchsorted(hot, hashes), hot.size - 1)] == hashes
-        hashes = np.concatenate([hashes[~held], hashes[held]])
-        if 2 * held.sum() > hashes.size:
+    if hot is not None and hot.any():
+        hashes = np.concatenate([hashes[~hot], hashes[hot]])
+        if 2 * np.count_nonzero(hot) > hashes.size:
             return hashes[:most]
-    return hashes[: min(most, KEYS)]
+    return hashes[: most if keys is None else min(most, keys)]
+
+
+def hot_bits(keys: DataFrame) -> DataFrame:
+    """(word, bits): at most HOT_WORDS rows; the bit of each of keys (key), which are hashes themselves, is set."""
+    word = F.shiftright("key", 6).bitwiseAND(F.lit(HOT_WORDS - 1))
+    return keys.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))
+
+
+def hot_among(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in words, the set behind hot_bits()."""
+    return (words[(hashes >> np.uint64(6)) & np.uint64(words.size - 1)] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -261,13 +276,15 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int]
 
 
 def _verified(own: DataFrame, maybe: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v): links of kinds whose shingle sets have the similarity.  maybe: (row_id, kind, group), a row of each kind; only kinds of one group are compared.
+    """(u, v): links of kinds whose shingle sets have the similarity.  maybe: (row_id, kind, weight, group), a row of each kind; only kinds of one group are compared.
 
-    A group of up to GROUP kinds is held by one task, 8 bytes a shingle; larger
-    ones are spread over many tasks.
+    A group of a weight up to GROUP is held by one task; larger ones are spread
+    over many tasks.  A kind weighs one, or as many as it has UNIT shingles, so
+    that a task holds at most GROUP * UNIT shingles (8 bytes each) and the
+    kind that goes beyond.
     """
     spark = own.sparkSession
-    sizes, sizes_path = written(maybe.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > GROUP), "large")
+    sizes, sizes_path = written(maybe.groupBy("group").agg(F.sum("weight").alias("size")).where(F.col("size") > GROUP), "large")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, kinds, sets = None, [], []
@@ -319,7 +336,7 @@ class Guides:
 
 
 def _spread(own: DataFrame, large: DataFrame, words: int, similarity: float) -> DataFrame:
-    """_verified() of large groups (row_id, kind, group, size), in bounded memory: links that connect all similar kinds.
+    """_verified() of large groups (row_id, kind, weight, group, size: the sum of weights), in bounded memory: links that connect all similar kinds.
 
     Some kinds guide: all of their group are held against them, in as many tasks
     as it takes.  Kinds of the group's largest component need not guide, for what
@@ -331,10 +348,10 @@ def _spread(own: DataFrame, large: DataFrame, words: int, similarity: float) ->
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["group", "kind", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.list_(pa.int64())), b.column(4)], names=["group", "kind", "size", "shingles", "weight"])
 
-    texts = joined_rows(own.select("row_id", "text"), "row_id", large).select("group", "kind", "size", "text")
-    members, members_path = written(texts.mapInArrow(releasing(to_sets), "group long, kind long, size long, shingles array<long>"), "members")
+    texts = joined_rows(own.select("row_id", "text"), "row_id", large).select("group", "kind", "size", "text", "weight")
+    members, members_path = written(texts.mapInArrow(releasing(to_sets), "group long, kind long, size long, shingles array<long>, weight long"), "members")
     shares = F.ceil(F.col("size") / BLOCK).cast("int")
 
     def held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,14 +378,14 @@ def _spread(own: DataFrame, large: DataFrame, words: int, similarity: float) ->
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=_LINKS)
                 us, vs = [], []
 
-    outside, done, links_paths, number = members.select("group", "kind"), None, [], 0
+    outside, done, links_paths, number = members.select("group", "kind", "weight"), None, [], 0
     drop: list[str] = []
     while True:
         if number < 2:
             picks = outside.groupBy("group").agg(*(F.min_by("kind", F.xxhash64("kind", F.lit(100 * number + j))).alias(f"k{j}") for j in range(GUIDES)))
             guides = picks.select("group", F.explode(F.array_distinct(F.array(*(f"k{j}" for j in range(GUIDES))))).alias("kind"))
         else:
-            most = outside.groupBy("group").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+            most = outside.groupBy("group").agg(F.sum("weight").alias("n")).agg(F.max("n")).first()[0]
             guides = outside.where(F.pmod(F.xxhash64("kind", F.lit(7)), F.lit(max(1, -(-2 * most // BLOCK)))) == 0) if most > BLOCK else outside
         guides, path = written(guides.select("group", "kind"), "guides")
         drop.append(path)
@@ -382,10 +399,10 @@ def _spread(own: DataFrame, large: DataFrame, words: int, similarity: float) ->
         links_paths.append(path)
         links = spark.read.schema(LINKS).parquet(*links_paths)
         parts, parts_path = written(components(links), "parts")
-        labelled = members.select("group", "kind").join(parts, F.col("kind") == F.col("node"), "left").select("group", "kind", F.coalesce("component", "kind").alias("component"))
+        labelled = members.select("group", "kind", "weight").join(parts, F.col("kind") == F.col("node"), "left").select("group", "kind", "weight", F.coalesce("component", "kind").alias("component"))
         main = labelled.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("component"))
         done = guides if done is None else done.union(guides)
-        rest, path = written(labelled.join(main, ["group", "component"], "left_anti").select("group", "kind").join(done, ["group", "kind"], "left_anti"), "outside")
+        rest, path = written(labelled.join(main, ["group", "component"], "left_anti").select("group", "kind", "weight").join(done, ["group", "kind"], "left_anti"), "outside")
         drop += [path, parts_path]
         outside, number = rest, number + 1
         if outside.isEmpty():
@@ -394,25 +411,40 @@ def _spread(own: DataFrame, large: DataFrame, words: int, similarity: float) ->
     return spark.read.schema(LINKS).parquet(*links_paths)
 
 
-def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, list[str]]:
+def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float, n_keys: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
     """(kind, prefix): by an order of the shingles that has the frequent ones last; (key): those that still are; and the paths to drop.
 
     Shingles that LONG_LIST kinds or more hold in their prefixes are put last,
     with others that a sample of those kinds shows to be as frequent, and the
     prefixes that hold one of them are made anew, until none is new: any one
-    order of all shingles gives complete lists.
+    order of all shingles gives complete lists.  What is put last is known by a
+    set of HOT_WORDS words of bits, which is all that leaves the executors: where
+    it is full, some rare shingles are put last as well, by all texts alike.
     """
     spark = own.sparkSession
     prefixes, paths = kinds.select("row_id", "kind", "prefix"), []
-    hot: set[int] = set()
+    hot = np.zeros(HOT_WORDS, np.uint64)
+
+    def holding(table: DataFrame, column: str) -> DataFrame:
+        """table, with the keys in column that hot has; rows that have none are left out."""
+        sent = spark.sparkContext.broadcast(hot)
+        at = table.columns.index(column)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                some = pa.array([bool(hot_among(x.values.to_numpy().view(np.uint64), sent.value).any()) for x in b.column(at)], pa.bool_())
+                yield b.filter(some)
+
+        return table.mapInArrow(run, table.schema)
+
     while True:
         sizes = prefixes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= LONG_LIST)
         keys, keys_path = written(sizes.select("key"), "frequent")
-        found = {r["key"] for r in keys.collect()}  # a LONG_LIST-th of the postings at most
-        if found <= hot:
+        found = _words_of(hot_bits(keys))
+        if not (found & ~hot).any():
             return prefixes.select("kind", "prefix"), keys, [*paths, keys_path]
-        old = prefixes.select("row_id", "kind", F.explode("prefix").alias("key")).join(keys, "key", "left_semi").select("row_id", "kind").distinct()
-        old, old_path = written(old, "hot")
+        hot = hot | found
+        old, old_path = written(holding(prefixes, "prefix").select("row_id", "kind"), "hot")
 
         def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -421,12 +453,17 @@ def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -
 
         sample = joined_rows(own.select("row_id", "text"), "row_id", old.where(F.pmod(F.xxhash64("kind"), F.lit(HOT_SAMPLE)) == 0)).select("row_id", "text")
         shown = sample.mapInArrow(releasing(every), "key long").groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= max(2, LONG_LIST // HOT_SAMPLE))
-        hot |= found | {r["key"] for r in shown.select("key").collect()}
-        handle = spark.sparkContext.broadcast(np.sort(np.array(list(hot), np.int64).view(np.uint64)))
+        hot = hot | _words_of(hot_bits(shown))
+        drop_path(spark, old_path)
+        old, old_path = written(holding(prefixes, "prefix").select("row_id", "kind"), "hot")  # the sample's keys too: all texts keep to one order
+        handle = spark.sparkContext.broadcast(hot)
 
         def anew(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                made = [prefix(np.unique(shingle_hashes(t.as_py(), words)), similarity, handle.value).view(np.int64) for t in b.column(2)]
+                made = []
+                for t in b.column(2):
+                    own_set = np.unique(shingle_hashes(t.as_py(), words))
+                    made.append(prefix(own_set, similarity, hot_among(own_set, handle.value), n_keys).view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.int64()))], names=["row_id", "kind", "prefix"])
 
         new = joined_rows(own.select("row_id", "text"), "row_id", old).select("row_id", "kind", "text").mapInArrow(releasing(anew), "row_id long, kind long, prefix array<long>")
@@ -435,22 +472,30 @@ def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float) -
         paths = [new_path]
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, row: str | None = None) -> DataFrame:
+def _words_of(bits: DataFrame) -> np.ndarray:
+    """The bit set behind hot_bits(): HOT_WORDS words, whatever the number of keys."""
+    got, out = bits.toArrow(), np.zeros(HOT_WORDS, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, row: str | None = None, keys: int | None = KEYS, spreads: float | None = SPREADS) -> DataFrame:
     """One row per row of docs: row_id, doc_id, component (long), kept: one row of each component of near copies, the one of the smallest id (nulls last, then the first row).
 
     Texts are near copies where the sets of their shingles have at least this
     Jaccard similarity; chains of near copies are one group.  Pairs are looked
-    for that share a key of their prefixes, as all of this similarity do but
-    for a chance below 3e-6 each.
+    for that share one of the `keys` keys of their prefixes, as all of this
+    similarity do but for a chance below 3e-6 each.
     Of those, pairs within bits_at() of each other, by wide fingerprints of the
     distinct shingles, are compared by the sets themselves: that is all but a
-    chance of SPREADS standard deviations.
+    chance of `spreads` standard deviations.  keys=None and spreads=None leave
+    nothing to chance: whole prefixes, and no fingerprint is looked at.
     Word-less and null texts are copies of one another.  row: a column of
     numbers as numbered() gives them, if docs has one.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    most = bits_at(similarity)
+    most = bits_at(similarity, spreads)
     own = numbered(docs, row := spare_name(docs, "row_no")) if row is None else docs
     own = own.select(F.col(row).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -458,13 +503,13 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
             kinds = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            firsts = pa.array([prefix(x, similarity).view(np.int64) if x.size else None for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds), pa.array([wide_majority(x) if x.size else None for x in sets], pa.binary()), firsts], names=["row_id", "doc_id", "kind", "mark", "prefix"])
+            firsts = pa.array([prefix(x, similarity, keys=keys).view(np.int64) if x.size else None for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds), pa.array([wide_majority(x) if x.size else None for x in sets], pa.binary()), firsts, pa.array([max(1, -(-x.size // UNIT)) for x in sets], pa.int64())], names=["row_id", "doc_id", "kind", "mark", "prefix", "weight"])
 
-    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(releasing(mark), "row_id long, doc_id long, kind long, mark binary, prefix array<long>"), "marks")
+    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(releasing(mark), "row_id long, doc_id long, kind long, mark binary, prefix array<long>, weight long"), "marks")
     first = marked.where("mark is not null").groupBy("kind").agg(F.min("row_id").alias("row_id"))
-    kinds, kinds_path = written(marked.join(first.select("row_id"), "row_id", "left_semi").select("row_id", "kind", "mark", "prefix"), "kinds")
-    prefixes, frequent, prefix_paths = _prefixes(own, kinds, words, similarity)
+    kinds, kinds_path = written(marked.join(first.select("row_id"), "row_id", "left_semi").select("row_id", "kind", "mark", "prefix", "weight"), "kinds")
+    prefixes, frequent, prefix_paths = _prefixes(own, kinds, words, similarity, keys)
     posted = prefixes.select("kind", F.explode("prefix").alias("key"))
     if frequent.isEmpty():
         stars = spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
@@ -488,7 +533,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
                     yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], schema=_LINKS)
 
     maybe = components(listed.select("members").mapInArrow(releasing(link), LINKS).union(stars).distinct())
-    maybe, maybe_path = written(maybe.join(kinds, F.col("node") == F.col("kind")).select("row_id", "kind", F.col("component").alias("group")), "maybe")
+    maybe, maybe_path = written(maybe.join(kinds, F.col("node") == F.col("kind")).select("row_id", "kind", "weight", F.col("component").alias("group")), "maybe")
     found = components(_verified(own, maybe, words, similarity))
     of_kind, of_path = written(found, "of-kind")
     rows, rows_path = written(marked.select("row_id", "doc_id", "kind").join(of_kind, marked["kind"] == of_kind["node"], "left").select("row_id", "doc_id", F.coalesce("component", "kind").alias("component")), "rows")

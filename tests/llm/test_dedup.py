@@ -247,7 +247,7 @@ def test_large_groups_are_spread(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "d")
     spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row_id long, text string").repartition(3).write.parquet(path)
     own = spark.read.parquet(path)
-    large = own.select("row_id", F.col("row_id").alias("kind"), F.lit(0).cast("long").alias("group"), F.lit(len(texts)).cast("long").alias("size"))
+    large = own.select("row_id", F.col("row_id").alias("kind"), F.lit(0).cast("long").alias("group"), F.lit(1).cast("long").alias("weight"), F.lit(len(texts)).cast("long").alias("size"))
     sets = [shingle_set(t) for t in texts]
     links = [(r["u"], r["v"]) for r in simhash._spread(own, large, 5, 0.8).collect()]
     assert all(len(sets[u] & sets[v]) / len(sets[u] | sets[v]) >= 0.8 for u, v in links)
@@ -278,5 +278,55 @@ def test_prefixes_meet():
             a, b = np.unique(a), np.unique(b)
             if np.intersect1d(a, b).size / np.union1d(a, b).size >= 0.8:
                 hot = np.unique(rng.choice(a, n // 2)) if n < 100 else np.unique(rng.choice(a, int(0.9 * n), replace=False))
-                assert np.intersect1d(simhash.prefix(a, 0.8, hot), simhash.prefix(b, 0.8, hot)).size
-                assert np.intersect1d(simhash.prefix(a, 0.8), simhash.prefix(b, 0.8)).size
+                for keys in (simhash.KEYS, None):
+                    assert np.intersect1d(*(simhash.prefix(x, 0.8, np.isin(x, hot), keys) for x in (a, b))).size
+                    assert np.intersect1d(*(simhash.prefix(x, 0.8, keys=keys) for x in (a, b))).size
+
+
+def test_hot_bits(spark):
+    """Every key put in the set is found again; a set that is full says yes to more, never no."""
+    rng = np.random.default_rng(8)
+    keys = rng.integers(-(1 << 63), 1 << 63, 500)
+    words = simhash._words_of(simhash.hot_bits(spark.createDataFrame([(int(k),) for k in keys], "key long")))
+    assert simhash.hot_among(keys.view(np.uint64), words).all()
+    assert simhash.hot_among(rng.integers(0, 1 << 62, 10_000).astype(np.uint64), words).mean() < 0.01
+    assert not simhash._words_of(simhash.hot_bits(spark.createDataFrame([], "key long"))).any()
+
+
+@pytest.mark.parametrize("hot_words", [simhash.HOT_WORDS, 1])
+def test_default_finds_what_whole_prefixes_find(spark, tmp_path, monkeypatch, hot_words):
+    """near_copies() against whole prefixes without fingerprints, and against all pairs; a bit set of one word, in which all is hot, changes nothing."""
+    monkeypatch.setattr(simhash, "LONG_LIST", 20)
+    monkeypatch.setattr(simhash, "HOT_WORDS", hot_words)
+    rng = np.random.default_rng(12)
+    head, texts = [f"h{k}" for k in range(25)], []
+    for k in range(150):  # each pair's similarity falls near 0.8, on both sides; all share a passage, some a longer one
+        w = head[: 25 if k % 3 else 12] + [f"w{i}" for i in rng.integers(0, 50000, int(rng.integers(40, 250)))]
+        other = list(w)
+        for at in range(30, 30 + 5 * int(rng.integers(1, 2 + len(w) // 45)), 5):
+            other[min(at, len(w) - 1)] = "changed"
+        texts += [" ".join(w), " ".join(other)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    groups = lambda got: sorted(sorted(x) for x in _members(got).values())
+    default = groups(simhash.near_copies(docs).collect())
+    assert default == groups(simhash.near_copies(docs, keys=None, spreads=None).collect())
+    sets = [shingle_set(t) for t in texts]
+    of = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if of[i] != of[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = of[i], of[j]
+                of = [min(a, b) if x in (a, b) else x for x in of]
+    want: dict[int, list[int]] = {}
+    for k, x in enumerate(of):
+        want.setdefault(x, []).append(k)
+    assert default == sorted(want.values()) and 170 < len(want) < 280
+
+
+def _members(rows):
+    out: dict[int, list[int]] = {}
+    for r in rows:
+        out.setdefault(r["component"], []).append(r["doc_id"])
+    return out
