@@ -28,8 +28,7 @@ SAMPLE_TEXTS = 400
 TEXT_BYTES = 2048
 MAX_LANGUAGES = 100
 PIECE = 4096
-LEVEL = 6
-SHORT, SHORT_LEVEL = 256, 12
+LEVEL = 9
 MIN_MARGIN = 0.003
 LETTER = regex.compile(r"\p{L}")
 OTHER = re.compile(r"[\W\d_]+")
@@ -74,23 +73,18 @@ def train_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang",
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.names = sorted(dictionaries)
-        self.level, self.short = (self._compressors(dictionaries, lv) for lv in (LEVEL, SHORT_LEVEL))
-
-    def _compressors(self, dictionaries: dict[str, bytes], level: int) -> list:
-        out = []
+        self.tools = []
         for name in self.names:
             d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            out.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        return out
+            d.precompute_compress(level=LEVEL)
+            self.tools.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def sizes(self, text: str) -> np.ndarray:
         data = folded(text).encode()
-        tools = self.short if len(data) <= SHORT else self.level
         n = max(1, round(len(data) / PIECE))
         cuts = [len(data) * k // n for k in range(n + 1)]
         pieces = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return np.array([sum(len(press(p)) for p in pieces) - 8 * n for press in tools])
+        return np.array([sum(len(press(p)) for p in pieces) - 8 * n for press in self.tools])
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin: by how much of its size the second smallest is larger than the smallest."""
