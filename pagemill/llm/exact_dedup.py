@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 
 from pagemill.llm._common import bit_words, drop_path, filter_words, may_hold, numbered, spare_name, without_rows, written
 
+#: Digests of a memtable: some 10 GB of them, which all tasks write at once.
+MEMTABLE_ROWS = 1 << 27
+#: Memtables of a small table, so that filters and compaction are at work there too.
+LEAST_MEMTABLES = 4
 SPACE = r"[\x20\x09-\x0D]+"
 KEEPER = T.StructType([T.StructField("no_id", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("row", T.LongType())])
 RUN = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keeper", KEEPER), T.StructField("n", T.LongType())])
@@ -108,7 +112,7 @@ class MergeIndex:
         self.levels, self.found = [], []
 
 
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memtables: int = 4, fanout: int = 4, digest=None, row: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memtables: int | None = None, fanout: int = 4, digest=None, row: str | None = None) -> DataFrame:
     """One row per row of docs: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are after white-space normalisation; of
@@ -118,6 +122,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
     read, so others may have any name.  An empty table gives an empty result.
 
     row: a column of numbers as numbered() gives them, if docs has one.
+    memtables: as many as hold MEMTABLE_ROWS rows each, unless given, and
+    LEAST_MEMTABLES at least.
     digest (text column -> binary column; SHA-256 unless given) may collide:
     rows that share a digest but not their bytes end in groups of their own.
     The copies of a hot text are combined before each shuffle; the last join is
@@ -129,8 +135,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", me
     own = own.select(F.col(row).alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), normalised(F.col(text)).alias("text"))
     log, _ = written(own.select("row_id", "doc_id", digest(F.col("text")).alias("digest"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "log")
     index = MergeIndex(spark, fanout)
+    memtables = memtables or max(LEAST_MEMTABLES, -(-log.count() // MEMTABLE_ROWS))
     for k in range(memtables):
-        batch = log.where(F.pmod(F.shiftright("row_id", 33) + F.col("row_id"), F.lit(memtables)) == k)
+        batch = log.where(F.pmod(F.xxhash64("row_id"), F.lit(memtables)) == k)
         index.flush(batch.select("digest", _keeper(F.col("doc_id"), F.col("row_id")).alias("keeper"), F.lit(1).cast("long").alias("n")))
     hits, hits_path = written(index.hits(), "hits")
     words = filter_words(hits.count())

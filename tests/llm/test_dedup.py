@@ -76,6 +76,16 @@ def test_exact_collisions_are_told_apart(docs):
     assert a == b
 
 
+def test_memtables_grow_with_the_table(docs, texts, monkeypatch):
+    """As many memtables as the rows fill, with levels of two runs, give the same groups."""
+    made, flush = [], exact_dedup.MergeIndex.flush
+    monkeypatch.setattr(exact_dedup.MergeIndex, "flush", lambda self, records: (made.append(1), flush(self, records)))
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", -(-len(texts) // 6))
+    rows = lambda got: {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()}
+    many = rows(exact_dedup.exact_groups(docs, fanout=2))
+    assert 5 <= len(made) <= 6 and many == rows(exact_dedup.exact_groups(docs, memtables=1))
+
+
 @pytest.mark.parametrize("fanout", [2, 4])
 def test_merge_index(spark, fanout):
     """Hits are found as memtables come, by filters and runs; compaction keeps the smallest identifier."""
