@@ -6,6 +6,7 @@ from events, texts from documents.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -362,6 +363,40 @@ def summary_sentences(spark, sf):
     return s.select("doc_id", "pos", "sentence", X.summary_mode(F.col("sentence")).alias("mode"))
 
 
+@query(f"""
+WITH {LINES}, t AS (SELECT doc_id, pos, replace({TRIM.format("regexp_replace(line, '^[>#*\\-–—•·\\s\\p{Z}]+', '')")}, '"', '\'\'') AS t FROM lines),
+s AS (SELECT doc_id, pos, t, {TRIM.format("regexp_extract(t, '^[^。！？；;.!?]*')")} AS first FROM t),
+u AS (SELECT doc_id, pos, CASE WHEN first = '' THEN t ELSE first END AS sentence FROM s),
+c AS (SELECT doc_id, pos, sentence, regexp_extract_all(sentence, '[^，、：,;]*[，、：,;]|[^，、：,;]+$') AS cl FROM u WHERE (length(sentence) - 30) / 30.0 >= 0.3),
+k AS (SELECT *, list_max(list_filter(range(1, len(cl) + 1), lambda k: length(array_to_string(cl[1:k - 1], '')) + length(regexp_replace(cl[k], '[，、：,;]$', '')) <= 30)) AS n FROM c),
+h AS (SELECT doc_id, pos, {TRIM.format("regexp_replace(array_to_string(cl[1:coalesce(n, 0)], ''), '[，、：,; ]+$', '')")} AS held, substr(sentence, 1, 30) AS part FROM k),
+w AS (SELECT *, regexp_extract(part, '^(.*)[，、：, ]', 1) AS before FROM h)
+SELECT doc_id, pos, CASE WHEN held <> '' THEN held ELSE {TRIM.format("CASE WHEN length(before) >= 15 THEN before ELSE part END")} END AS title FROM w""")
+def condensed_titles(spark, sf):
+    """Sentences too long for a title, cut to their leading clauses."""
+    s = line_table(spark, sf).select("doc_id", "pos", X.leading_sentence(F.col("line")).alias("sentence"))
+    return s.where(X.summary_mode(F.col("sentence")) == "condensed").select("doc_id", "pos", X.condensed(F.col("sentence")).alias("title"))
+
+
+@query("SELECT doc_id, " + TRIM.format("text") + " AS body FROM documents")
+def without_fences(spark, sf):
+    d = table(spark, sf, "documents")
+    fenced = F.concat(F.lit("```markdown\n"), "text", F.when(F.col("doc_id") % 2 == 0, "\n```").otherwise("```\n"))
+    return d.select("doc_id", X.without_fences(fenced).alias("body"))
+
+
+@query(f"WITH {TASKS} SELECT id, file_path, status FROM tasks WHERE sha256(file_path) = sha256('file-1')")
+def task_by_hash(spark, sf):
+    t = task_table(spark, sf).withColumn("file_hash", F.sha2(F.col("file_path").cast("binary"), 256))
+    return tasks.by_hash(t, hashlib.sha256(b"file-1").hexdigest()).select("id", "file_path", "status")
+
+
+@query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS cached FROM documents")
+def cached_files(spark, sf):
+    held, rest = files.cached(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
+    return held.withColumn("cached", F.lit(True)).union(rest.withColumn("cached", F.lit(False)))
+
+
 SAFE = "regexp_replace(translate(regexp_replace({0}, '[^\\p{{L}}\\p{{N}} \\-_.]', '_', 'g'), ' ', '-'), '-{{2,}}', '-', 'g')"
 
 
@@ -624,46 +659,46 @@ def _dense(spark: SparkSession, sf: str) -> DataFrame:
 
 # Tables and notes.
 
-NATION_CELLS = "cells AS (SELECT n_regionkey AS page_id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS row_no, n_name, n_nationkey FROM nation)"
+CELLS = "cells AS (SELECT doc_id // 10 AS page_id, (doc_id % 10)::INT AS row_no, coalesce(source, 'none') AS name, doc_id FROM documents)"
 
 
-def nation_cells(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation")
-    row = (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("row_no")
-    cell = F.posexplode(F.array(F.col("n_name"), F.concat(F.lit("<"), F.col("n_nationkey"), F.lit("|&"))))
-    return n.select(F.col("n_regionkey").alias("page_id"), row, "n_name", "n_nationkey").select("page_id", "row_no", cell.alias("place", "text"))
+def source_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of each ten documents: their sources, and their ids between signs that HTML and Markdown escape."""
+    d = table(spark, sf, "documents")
+    cell = F.posexplode(F.array(F.coalesce("source", F.lit("none")), F.concat(F.lit("<"), F.col("doc_id"), F.lit("|&"))))
+    return d.select(F.expr("doc_id div 10").alias("page_id"), (F.col("doc_id") % 10).cast("int").alias("row_no"), cell.alias("place", "text"))
 
 
-HTML = "html AS (SELECT page_id, '<table border=\"1\" style=\"border-collapse: collapse;\">' || string_agg('<tr><td bgcolor=\"#ffffff\">' || n_name || '</td><td>&lt;' || n_nationkey || '|&amp;</td></tr>', '' ORDER BY row_no) || '</table>' AS html FROM cells GROUP BY 1)"
+HTML = "html AS (SELECT page_id, '<table border=\"1\" style=\"border-collapse: collapse;\">' || string_agg('<tr><td bgcolor=\"#ffffff\">' || name || '</td><td>&lt;' || doc_id || '|&amp;</td></tr>', '' ORDER BY row_no) || '</table>' AS html FROM cells GROUP BY 1)"
 
 
-def nation_html(spark: SparkSession, sf: str) -> DataFrame:
-    grids = table(spark, sf, "region").select(F.col("r_regionkey").alias("page_id"), F.array_repeat(F.array(F.lit("#ffffff")), 30).alias("grid"))
-    return render.html_tables(render.colored_cells(nation_cells(spark, sf), grids))
+def source_html(spark: SparkSession, sf: str) -> DataFrame:
+    grids = table(spark, sf, "documents").select(F.expr("doc_id div 10").alias("page_id")).distinct().withColumn("grid", F.array_repeat(F.array(F.lit("#ffffff")), 30))
+    return render.html_tables(render.colored_cells(source_cells(spark, sf), grids))
 
 
-@query(f"WITH {NATION_CELLS}, {HTML} SELECT * FROM html")
+@query(f"WITH {CELLS}, {HTML} SELECT * FROM html")
 def html_tables(spark, sf):
-    return nation_html(spark, sf)
+    return source_html(spark, sf)
 
 
-@query(f"WITH {NATION_CELLS} SELECT page_id, row_no, 0 AS col, n_name AS text FROM cells UNION ALL SELECT page_id, row_no, 1, '<' || n_nationkey || '|&' FROM cells")
+@query(f"WITH {CELLS} SELECT page_id, row_no, 0 AS col, name AS text FROM cells UNION ALL SELECT page_id, row_no, 1, '<' || doc_id || '|&' FROM cells")
 def html_roundtrip(spark, sf):
-    return render.html_cells(nation_html(spark, sf))
+    return render.html_cells(source_html(spark, sf))
 
 
-PIPES = "md AS (SELECT page_id, string_agg('| ' || n_name || ' | <' || n_nationkey || chr(92) || '|& |' || CASE WHEN row_no = 0 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY row_no) AS markdown FROM cells GROUP BY 1 HAVING count(*) >= 2)"
+PIPES = "md AS (SELECT page_id, string_agg('| ' || name || ' | <' || doc_id || chr(92) || '|& |' || CASE WHEN row_no = 0 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY row_no) AS markdown FROM cells GROUP BY 1 HAVING count(*) >= 2)"
 
 
-@query(f"WITH {NATION_CELLS}, {PIPES} SELECT * FROM md")
+@query(f"WITH {CELLS}, {PIPES} SELECT * FROM md")
 def markdown_tables(spark, sf):
-    c = nation_cells(spark, sf)
+    c = source_cells(spark, sf)
     return render.pipe_tables(c.select("page_id", "row_no", F.col("place").alias("col"), F.lit(2).alias("n_cols"), "text", F.col("place").cast("double").alias("center_x"), F.col("place").alias("block_id")))
 
 
-@query(f"WITH {NATION_CELLS}, {PIPES} SELECT * FROM md")
+@query(f"WITH {CELLS}, {PIPES} SELECT * FROM md")
 def html_to_markdown(spark, sf):
-    return nation_html(spark, sf).select("page_id", render.html_to_markdown(F.col("html")).alias("markdown"))
+    return source_html(spark, sf).select("page_id", render.html_to_markdown(F.col("html")).alias("markdown"))
 
 
 @query("""
@@ -677,11 +712,14 @@ def structure_scores(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rows.alias("rows")).where(F.size("rows") > 0).select("doc_id", gates.table_structure(F.col("rows")).alias("score"))
 
 
-@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 0.45 + 0.35 + 0.20 * least(1.0, 6 / 12.0) ELSE CASE WHEN n_nationkey % 3 = 0 THEN 0.55 ELSE 0.0 END END AS score FROM nation")
+@query("""SELECT doc_id AS k, CASE WHEN doc_id % 2 = 0 THEN 0.45 + 0.35 + 0.20 * least(1.0, 6 / 12.0)
+  WHEN length(regexp_replace(text, '[\\s\\p{Z}]+', '', 'g')) >= 40 THEN 0.55 ELSE 0.0 END AS score FROM documents""")
 def markdown_structure(spark, sf):
-    n = table(spark, sf, "nation")
-    md = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("| a | b |\n|---|:-:|\n| "), "n_name", F.lit(" | x |\n  | c | d |  "))).when(F.col("n_nationkey") % 3 == 0, F.lit("x" * 40)).otherwise("short")
-    return n.select(F.col("n_nationkey").alias("k"), gates.markdown_structure(md).alias("score"))
+    """Even documents stand in a table by their source, odd ones as they are, without pipes."""
+    d = table(spark, sf, "documents")
+    grid = F.concat(F.lit("| a | b |\n|---|:-:|\n| "), F.coalesce("source", F.lit("none")), F.lit(" | x |\n  | c | d |  "))
+    md = F.when(F.col("doc_id") % 2 == 0, grid).otherwise(F.translate("text", "|", "!"))
+    return d.select(F.col("doc_id").alias("k"), gates.markdown_structure(md).alias("score"))
 
 
 @query("SELECT doc_id AS image, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, (length(text) - length(replace(text, 'the', ''))) // 3 AS hits FROM documents")
@@ -723,14 +761,17 @@ def snapshot_diffs(spark, sf):
     return snapshots.diffs(_compared(spark, sf))
 
 
-@query("SELECT r_regionkey AS page_id, r_regionkey + 100 AS table_id FROM region WHERE r_regionkey % 2 = 1")
+@query("""
+WITH c AS (SELECT doc_id // 10 AS page_id, doc_id AS table_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS cell FROM documents),
+b AS (SELECT DISTINCT page_id, cell, 1 AS hit FROM c WHERE table_id % 2 = 1),
+k AS (SELECT table_id, count(*) AS n, count(hit) AS k FROM c LEFT JOIN b USING (page_id, cell) WHERE table_id % 2 = 0 GROUP BY 1)
+SELECT doc_id // 10 AS page_id, doc_id AS table_id FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT table_id FROM k WHERE n >= 3 AND k / n >= 0.6)""")
 def body_duplicate_tables(spark, sf):
-    """Pages whose body repeats their table lose it: even regions hold their nations' names as text."""
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    tables = r.select(F.col("r_regionkey").alias("page_id"), (F.col("r_regionkey") + 100).alias("table_id"))
-    cells = n.select(F.col("n_regionkey").alias("page_id"), (F.col("n_regionkey") + 100).alias("table_id"), F.col("n_name").alias("cell"))
-    body = n.where("n_regionkey % 2 = 0").select(F.col("n_regionkey").alias("page_id"), F.lit("text").alias("type"), F.concat(F.lit(" "), "n_name").alias("text"))
-    return gates.drop_body_duplicates(tables, cells, body)
+    """Of each ten documents the even ones are tables of words, the odd ones the body; a table goes if the body repeats most of it."""
+    d = table(spark, sf, "documents").withColumn("page_id", F.expr("doc_id div 10"))
+    words = d.select("page_id", F.col("doc_id").alias("table_id"), F.explode(X.tokens(F.col("text"))).alias("cell"))
+    body = words.where("table_id % 2 = 1").select("page_id", F.lit("text").alias("type"), F.col("cell").alias("text"))
+    return gates.drop_body_duplicates(d.where("doc_id % 2 = 0").select("page_id", F.col("doc_id").alias("table_id")), words.where("table_id % 2 = 0"), body)
 
 
 @query("SELECT token, n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token, 1 AS n FROM documents) INTERSECT ALL SELECT token, n FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS token, 1 AS n FROM benchmark)")
