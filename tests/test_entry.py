@@ -51,7 +51,7 @@ TWO_GUTTERS = """
 677590 88706 5918 5 20 N O, 677590 94221 2147 2 24 N O, 677590 96708 1231 7 6 A O, 677590 97955 654 1 23 R F, 677590 110011 4569 6 33 N O"""
 
 
-@pytest.mark.parametrize("name", ["rendered_small_pages"])
+@pytest.mark.parametrize("name", ["rendered_small_pages", "notes"])
 def test_two_gutters(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_shipdate TIMESTAMP)")
