@@ -12,7 +12,7 @@ neither a large group of copies nor one of near copies makes pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -191,6 +191,7 @@ SPREADS = 6
 KEYS = 16
 HOT_SAMPLE = 8
 HOT_WORDS = 1 << 18
+TALLY = 1 << 20
 GROUP = 16_384
 GUIDES = 16
 BLOCK = 4096
@@ -411,6 +412,30 @@ def _spread(own: DataFrame, large: DataFrame, words: int, similarity: float) ->
     return spark.read.schema(LINKS).parquet(*links_paths)
 
 
+def tallied(words: int, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, size) of texts (any, text): the shingles that this share of a task's texts hold, two at least, and how many do.
+
+    They are counted within the task, so that a shingle is one row of it however
+    many texts hold it, and those of single texts are none.  Over TALLY shingles
+    the rarest are forgotten.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(1)]
+            texts += len(sets)
+            keys, at = np.unique(np.concatenate([keys, *sets]), return_inverse=True)
+            sizes = np.bincount(at, np.concatenate([sizes, np.ones(at.size - sizes.size, np.int64)]), keys.size).astype(np.int64)
+            least = 2
+            while keys.size > TALLY:
+                keys, sizes, least = keys[sizes >= least], sizes[sizes >= least], least + 1
+        often = sizes >= max(2, share * texts)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(sizes[often])], names=["key", "size"])
+
+    return run
+
+
 def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float, n_keys: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
     """(kind, prefix): by an order of the shingles that has the frequent ones last; (key): those that still are; and the paths to drop.
 
@@ -446,15 +471,13 @@ def _prefixes(own: DataFrame, kinds: DataFrame, words: int, similarity: float, n
         hot = hot | found
         old, old_path = written(holding(prefixes, "prefix").select("row_id", "kind"), "hot")
 
-        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for t in b.column(1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], names=["key"])
-
-        sample = joined_rows(own.select("row_id", "text"), "row_id", old.where(F.pmod(F.xxhash64("kind"), F.lit(HOT_SAMPLE)) == 0)).select("row_id", "text")
-        shown = sample.mapInArrow(releasing(every), "key long").groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= max(2, LONG_LIST // HOT_SAMPLE))
+        some, some_path = written(old.where(F.pmod(F.xxhash64("kind"), F.lit(HOT_SAMPLE)) == 0), "some")
+        sample = joined_rows(own.select("row_id", "text"), "row_id", some).select("row_id", "text")
+        least = max(2, LONG_LIST // HOT_SAMPLE)
+        counts = sample.mapInArrow(releasing(tallied(words, least / (4 * max(1, some.count())))), "key long, size long")
+        shown = counts.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") >= least)
         hot = hot | _words_of(hot_bits(shown))
-        drop_path(spark, old_path)
+        drop_path(spark, old_path, some_path)
         old, old_path = written(holding(prefixes, "prefix").select("row_id", "kind"), "hot")  # the sample's keys too: all texts keep to one order
         handle = spark.sparkContext.broadcast(hot)
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -303,6 +304,20 @@ def test_hot_bits(spark):
     assert not simhash._words_of(simhash.hot_bits(spark.createDataFrame([], "key long"))).any()
 
 
+def test_tallied():
+    """Shingles are counted within a task: a row for each that is held often, none for those of single texts, and few are kept at once."""
+    rng = np.random.default_rng(14)
+    head = [f"h{k}" for k in range(30)]
+    texts = [" ".join([*head, *(f"w{i}" for i in rng.integers(0, 1 << 40, 200))]) for _ in range(60)]
+    batches = [pa.RecordBatch.from_pydict({"row_id": list(range(k, k + 20)), "text": texts[k : k + 20]}) for k in (0, 20, 40)]
+    want = dict.fromkeys(simhash.shingle_hashes(" ".join(head), 5).view(np.int64).tolist(), 60)
+    for most in (simhash.TALLY, 100):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(simhash, "TALLY", most)
+            (out,) = simhash.tallied(5, 0.5)(iter(batches))
+        assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)) == want and out.num_rows == 26
+
+
 @pytest.mark.parametrize("hot_words", [simhash.HOT_WORDS, 1])
 def test_default_finds_what_whole_prefixes_find(spark, tmp_path, monkeypatch, hot_words):
     """near_copies() against whole prefixes without fingerprints, and against all pairs; a bit set of one word, in which all is hot, changes nothing."""
