@@ -183,7 +183,7 @@ def near_report(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
-# Near copies by a share of shingles: wider fingerprints choose what is worth comparing, the shingle sets themselves decide.
+# Near copies by a share of shingles: the index of fingerprints, and prefixes and wider fingerprints for what it does not reach, choose what is worth comparing; the shingle sets themselves decide.
 
 WIDE = 4
 WIDE_BYTES = WIDE * BYTES
@@ -502,17 +502,30 @@ def _words_of(bits: DataFrame) -> np.ndarray:
     return out
 
 
+def _met_in_index(kinds: DataFrame, distance: int = 3) -> tuple[DataFrame, list[str]]:
+    """(u, v): candidate links among kinds (kind, fp) whose fingerprints the byte-position index connects, equal ones included, by links() with its count filter; and the paths to drop."""
+    spark = kinds.sparkSession
+    groups, path = written(components(links(kinds.select("fp").distinct(), distance)), "index")
+    placed, placed_path = written(kinds.join(groups, F.col("fp") == F.col("node"), "left").select("kind", F.coalesce("component", "fp").alias("place")), "placed")
+    drop_path(spark, path)
+    first = placed.groupBy("place").agg(F.min("kind").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return placed.join(first, "place").where("kind <> first").select(F.col("first").alias("u"), F.col("kind").alias("v")), [placed_path]
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, row: str | None = None, keys: int | None = KEYS, spreads: float | None = SPREADS) -> DataFrame:
     """One row per row of docs: row_id, doc_id, component (long), kept: one row of each component of near copies, the one of the smallest id (nulls last, then the first row).
 
     Texts are near copies where the sets of their shingles have at least this
-    Jaccard similarity; chains of near copies are one group.  Pairs are looked
+    Jaccard similarity; chains of near copies are one group.  Fingerprints that
+    the byte-position index connects are candidates.  At this similarity most
+    pairs differ in more bits than it allows, so for the rest pairs are looked
     for that share one of the `keys` keys of their prefixes, as all of this
-    similarity do but for a chance below 3e-6 each.
-    Of those, pairs within bits_at() of each other, by wide fingerprints of the
+    similarity do but for a chance below 3e-6 each; 0 leaves the index alone.
+    Of the rest, pairs within bits_at() of each other, by wide fingerprints of the
     distinct shingles, are compared by the sets themselves: that is all but a
-    chance of `spreads` standard deviations.  keys=None and spreads=None leave
-    nothing to chance: whole prefixes, and no fingerprint is looked at.
+    chance of `spreads` standard deviations.  The candidates of the index are
+    compared by their sets too.  keys=None and spreads=None leave
+    nothing to chance: whole prefixes, of which no fingerprint takes pairs away.
     Word-less and null texts are copies of one another.  row: a column of
     numbers as numbered() gives them, if docs has one.
     """
@@ -527,11 +540,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
             kinds = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             firsts = pa.array([prefix(x, similarity, keys=keys).view(np.int64) if x.size else None for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds), pa.array([wide_majority(x) if x.size else None for x in sets], pa.binary()), firsts, pa.array([max(1, -(-x.size // UNIT)) for x in sets], pa.int64())], names=["row_id", "doc_id", "kind", "mark", "prefix", "weight"])
+            marks = [wide_majority(x) if x.size else None for x in sets]
+            fps = pa.array([None if m is None else int.from_bytes(m[:BYTES], "big", signed=True) for m in marks], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kinds), fps, pa.array(marks, pa.binary()), firsts, pa.array([max(1, -(-x.size // UNIT)) for x in sets], pa.int64())], names=["row_id", "doc_id", "kind", "fp", "mark", "prefix", "weight"])
 
-    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(releasing(mark), "row_id long, doc_id long, kind long, mark binary, prefix array<long>, weight long"), "marks")
+    marked, path = written(own.select("row_id", "doc_id", "text").mapInArrow(releasing(mark), "row_id long, doc_id long, kind long, fp long, mark binary, prefix array<long>, weight long"), "marks")
     first = marked.where("mark is not null").groupBy("kind").agg(F.min("row_id").alias("row_id"))
-    kinds, kinds_path = written(marked.join(first.select("row_id"), "row_id", "left_semi").select("row_id", "kind", "mark", "prefix", "weight"), "kinds")
+    kinds, kinds_path = written(marked.join(first.select("row_id"), "row_id", "left_semi").select("row_id", "kind", "fp", "mark", "prefix", "weight"), "kinds")
+    met, met_paths = _met_in_index(kinds.select("kind", "fp"))
     prefixes, frequent, prefix_paths = _prefixes(own, kinds, words, similarity, keys)
     posted = prefixes.select("kind", F.explode("prefix").alias("key"))
     if frequent.isEmpty():
@@ -555,7 +571,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
                 if u:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], schema=_LINKS)
 
-    maybe = components(listed.select("members").mapInArrow(releasing(link), LINKS).union(stars).distinct())
+    maybe = components(listed.select("members").mapInArrow(releasing(link), LINKS).union(stars).union(met).distinct())
     maybe, maybe_path = written(maybe.join(kinds, F.col("node") == F.col("kind")).select("row_id", "kind", "weight", F.col("component").alias("group")), "maybe")
     found = components(_verified(own, maybe, words, similarity))
     of_kind, of_path = written(found, "of-kind")
@@ -563,7 +579,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("f")).select("component", F.col("f.row_id").alias("first"))
     out = rows.join(first, "component").select("row_id", "doc_id", "component", (F.col("row_id") == F.col("first")).alias("kept"))
     out, _ = written(out, "near")
-    drop_path(spark, path, kinds_path, *prefix_paths, lists_path, maybe_path, of_path, rows_path)
+    drop_path(spark, path, kinds_path, *met_paths, *prefix_paths, lists_path, maybe_path, of_path, rows_path)
     return out
 
 

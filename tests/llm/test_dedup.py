@@ -242,6 +242,20 @@ def test_near_copies_just_over_the_similarity(spark, tmp_path, monkeypatch, long
     assert {k for k, r in got.items() if r["kept"]} == set(range(0, 240, 2))
 
 
+def test_index_proposes_near_copies(spark, tmp_path):
+    """Without any prefix key, the byte-position index of fingerprints finds close copies, and what is not similar stays apart."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(20):
+        w = [f"w{i}" for i in rng.integers(0, 50000, 1500)]
+        texts += [" ".join(w), " ".join([*w[:700], "changed", *w[701:]])]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    of = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.read.parquet(path), keys=0).collect()}
+    together = sum(of[k] == of[k + 1] for k in range(0, 40, 2))
+    assert together >= 12 and len(set(of.values())) == 40 - together
+
+
 def test_large_groups_are_spread(spark, tmp_path, monkeypatch):
     """Chains and clusters of one candidate group, held against a few guides at a time."""
     monkeypatch.setattr(simhash, "GUIDES", 2)
