@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill import schemas
 from pagemill.functions import text as X
 from pagemill.operators import gates, geometry, layout, linking, recognize, render, tasks
-from pagemill.plans import pipeline
+from pagemill.plans import layout_queries, pipeline
 
 
 def cell(cx, cy, text="x", w=30, h=18):
@@ -97,6 +97,16 @@ def test_side_notes(spark):
     assert note["md"] == "aside" and "| 0.1 | 1.1 | 2.1 |" in grid_part["md"] and grid_part["score"] > 0.9
 
 
+def test_side_notes_of_one_left_edge(spark):
+    _, note = tables(spark, [*grid([50, 150, 250], [10, 40, 70, 100]), cell(500, 43, "second", w=120), cell(500, 38, "first", w=120)])
+    assert note["md"] == "first second"
+
+
+def test_a_page_is_gathered_once(spark, sf):
+    plan = layout_queries.rendered_pages(spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan parquet") == 2 and plan.count("Join") == 1 and plan.count("Window [") <= 3
+
+
 def poor_page():
     return [c for y in (10, 40, 70, 100) for c in [*grid([60 * k for k in range(14)], [y]), cell(8, y), cell(68, y)]]
 
